@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, ngram_join
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op4_exact_dedup": lambda spark, d: exact_dedup.dedup_report(table(spark, d, "documents")),
+        "op6_ngram_jaccard_join": lambda spark, d: ngram_join.join_report(table(spark, d, "documents")),
     }
 
 
