@@ -1,4 +1,8 @@
-"""Corpus pipeline: the stages that turn raw documents into a training mix."""
+"""Corpus pipeline: the stages that turn raw documents into a training mix.
+
+Each stage takes what its predecessor kept and returns the columns of documents; the last adds where each document
+goes in the mix. Stages read the whole text of every document they get.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import exact_dedup
+from weirflow.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
 from weirflow.llm.common import cut, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. It learns from the labels beside the documents."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
     return exact_dedup.dedup(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document with the least id stays."""
+    return ngram_join.thin(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each time a document is in the mix, with its shard and position there."""
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good),
+    ("exact_dedup", exact),
+    ("ngram_join", near),
+    ("decontamination", clean),
+    ("mixing", mixed),
+]
 
+#: Most stages can't be said in SQL; the tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
