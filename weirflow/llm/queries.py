@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, quality
+from . import decontaminate, exact_dedup, mixing, ngram_join, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op4_exact_dedup": lambda spark, d: exact_dedup.dedup_report(table(spark, d, "documents")),
         "op6_ngram_jaccard_join": lambda spark, d: ngram_join.join_report(table(spark, d, "documents")),
         "op7_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
+        "op8_secrets": lambda spark, d: secrets.report(table(spark, d, "documents")),
         "op9_quality": lambda spark, d: quality.score_report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_decontamination": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
