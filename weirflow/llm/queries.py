@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, quality, secrets
+from . import decontaminate, exact_dedup, mixing, ngram_join, pseudonyms, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op4_exact_dedup": lambda spark, d: exact_dedup.dedup_report(table(spark, d, "documents")),
+        "op5_pseudonyms": lambda spark, d: pseudonyms.report(table(spark, d, "documents")),
         "op6_ngram_jaccard_join": lambda spark, d: ngram_join.join_report(table(spark, d, "documents")),
         "op7_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
         "op8_secrets": lambda spark, d: secrets.report(table(spark, d, "documents")),

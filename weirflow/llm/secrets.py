@@ -76,7 +76,7 @@ def identifiers(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") * 7).cast("int")), "yyyy-MM-dd")
     version = F.concat_ws(".", F.col("id") % 30, F.col("id") % 17, F.col("id") % 11)
     counted = F.array(number, number, F.concat(day, F.lit("/"), day), F.concat(F.lit("v"), version, F.lit("-"), version), F.concat(F.lit("item_"), F.col("id"), F.lit("="), F.substring(number, 1, 6)))
-    marks = F.transform(F.split(F.lit("+/_=.-"), "(?!^)"), lambda m: F.repeat(m, 30))
+    marks = F.transform(F.split(F.lit("+/_=.-"), ""), lambda m: F.repeat(m, 30))
     numbered = docs.sparkSession.range(SAMPLE_RANDOM)
     ordinary = [words.select(forms.alias("t")), numbered.select(counted.alias("t")), docs.sparkSession.range(SAMPLE_RANDOM // 10).select(marks.alias("t"))]
     return ordinary[0].unionByName(ordinary[1]).unionByName(ordinary[2]).select(F.explode("t").alias("token"), F.lit(False).alias("secret"))
@@ -104,7 +104,7 @@ def train(samples: DataFrame) -> list[float]:
 def ratio(token: Column, model: list[float]) -> Column:
     """The log-likelihood ratio of a token over the alphabet."""
     n = len(ALPHABET)
-    places = F.transform(F.split(token, "(?!^)"), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     table = F.lit(model)
     start = F.struct(F.lit(None).cast("int").alias("before"), F.lit(0.0).alias("sum"))
     step = lambda s, p: F.struct(p.alias("before"), (s["sum"] + F.coalesce(F.get(table, s["before"] * n + p), F.lit(0.0))).alias("sum"))
