@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, pseudonyms, quality, secrets
+from . import decontaminate, exact_dedup, fixity, mixing, ngram_join, pseudonyms, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_merkle_fixity": lambda spark, d: fixity.report(table(spark, d, "pages")),
         "op4_exact_dedup": lambda spark, d: exact_dedup.dedup_report(table(spark, d, "documents")),
         "op5_pseudonyms": lambda spark, d: pseudonyms.report(table(spark, d, "documents")),
         "op6_ngram_jaccard_join": lambda spark, d: ngram_join.join_report(table(spark, d, "documents")),
@@ -25,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_merkle_fixity": fixity.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
