@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, fixity, html_text, mixing, ngram_join, pseudonyms, quality, secrets
+from . import decontaminate, exact_dedup, fixity, html_text, line_join, mixing, ngram_join, pseudonyms, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_html_text": lambda spark, d: html_text.report(table(spark, d, "pages")),
         "op2_merkle_fixity": lambda spark, d: fixity.report(table(spark, d, "pages")),
+        "op3_line_join": lambda spark, d: line_join.join_report(table(spark, d, "documents")),
         "op4_exact_dedup": lambda spark, d: exact_dedup.dedup_report(table(spark, d, "documents")),
         "op5_pseudonyms": lambda spark, d: pseudonyms.report(table(spark, d, "documents")),
         "op6_ngram_jaccard_join": lambda spark, d: ngram_join.join_report(table(spark, d, "documents")),
