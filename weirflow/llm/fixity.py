@@ -81,7 +81,11 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     record is both). Of records that repeat in full, a difference in number is one row of `corrupt`. Roots are null
     for an archive that one side lacks. Equal replicas, and empty ones, give an empty result. Other columns are not read.
     """
-    mine, other = cut(leaves(primary)), cut(leaves(replica))
+    return audit_leaves(cut(leaves(primary)), cut(leaves(replica)), range_bytes, fanout)
+
+
+def audit_leaves(mine: DataFrame, other: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """The audit of two tables that `leaves` made; they are read several times, so they should be written or cut."""
     levels = max(height(mine, range_bytes, fanout), height(other, range_bytes, fanout))
     ours, theirs = (tree(x, levels, range_bytes, fanout) for x in (mine, other))
     top = cut(_differ(ours[-1], theirs[-1], ["archive", "node"]))
@@ -97,18 +101,30 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     return found.withColumn("verdict", verdict).join(roots, "archive").select(*keys, "verdict", "primary_root", "replica_root")
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with planted damage, for trials: by digest of the record id, of 256 records one has a byte changed, one is lost and one is followed by a stray copy."""
+def _copies() -> Column:
+    """What a damaged replica has of a record: array<struct<record_id, content>>."""
     lot = F.conv(F.substring(F.sha2("record_id", 256), 1, 2), 16, 10).cast("int")
     flipped = F.concat(F.substring("content", F.lit(1), (F.col("length") - 5).cast("int")), F.lit("#").cast("binary"), F.substring("content", (F.col("length") - 3).cast("int"), F.lit(4)))
-    changed = records.where(lot != 1).withColumn("content", F.when(lot == 0, flipped).otherwise(F.col("content")))
-    return changed.unionByName(records.where(lot == 2).withColumn("record_id", F.concat(F.col("record_id"), F.lit("-stray"))))
+    copy = lambda name, content: F.struct(name.alias("record_id"), content.alias("content"))
+    own, stray = copy(F.col("record_id"), F.col("content")), copy(F.concat(F.col("record_id"), F.lit("-stray")), F.col("content"))
+    return F.when(lot == 0, F.array(copy(F.col("record_id"), flipped))).when(lot == 1, F.filter(F.array(own), lambda _: F.lit(False))).when(lot == 2, F.array(own, stray)).otherwise(F.array(own))
+
+
+def damaged(records: DataFrame) -> DataFrame:
+    """A replica with planted damage, for trials: by digest of the record id, of 256 records one has a byte changed, one is lost and one is followed by a stray copy."""
+    return records.withColumn("copy", F.explode(_copies())).select("archive", "offset", "length", "copy.record_id", "copy.content")
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """The audit of all pages, packed as WARC archives, against a replica with planted damage."""
-    records = pack(pages)
-    return audit(records, damaged(records)).select("archive", "offset", "length", "record_id", "verdict")
+    """The audit of all pages, packed as WARC archives, against a replica with planted damage.
+
+    Both replicas come of one packing, so that contents are shuffled once; only the leaves of both are kept.
+    """
+    side = lambda name: lambda c: F.struct(F.lit(name).alias("side"), c["record_id"].alias("record_id"), F.sha2(c["content"], 256).alias("digest"))
+    both = F.concat(F.transform(F.array(F.struct("record_id", "content")), side("primary")), F.transform(_copies(), side("replica")))
+    listed = cut(pack(pages).select("archive", "offset", "length", F.explode(both).alias("leaf")).select("archive", "offset", "length", "leaf.*"))
+    mine, other = (listed.where(F.col("side") == name).drop("side") for name in ("primary", "replica"))
+    return audit_leaves(mine, other).select("archive", "offset", "length", "record_id", "verdict")
 
 
 ORACLE = f"""
