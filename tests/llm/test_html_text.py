@@ -72,3 +72,25 @@ def test_hard_rows(spark):
     rows = extract(pages.drop("_made")).collect()
     assert sorted((r.page_id, r.text) for r in rows) == [(1, ""), (2, ""), (2, "a"), (2, "a")]
     assert report(pages.select("page_id", "html", "text").withColumnRenamed("text", "url").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<table><tbody><form><tr><td>a</table>", "a"),
+        ("<table><tbody><td>a<td>b</table>", "a  b"),
+        ("<table><td>a<td>b<tr><td>c</table>d", "a  b\nc\n\nd"),
+        ("<table><tr>loose<td>a</td>more</tr>end</table>", "loosemoreend\n\na"),
+        ("<table><tbody><div>x<tr><td>a<td>b</table>", "x\n\na  b"),
+        ("<table hidden><tr>shown<td>not</table>", "shown"),
+        ("<table><tr><form><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr><td>a<table></tr><td>b</table>c<td>d</table>", "a  d\nb\nc"),
+        ("<table><template><tr><td>no</template><tr><td>a</table>", "a"),
+        ("<table><tr><td>a<tr><table><td>b</table>", "a\n\nb"),
+        ("<a title=it's>Bob</a> one two don't <b>x", "Bob one two don't x"),
+        ('<a title="x>y" b=c="d>e</a><p hidden=">">f</p><i alt = \'>\'>g', "eg"),
+        ("<a \">h</a> i\" <p/hidden>j", 'h i"'),
+    ],
+)
+def test_nothing_lost_in_tables_and_at_quotes(source, want):
+    assert text_of(source)[1] == want

@@ -31,8 +31,12 @@ ENDS = {
     **{t: (frozenset("tr td th caption colgroup thead tbody tfoot".split()), frozenset({"table"})) for t in ("thead", "tbody", "tfoot", "caption", "colgroup")},
 }
 _P_SCOPE = frozenset("table td th caption button object html body".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Parts of a table, and elements that hold nothing but such parts: other content of these stands before the table.
+PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
+HOLDERS = frozenset("table colgroup thead tbody tfoot tr".split())
+STAYS = PARTS | frozenset("script style template form".split())
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)?)*+)>""", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))?)?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Elements nest this deep at most; deeper ones become siblings.
 DEEPEST = 200
@@ -48,25 +52,54 @@ class Node:
 
 
 def parse(source: str) -> Node:
-    """The tree. Missing end tags are implied, stray ones ignored, and rows outside of a body get no extra nodes."""
+    """The tree. Missing end tags, bodies and rows of tables are implied, stray end tags ignored.
+
+    Text and elements that stand in a table outside of its cells and caption go before the table, as browsers put them.
+    """
     root = Node("#root", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # tag -> where in the stack it is open
     at = 0
 
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def end(place: int) -> None:
+        for node in stack[place:]:
+            places[node.tag].pop()
+        del stack[place:]
+
     def end_until(tags: frozenset[str], scope: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                if tags & {"tr", "td", "th"}:  # a new row ends the cell and the row
-                    return end_until(tags, scope)
-                return None
-            if stack[i].tag in scope:
-                return None
-        return None
+        while (place := last(*tags)) and place > last(*scope):
+            end(place)
+            if not tags & {"tr", "td", "th"}:  # a new row ends the cell and the row
+                break
+
+    def add(child: Node | str) -> None:
+        beside = child.strip() if isinstance(child, str) else child.tag not in STAYS
+        if beside and stack[-1].tag in HOLDERS and (place := last("table")) > last("template"):
+            siblings = stack[place - 1].children  # an open table is the last of them
+            siblings.insert(len(siblings) - 1, child)
+        else:
+            stack[-1].children.append(child)
 
     def text(value: str) -> None:
         if value:
-            stack[-1].children.append(html.unescape(value))
+            add(html.unescape(value))
+
+    def part(tag: str, place: int) -> None:
+        """Back to where a part of the table at that place of the stack goes."""
+        for wanted, implied in [(("thead", "tbody", "tfoot"), "tbody"), (("tr",), "tr")][: {"tr": 1, "td": 2, "th": 2}.get(tag, 0)]:
+            place += 1
+            if place == len(stack) or stack[place].tag not in wanted:
+                end(place)
+                stack[-1].children.append(Node(implied, {}))
+                push(stack[-1].children[-1])
+        end(place + 1)
 
     for m in iter(lambda: _TAG.search(source, at), None):
         text(source[at : m.start()])
@@ -75,27 +108,34 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table", "button") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            if tag in ("template", "body", "html"):
+                bar = 0
+            elif tag in PARTS:
+                bar = last("table", "template")
+            else:
+                bar = last("template") if tag == "table" else last("td", "th", "table", "button", "template")
+            if (place := last(tag)) and place >= bar:
+                end(place)
             continue
-        if tag in BLOCK and tag not in ("html", "body"):
+        if tag in BLOCK and tag not in ("html", "body") and places.get("p"):
             end_until(frozenset({"p"}), _P_SCOPE)
-        if tag in ENDS:
+        if tag in PARTS and (place := last("table")) > last("template"):
+            part(tag, place)
+        elif tag in ENDS:
             end_until(*ENDS[tag])
+        elif tag == "table" and (place := last("table")) > last("td", "th", "caption", "template"):
+            end(place)
         if tag == "body" or stack[-1].tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
             end_until(frozenset({"head"}), frozenset())
         node = Node(tag, {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])})
-        stack[-1].children.append(node)
+        lone = tag in VOID or tag == "form" and stack[-1].tag in HOLDERS
+        add(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I).search(source, at)
-            node.children.append(source[at : end.start()] if tag not in ("title", "textarea") else html.unescape(source[at : end.start()]))
-            at = end.end()
-        elif tag not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I).search(source, at)
+            node.children.append(source[at : stop.start()] if tag not in ("title", "textarea") else html.unescape(source[at : stop.start()]))
+            at = stop.end()
+        elif not lone and len(stack) < DEEPEST:
+            push(node)
     text(source[at:])
     return root
 
@@ -222,25 +262,17 @@ def table(node: Node, page: Page, shown: bool) -> None:
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell above still covers
     span = lambda cell, name: min(max(int(v), 1), 1000) if re.fullmatch(r"\d{1,6}", v := cell.attrs.get(name, "")) else 1
-    loose = Node("#loose", {})
-    loose.children = [c for c in node.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col")]
-    render(loose, page, shown)  # what a table can't hold stands before it
-    page.end()
     for row, row_shown in list(_rows(node, shown, caption)):
         cells: dict[int, list[str]] = {}
         at = 0
         fresh: dict[int, int] = {}
         for cell in row.children:
-            if isinstance(cell, str) or (shows := visible(cell, row_shown)) is None:
+            if isinstance(cell, str) or cell.tag not in ("td", "th") or (shows := visible(cell, row_shown)) is None:
                 continue
             while taken.get(at, 0) > 0:
                 at += 1
             inner = Page()
-            holder = cell
-            if cell.tag not in ("td", "th"):
-                holder = Node("#cell", {})
-                holder.children = [cell]
-            render(holder, inner, shows)
+            render(cell, inner, shows)
             inner.end()
             cells[at] = inner.lines
             wide, high = span(cell, "colspan"), span(cell, "rowspan")
