@@ -79,3 +79,19 @@ def test_thin_and_empty(spark):
     rows = [(2, "a b c d e f", 1, "x"), (1, "A b c d e f", 2, "y"), (3, None, 3, "z"), (1, "A b c d e f", 2, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int, key string")
     assert sorted(tuple(r) for r in thin(docs).collect()) == [(1, "A b c d e f", 2, "y"), (3, None, 3, "z")]
+
+
+def test_all_links_of_a_large_class(spark):
+    """Copies at about the threshold, many of which share no trie node with each other."""
+    rng = random.Random(11)
+    base = ["w%d" % i for i in range(150)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for at in rng.sample(range(150), 2):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"block_members": 30}):
+        got = [(r.id, r.class_id, r.class_size, r.links) for r in ngram_join(docs, **options).collect()]
+        assert sorted(got, key=repr) == brute(rows)

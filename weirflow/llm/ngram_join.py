@@ -10,7 +10,7 @@ Steps, each a Spark job over all documents:
 3. Candidates: trie nodes with two members or more tie their members to the least one; components of these
    ties bound where links can be, without a row for any pair.
 4. Verification: components are dealt as blocks of bounded size, all block pairs of a component as one task's
-   group each. Inside, pairs that share a trie node are compared exactly, and only a spanning forest of the
+   group each. Inside, all pairs are compared exactly, and only a spanning forest of the
    verified links and each member's number of links leave. So a group of m near copies makes rows in
    proportion to m times its number of blocks, not to m squared.
 5. Classes: components of the verified links.
@@ -159,10 +159,10 @@ def _shingles_of(words: int):
     return run
 
 
-def _compare(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _compare(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(links, root) of each member: its verified links to the other side, and the least member it hangs with.
 
-    side is 0 or 1; with all members on one side, pairs within it count. Only pairs that share a trie node are compared.
+    side is 0 or 1; with all members on one side, pairs within it count.
     """
     m = len(sets)
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -193,10 +193,6 @@ def _compare(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, thresh
         both += x @ y.T
     either = size[a][:, None] + size[b][None, :] - both
     linked = both >= threshold * either - 1e-6
-    met = np.zeros_like(linked)
-    for t in range(nodes.shape[1]):
-        met |= nodes[a, t][:, None] == nodes[b, t][None, :]
-    linked &= met
     if alone:
         np.fill_diagonal(linked, False)
     links = np.zeros(m, "int64")
@@ -224,7 +220,7 @@ def _verify(threshold: float):
             if len(group) < 2 or group["crossed"].iloc[0] and group["side"].nunique() < 2:
                 continue
             sets = [np.frombuffer(x, "uint64") for x in group["shingles"]]
-            links, root = _compare(sets, np.stack(group["nodes"].to_numpy()), group["side"].to_numpy(), threshold)
+            links, root = _compare(sets, group["side"].to_numpy(), threshold)
             names = group["node"].to_numpy()
             own = links > 0
             out.append(pd.DataFrame({"node": names[own], "root": names[root[own]], "links": links[own]}))
@@ -270,7 +266,7 @@ def ngram_join(
     ties = members.join(leaders, "trie").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     where = connected_components(ties)
 
-    placed = where.join(reps, "node").select("node", "component", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.n").alias("n"), "nodes")
+    placed = where.join(reps, "node").select("node", "component", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.n").alias("n"))
     sizes = placed.groupBy("component").agg(F.sum("n").alias("shingles"), F.count("*").alias("members"))
     blocks = F.greatest(F.ceil(F.col("shingles") / block_shingles), F.ceil(F.col("members") / block_members)).cast("int")
     sizes = sizes.select("component", blocks.alias("blocks"), "shingles")
@@ -278,12 +274,12 @@ def ngram_join(
     bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(small) // block_shingles))
     placed = cut(placed.join(sizes.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")))
     with_text = placed.join(source.withColumnRenamed("id", "i").withColumnRenamed("key", "k"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
-    with_text = with_text.select("node", "component", "blocks", "block", "nodes", "text").dropDuplicates(["node"])
-    loaded = with_text.mapInArrow(_shingles_of(words), "node bigint, component bigint, blocks int, block int, nodes array<bigint>, shingles binary")
+    with_text = with_text.select("node", "component", "blocks", "block", "text").dropDuplicates(["node"])
+    loaded = with_text.mapInArrow(_shingles_of(words), "node bigint, component bigint, blocks int, block int, shingles binary")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
     dealt = loaded.withColumn("pair", F.explode(pair)).select(
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "pair")).alias("bin"),
-        "blocks", "component", "node", "nodes", "shingles", (F.col("pair.x") != F.col("pair.y")).alias("crossed"),
+        "blocks", "component", "node", "shingles", (F.col("pair.x") != F.col("pair.y")).alias("crossed"),
         F.when((F.col("block") == F.col("pair.y")) & (F.col("pair.x") != F.col("pair.y")), 1).otherwise(0).alias("side"),
     )
     verified = cut(dealt.groupBy("bin", "blocks").applyInPandas(_verify(threshold), "node bigint, root bigint, links bigint"))
