@@ -1,6 +1,10 @@
 import random
 
+import pytest
+
+import corpus_pipeline
 from weirflow.llm.decontaminate import RATE, Matcher, bits, clean, leaks, myers, pieces, plain
+from weirflow.llm.queries import queries
 
 
 def nearest(pattern, text):
@@ -59,3 +63,18 @@ def test_tables(spark):
     assert sorted(tuple(r) for r in clean(docs, items).collect()) == [(2, "clean text", 6), (3, None, 7), (4, "", 8)]
     assert clean(docs.limit(0), items).count() == 0 and clean(docs, items.limit(0)).count() == 7
     assert leaks(docs, items.limit(0)).columns == ["doc_id", "item_id", "start", "end", "distance"]
+
+
+@pytest.mark.parametrize("block_chars", [1_000_000, 5])
+def test_two_texts_of_one_id_and_a_null_id(spark, block_chars, tmp_path):
+    a, b, c = "first passage under this id", "second and other passage here", "an item without any id at all"
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"{b} {a}"), (3, f"so {c}"), (4, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, a), (7, b), (7, b), (None, c), (None, "no such text in here")], "item_id long, text string")
+    want = [(1, 7, 2), (2, 7, 0), (2, 7, len(b) + 1), (3, None, 3)]
+    found = leaks(docs, items, block_chars=block_chars, unnamed=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.start) for r in found) == want
+    assert [r.doc_id for r in clean(docs, items, block_chars=block_chars, unnamed=True).collect()] == [4]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r.doc_id, r.item_id, r.start) for r in queries()["op10_decontamination"](spark, str(tmp_path)).collect()) == want
+    assert [r.doc_id for r in corpus_pipeline.clean(spark, docs, str(tmp_path)).collect()] == [4]

@@ -66,11 +66,12 @@ def bits(pattern: str) -> dict[str, int]:
 
 
 class Matcher:
-    """Finds the items of one block in texts."""
+    """Finds the items of one block in texts. Each row of items is looked for, whatever its id."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         self.rate = rate
-        self.items = {i: p for i, t in items if (p := plain(t))}
+        self.ids = [i for i, _ in items]
+        self.items = {row: p for row, (_, t) in enumerate(items) if (p := plain(t))}
         self.bits = {i: bits(p) for i, p in self.items.items()}
         self.back = {i: bits(p[::-1]) for i, p in self.items.items()}
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -83,7 +84,7 @@ class Matcher:
         if self.items:
             self.tree.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def find(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item, start, end, distance) of the nearest passage of each item that is within its budget.
 
         start and end are offsets in the plain text; of equally near passages the first counts.
@@ -115,8 +116,8 @@ class Matcher:
                 window = text[max(0, stop - n - budget) : stop][::-1]
                 # read backwards from its end, the passage is the prefix at which the item's distance is the same
                 begin = stop - _prefix(self.back[i], n, window, distance)
-                found.append((i, begin, stop, distance))
-        return sorted(found)
+                found.append((self.ids[i], begin, stop, distance))
+        return sorted(found, key=lambda hit: (hit[0] is None, hit))
 
 
 def _prefix(pattern_bits: dict[str, int], n: int, text: str, distance: int) -> int:
@@ -141,10 +142,11 @@ def _prefix(pattern_bits: dict[str, int], n: int, text: str, distance: int) -> i
     return len(text)
 
 
-def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of a bounded number of characters, one block at a time on the driver."""
+def _blocks(items: DataFrame, most: int, unnamed: bool) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct items (id and text) in blocks of a bounded number of characters, one block at a time on the driver."""
     block, size = [], 0
-    for row in items.where("item_id is not null").select("item_id", "text").toLocalIterator():
+    items = items if unnamed else items.where("item_id is not null")
+    for row in items.select("item_id", "text").distinct().toLocalIterator():
         block.append((row.item_id, row.text))
         size += len(row.text or "") + 1
         if size >= most:
@@ -154,19 +156,20 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", keep: list[str] | None = None, unnamed: bool = False) -> DataFrame:
     """One row for each document and item that it holds: the kept columns, item_id, start, end, distance.
 
     keep are the columns of docs that stay (its id, if not given). Null, empty and blank texts and items match nothing; an
-    item too short for an edit is matched exactly; items that repeat an id are matched as one of them. Rows that repeat are
-    matched each. The benchmark is broadcast in blocks of block_chars, each matched in a pass of its own.
+    item too short for an edit is matched exactly. Items that repeat an id with other texts are matched each, those that repeat
+    both once. Items with a null id take part if `unnamed`, as in the query and the pipeline, and report a null item_id; else they
+    match nothing. Documents that repeat are matched each. The benchmark is broadcast in blocks of block_chars, each matched in a pass of its own.
     """
     keep = [id_col] if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"_{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep)))
     schema = f"{kinds}, item_id bigint, start int, end int, distance int"
     found = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(items, block_chars):
+    for block in _blocks(items, block_chars, unnamed):
         shared = docs.sparkSession.sparkContext.broadcast((block, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -185,9 +188,9 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
     return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "item_id", "start", "end", "distance")
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents that hold no item, with all their columns. One pass for each block of items."""
-    for block in _blocks(items, block_chars):
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
+    """The documents that hold no item, with all their columns; `unnamed` as in leaks(). One pass for each block of items."""
+    for block in _blocks(items, block_chars, unnamed):
         shared = docs.sparkSession.sparkContext.broadcast((block, rate))
 
         @F.pandas_udf("boolean")

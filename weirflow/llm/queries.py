@@ -23,7 +23,7 @@ def queries() -> dict[str, Query]:
         "op7_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
         "op8_secrets": lambda spark, d: secrets.report(table(spark, d, "documents")),
         "op9_quality": lambda spark, d: quality.score_report(table(spark, d, "documents"), table(spark, d, "labels")),
-        "op10_decontamination": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op10_decontamination": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), unnamed=True),
     }
 
 
