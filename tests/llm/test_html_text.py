@@ -94,3 +94,25 @@ def test_hard_rows(spark):
 )
 def test_nothing_lost_in_tables_and_at_quotes(source, want):
     assert text_of(source)[1] == want
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>.", "so x=2."),
+        ("a <textarea>b &amp; c\nd  e</textarea> f", "a b & c\nd  e f"),
+        ("<object data=x><p>instead</object>z", "instead\n\nz"),
+        ("<div>" * 300 + "a<div hidden>b</div><p style='display:none'>c</p>d" + "</div>" * 300, "ad"),
+        ("<div hidden>" + "<b>" * 300 + "<div>x</div>y" + "</b>" * 300 + "</div>z", "z"),
+        ("<b>" * 300 + "<div hidden><i>n</i>o</div>" + "</b>" * 300 + "<ul><li>p</ul>", "- p"),
+        ("<table><tr><td>" * 400 + "x", "x"),
+    ],
+)
+def test_visible_at_any_depth(source, want):
+    assert text_of(source)[1] == want
+
+
+def test_deep_pages_take_little():
+    lists = text_of("<ul><li>x" * 3_000)[1].split("\n")
+    assert len(lists) == 3_000 and max(map(len, lists)) < 100
+    assert text_of("<div>" * 20_000 + "</b>" * 20_000 + "<p>x" * 20_000)[1].count("x") == 20_000

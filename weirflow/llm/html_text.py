@@ -1,5 +1,10 @@
 """HTML extraction: a tree with implied tags, visibility rules, and a text layout of what is visible.
 
+What a page shows without scripts, plug-ins and media is visible: text of math (not its annotations) and textarea, and
+what object holds for want of its data. Choices of select, text in svg, and what audio, video, canvas, iframe and noscript
+hold for others are not text of the page; nor is what HIDDEN, hidden, display:none, visibility or a closed details or dialog hides.
+Elements may nest to any depth.
+
 Each page is one row, so pages are laid out in the tasks that read them; the helper for one page is below.
 """
 
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math select textarea".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist audio video canvas svg select annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul xmp caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure hr fieldset xmp".split())
 #: A start tag of the key ends an open element of the values; the search for it stops at a scope.
@@ -38,8 +43,8 @@ STAYS = PARTS | frozenset("script style template form".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)?)*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))?)?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-#: Elements nest this deep at most; deeper ones become siblings.
-DEEPEST = 200
+#: Lines are indented by this much at most, however deep their list.
+INDENT = 80
 #: Cells are padded to the width of their column up to this; a wider cell pushes its row out.
 WIDEST = 40
 
@@ -134,7 +139,7 @@ def parse(source: str) -> Node:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I).search(source, at)
             node.children.append(source[at : stop.start()] if tag not in ("title", "textarea") else html.unescape(source[at : stop.start()]))
             at = stop.end()
-        elif not lone and len(stack) < DEEPEST:
+        elif not lone:
             push(node)
     text(source[at:])
     return root
@@ -189,7 +194,19 @@ def visible(node: Node, shown: bool) -> bool | None:
     return True if "visibility:visible" in style else shown
 
 
-def render(node: Node, page: Page, shown: bool = True, count: list[int] | None = None, pre: bool = False) -> None:
+def walk(steps: Iterator) -> None:
+    """Runs steps that yield the steps to take before they go on, without recursion."""
+    stack = [steps]
+    while stack:
+        more = next(stack[-1], None)
+        if more is None:
+            stack.pop()
+        else:
+            stack.append(more)
+
+
+def render(node: Node, page: Page, shown: bool = True, count: list[int] | None = None, pre: bool = False) -> Iterator[Iterator]:
+    """Steps for walk()."""
     closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
@@ -218,7 +235,7 @@ def render(node: Node, page: Page, shown: bool = True, count: list[int] | None =
                 page.write(child.attrs["alt"])
         elif tag == "table":
             page.end(page.indent == "")
-            table(child, page, shows)
+            yield table(child, page, shows)
             page.end(True)
         elif tag in BLOCK:
             nested = tag in ("ul", "ol") and page.indent != ""
@@ -228,18 +245,18 @@ def render(node: Node, page: Page, shown: bool = True, count: list[int] | None =
                 if count is not None:
                     count[0] = int(child.attrs["value"]) if re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")) else count[0] + 1
                 mark = "- " if count is None else f"{count[0]}. "
-                page.mark, page.indent = mark, before + " " * len(mark)
+                page.mark, page.indent = mark, before + " " * len(mark) if len(before) < INDENT else before
             elif tag in ("dd", "blockquote"):
-                page.indent = before + "  "
+                page.indent = before + "  " if len(before) < INDENT else before
             start = child.attrs.get("start", "")
             numbers = [int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0] if tag == "ol" else None if tag in ("ul", "menu", "dir") else count
-            render(child, page, shows, numbers, pre or tag in ("pre", "xmp"))
+            yield render(child, page, shows, numbers, pre or tag in ("pre", "xmp"))
             page.end(tag in SPACED and not nested)
             page.indent = before
             if tag == "li":
                 page.mark = ""
         else:
-            render(child, page, shows, count, pre)
+            yield render(child, page, shows, count, pre or tag == "textarea")
             if tag in ("td", "th"):  # a cell outside of a table
                 page.write(" ")
 
@@ -256,8 +273,8 @@ def _rows(node: Node, shown: bool, caption: list[tuple[Node, bool]]) -> Iterator
             caption.append((child, shows))
 
 
-def table(node: Node, page: Page, shown: bool) -> None:
-    """Rows with cells side by side, each column as wide as its widest cell; spans keep their columns free."""
+def table(node: Node, page: Page, shown: bool) -> Iterator[Iterator]:
+    """Rows with cells side by side, each column as wide as its widest cell; spans keep their columns free. Steps for walk()."""
     caption: list[tuple[Node, bool]] = []
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell above still covers
@@ -272,7 +289,7 @@ def table(node: Node, page: Page, shown: bool) -> None:
             while taken.get(at, 0) > 0:
                 at += 1
             inner = Page()
-            render(cell, inner, shows)
+            yield render(cell, inner, shows)
             inner.end()
             cells[at] = inner.lines
             wide, high = span(cell, "colspan"), span(cell, "rowspan")
@@ -282,7 +299,7 @@ def table(node: Node, page: Page, shown: bool) -> None:
         taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n - 1 for c, n in fresh.items() if n > 1}
         grid.append(cells)
     for part, shows in caption:
-        render(part, page, shows)
+        yield render(part, page, shows)
         page.end()
     ends: dict[int, int] = {}
     columns = sorted({c for cells in grid for c in cells})
@@ -302,7 +319,7 @@ def text_of(source: str | None) -> tuple[str, str]:
     """(title, text) of a page; null and empty pages have empty ones."""
     root = parse(source or "")
     page = Page()
-    render(root, page)
+    walk(render(root, page))
     page.end()
     return title(root), "\n".join(page.lines).strip("\n")
 
