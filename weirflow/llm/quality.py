@@ -4,11 +4,12 @@ The model is logistic over two kinds of features of the whole text: statistics (
 and marks, lengths, repetition) and hashed trigrams of character shapes. It learns from trusted positives
 (labels.quality = 1) and unlabelled documents only; negatives are never read. The class prior, the share of
 positives in unlabelled text, is estimated by best-bin estimation (Garg et al., "Mixture proportion estimation
-and PU learning", 2021) on rows that a first classifier of positives against unlabelled has not seen, and the risk
-is that of Kiryo et al. ("Positive-unlabeled learning with non-negative risk estimator", 2017).
+and PU learning", 2021): a first classifier of positives against unlabelled scores all documents that it hasn't learned from and
+that aren't held out, and counts of scores decide. The risk is that of Kiryo et al. ("Positive-unlabeled learning with
+non-negative risk estimator", 2017).
 
-The fit reads a bounded sample: at most `most_positive` and `most_unlabelled` documents, those with the least
-keyed hash of their id. Scoring reads every text in full.
+The fit reads a bounded sample: `most_positive` and `most_unlabelled` documents are expected in it, those whose keyed hash of the id
+is below a threshold, and more are cut off. The prior and the scores are of every text in full.
 """
 
 from __future__ import annotations
@@ -18,12 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled and unlabelled samples that the fit reads.
 MOST_POSITIVE, MOST_UNLABELLED = 6_000, 12_000
 CUT = 0.3
+#: Texts that have their features in memory at once, and bytes of them.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+#: Counts of scores are by steps of this width of the margin.
+STEP = 0.02
 SHAPES, STATS = 512, 20
 _CLASSES = 40
 _LETTER, _UPPER, _DIGIT, _SPACE, _LINE = 0, 1, 2, 3, 4
@@ -105,9 +112,12 @@ class Model:
     weights: np.ndarray
     prior: float
 
-    def score(self, texts: pd.Series) -> pd.Series:
+    def margins(self, texts: list[str | None]) -> np.ndarray:
         rows = np.stack([features(t) for t in texts]) if len(texts) else np.zeros((0, STATS + SHAPES), "float32")
-        return pd.Series(1 / (1 + np.exp(-np.clip(rows @ self.weights, -30, 30))), dtype="float64")
+        return np.clip(rows @ self.weights, -30, 30)
+
+    def score(self, texts: pd.Series) -> pd.Series:
+        return pd.Series(_sigmoid(self.margins(list(texts))), dtype="float64")
 
 
 def _descend(gradient, width: int, steps: int = 600, rate: float = 0.05) -> np.ndarray:
@@ -124,29 +134,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-4, delta: float = 0.1) -> float:
-    """Best-bin estimate of the share of positives among the unlabelled rows.
-
-    Every other row trains positives against unlabelled. On the rest, of all score thresholds the one whose
-    upper confidence bound of (share of unlabelled above it) / (share of positives above it) is least decides.
-    """
-    x, y = positive[::2], unlabelled[::2]
+def first_classifier(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-4) -> np.ndarray:
+    """Weights of positives against unlabelled rows."""
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        return -(x.T @ _sigmoid(-(x @ w))) / len(x) + y.T @ _sigmoid(y @ w) / len(y) + 2 * penalty * w
+        return -(positive.T @ _sigmoid(-(positive @ w))) / len(positive) + unlabelled.T @ _sigmoid(unlabelled @ w) / len(unlabelled) + 2 * penalty * w
+
+    return _descend(gradient, positive.shape[1], steps=200)
+
 
-    w = _descend(gradient, x.shape[1], steps=200)
-    p, u = np.sort(positive[1::2] @ w), np.sort(unlabelled[1::2] @ w)
-    if not len(p) or not len(u):
+def best_bin(positive: np.ndarray, margins: np.ndarray, counts: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from margins of positives and counts of unlabelled rows by margin, in order.
+
+    Of all thresholds the one whose upper confidence bound of (share of unlabelled at or above it) / (share of positives at or
+    above it) is least decides.
+    """
+    if not len(positive) or not counts.sum():
         return 0.5
+    p, n = np.sort(positive), counts.sum()
     at = np.unique(p)
+    above = np.append(np.cumsum(counts[::-1])[::-1], 0)
     share_p = 1 - np.searchsorted(p, at, "left") / len(p)
-    share_u = 1 - np.searchsorted(u, at, "left") / len(u)
-    width = np.sqrt(np.log(4 / delta) / 2 / len(u)) + np.sqrt(np.log(4 / delta) / 2 / len(p))
+    share_u = above[np.searchsorted(margins, at, "left")] / n
+    width = np.sqrt(np.log(4 / delta) / 2 / n) + np.sqrt(np.log(4 / delta) / 2 / len(p))
     best = np.argmin((share_u + width) / share_p)
     return float(np.clip(share_u[best] / share_p[best], 0.05, 0.99))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-4, delta: float = 0.1) -> float:
+    """Best-bin estimate from rows in memory: every other one trains the first classifier, the rest is counted."""
+    w = first_classifier(positive[::2], unlabelled[::2], penalty)
+    u = np.sort(unlabelled[1::2] @ w)
+    return best_bin(positive[1::2] @ w, u, np.ones(len(u)), delta)
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, penalty: float = 1e-5) -> Model:
     """Minimise prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)]) + penalty * |w|^2."""
     prior = estimate_prior(positive, unlabelled) if prior is None else prior
@@ -167,39 +188,77 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _matrix(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
-    """Feature rows of the documents with these ids (at most `most` of them, so that the broadcast is bounded)."""
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """SLICE_ROWS texts of about SLICE_BYTES at most, or one."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        end = int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE_BYTES, "right"))
+        end = min(max(start + 1, end), start + SLICE_ROWS)
+        yield texts.slice(start, end - start)
+        start = end
+
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: features(t).tobytes())
+def _by_slices(kind: str, each) -> Column:
+    """An Arrow UDF that maps a list of texts to an array, a slice at a time."""
 
-    rows = docs.join(F.broadcast(ids.limit(most)), "doc_id").select(packed("text").alias("x")).limit(most).toPandas()["x"]
-    return np.stack([np.frombuffer(x, "float32") for x in rows]).astype("float64") if len(rows) else np.zeros((0, STATS + SHAPES))
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([each(part.to_pylist()) for part in _slices(texts)]) if len(texts) else each([])
+
+    return run
+
+
+def _chosen(seed: int, share: float) -> Column:
+    """A keyed hash of the id is below that share of its range."""
+    return F.xxhash64("doc_id", F.lit(seed)) < F.lit(int(share * 2**64) - 2**63 if share < 1 else 2**63 - 1)
+
+
+def _first_half() -> Column:
+    """Rows that the first classifier learns from, if they are in the sample."""
+    return F.xxhash64("doc_id", F.lit(3)) % 2 == 0
+
+
+def _matrix(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature rows, which are of the first half) of documents, in order of id and features; `most` at most."""
+    packed = _by_slices("binary", lambda texts: pa.array([features(t).tobytes() for t in texts], pa.binary()))
+    got = rows.select("doc_id", _first_half().alias("half"), packed("text").alias("x")).limit(2 * most).toPandas().sort_values(["doc_id", "x"])[:most]
+    x = np.stack([np.frombuffer(x, "float32") for x in got["x"]]).astype("float64") if len(got) else np.zeros((0, STATS + SHAPES))
+    return x, got["half"].to_numpy(bool)
+
+
+def _margin_counts(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(margins in order, rows with each) over all rows, from one aggregation: 60 / STEP values at most."""
+    shared = rows.sparkSession.sparkContext.broadcast(Model(weights, 0.5))
+    step = _by_slices("int", lambda texts: pa.array(np.floor(shared.value.margins(texts) / STEP).astype("int32")))
+    got = sorted(tuple(r) for r in rows.select(step("text").alias("step")).groupBy("step").count().collect())
+    return np.array([s * STEP for s, _ in got]), np.array([n for _, n in got], "int64")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """The model of these documents and labels; without positives or documents to learn from, one that scores 0.5."""
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    least = lambda ids, seed, n: ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
-    positive = _matrix(docs, least(trusted, 1, most_positive), most_positive)
-    unlabelled = _matrix(docs, least(docs.select("doc_id"), 2, most_unlabelled).distinct(), most_unlabelled)
+    share = most_unlabelled / max(1, docs.count())
+    known = trusted.where(_chosen(1, most_positive / max(1, trusted.count()))).limit(2 * most_positive)
+    positive, first_p = _matrix(docs.join(F.broadcast(known), "doc_id", "left_semi"), most_positive)
+    unlabelled, first_u = _matrix(docs.where(_chosen(2, share)), most_unlabelled)
     if len(positive) < 2 or len(unlabelled) < 2:
         return Model(np.zeros(STATS + SHAPES), 0.5)
-    return fit_pu(positive, unlabelled)
+    if not (first_p.any() and first_u.any()):
+        return fit_pu(positive, unlabelled, 0.5)
+    w = first_classifier(positive[first_p], unlabelled[first_u])
+    margins, counts = _margin_counts(docs.where(~(_chosen(2, share) & _first_half())), w)
+    prior = best_bin(np.floor(np.clip(positive[~first_p] @ w, -30, 30) / STEP) * STEP, margins, counts)
+    return fit_pu(positive, unlabelled, prior)
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:
     """The score of a text, as a column; the model's few kilobytes go to executors by broadcast."""
     shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield shared.value.score(texts)
-
-    return scored(F.col(text).cast("string"))
+    scored = _by_slices("double", lambda texts: pa.array(_sigmoid(shared.value.margins(texts)), pa.float64()))
+    return scored(F.col(f"`{text}`").cast("string"))
 
 
 def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,6 +273,9 @@ def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns."""
+    """The documents that the classifier doesn't reject, with all their columns, whatever their names.
+
+    Null and empty texts go by the score of the bias alone; repeated rows share their fate; an empty table stays empty.
+    """
     model = fit(docs, labels)
     return docs.where(score_column(docs.sparkSession, model) >= CUT)
