@@ -32,6 +32,28 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def hot_keys(rows: DataFrame, key: str, share: float, least: int) -> DataFrame:
+    """The values of a column that `share` of all rows have, or more, and `least` rows at any rate: 1 / share values at most."""
+    total = rows.count()
+    return cut(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= max(least, total * share)).select(key))
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
+    """rows joined (inner or left) with a lookup of one row for each key, without bringing a hot key's rows together.
+
+    Rows of hot keys stay where they are and meet a broadcast of the lookup's rows for those keys, one for each; rows without a
+    key need no join. The others are shuffled.
+    """
+    few = lookup.join(F.broadcast(hot), key, "left_semi")
+    warm = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
+    cold = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(lookup, key, how)
+    found = cold.unionByName(warm)
+    if how == "left":
+        added = [F.lit(None).cast(f.dataType).alias(f.name) for f in lookup.schema if f.name != key]
+        found = found.unionByName(rows.where(F.col(key).isNull()).select("*", *added))
+    return found
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of the undirected edges (a, b): component is the least node of its component.
 
