@@ -2,18 +2,20 @@
 
 Steps, each a Spark job over all documents:
 
-1. Sets: the distinct five-word shingles of each text, as 64-bit hashes; a digest of the sorted set names it.
+1. Sets: the distinct five-word shingles of each text, as 64-bit hashes; a 128-bit digest of the sorted set names it.
    Documents with one set are copies: the set is one node, from here on.
-2. Forest: `trees` signatures of `deepest` minhashes a node. A node of the prefix trie of tree t at depth d is
-   named by the hash of the first d minhashes. Prefixes start at full depth and shorten until the chance that
-   a pair at the threshold shares one in some tree reaches the target recall (`stop_depth`).
-3. Candidates: trie nodes with two members or more tie their members to the least one; components of these
-   ties bound where links can be, without a row for any pair.
-4. Verification: components are dealt as blocks of bounded size, all block pairs of a component as one task's
-   group each. Inside, all pairs are compared exactly, and only a spanning forest of the
-   verified links and each member's number of links leave. So a group of m near copies makes rows in
-   proportion to m times its number of blocks, not to m squared.
-5. Classes: components of the verified links.
+2. Forest: in each of `trees` prefix tries, a node's label is its `deepest` minhashes. The tries are sorted arrays: labels in order,
+   dealt by ranges, so a trie node with many members lies over many tasks. How far the labels of neighbours agree is the depth of
+   the deepest trie node that holds both: chains of neighbours that agree to depth d are the trie nodes of depth d.
+3. Rounds: prefixes start at full depth. Components of the chains are compared exactly (4), which tells of the least similarity
+   of pairs about the threshold; prefixes are shortened until a pair like that shares one in some tree with the chance `recall`,
+   and to `stop_depth`, where that holds for any pair at the threshold, if no pair is found. Components that a round changes
+   are compared again, others aren't.
+4. Verification: components are dealt as blocks of bounded size, all block pairs of a component as one task's group each. Inside,
+   pairs meet by the shingles they share, whether or not they share a trie node, and only a spanning forest of the links and
+   each member's number of links leave. So a group of m near copies makes rows in proportion to m times its number of
+   blocks, not to m squared.
+5. Classes: components of the links.
 """
 
 from __future__ import annotations
@@ -25,22 +27,31 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, text_key
+from .common import connected_components, cut, hot_keys, join_hot, text_key
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 16, 8, 0.99
 #: Shingles and members of a block, at most on average; two blocks are in memory at once.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 1024
-_SEED = 20_240_601
+#: Pairs less similar than the threshold by this much still tell that there may be pairs at it.
+NEAR = 0.15
+#: Sets and classes with this share of all rows, and this many, are joined by broadcast.
+HOT_SHARE, HOT_ROWS = 0.0005, 1000
+_SEED, _BITS = 20_240_601, 16
+
+
+def chance(similarity: float, depth: int, trees: int = TREES) -> float:
+    """That a pair of that similarity shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def stop_depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
     """The longest prefix at which a pair of that similarity shares a trie node with chance `recall` at least."""
     for depth in range(deepest, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
+        if chance(threshold, depth, trees) >= recall:
             return depth
     raise ValueError("more trees are needed for this recall")
 
@@ -97,31 +108,65 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 
 
 class Forest:
-    """Names of the trie nodes of a set, one for each tree, at a given depth."""
+    """Labels of a set: in each tree `deepest` minhashes of 16 bits, the first on top, as two numbers of 64 bits."""
 
-    def __init__(self, trees: int, deepest: int, depth: int):
-        self.trees, self.deepest, self.depth = trees, deepest, depth
+    def __init__(self, trees: int, deepest: int):
+        if not 1 <= deepest <= 8:
+            raise ValueError("a label holds 8 minhashes at most")
+        self.trees, self.deepest = trees, deepest
         rng = np.random.default_rng(_SEED)
-        n = trees * deepest
-        self.mul = rng.integers(1, 1 << 63, n, dtype="uint64") | np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, n, dtype="uint64")
-        used = np.zeros((trees, deepest), bool)
-        used[:, :depth] = True
-        self.used = np.flatnonzero(used)  # deeper minhashes don't show at this depth
-
-    def nodes(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.empty(len(self.used), "uint64")
-        for at in range(0, len(self.used), 16):
-            own = self.used[at : at + 16]
-            low = np.full(len(own), np.iinfo("uint64").max, "uint64")
+        self.mul = rng.integers(1, 1 << 63, trees * deepest, dtype="uint64") | np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, trees * deepest, dtype="uint64")
+
+    def labels(self, shingles: np.ndarray) -> np.ndarray:
+        """High and low number of each tree in turn."""
+        least = np.full(len(self.mul), np.iinfo("uint64").max, "uint64")
+        for at in range(0, len(least), 16):
+            own = slice(at, at + 16)
             for chunk in range(0, len(shingles), 4096):
                 x = shingles[None, chunk : chunk + 4096] * self.mul[own, None] + self.add[own, None]
-                low = np.minimum(low, x.min(axis=1))
-            least[at : at + 16] = low
-        named = np.arange(1, self.trees + 1, dtype="uint64")
-        for column in least.reshape(self.trees, self.depth).T:
-            named = _mix(named * np.uint64(0x9E3779B97F4A7C15) + column)
-        return named.view("int64")
+                least[own] = np.minimum(least[own], x.min(axis=1))
+        small = np.zeros((self.trees, 8), "uint64")
+        small[:, : self.deepest] = (_mix(least) & np.uint64((1 << _BITS) - 1)).reshape(self.trees, self.deepest)
+        out = np.zeros((self.trees, 2), "uint64")
+        for k in range(8):
+            out[:, k // 4] |= small[:, k] << np.uint64(48 - _BITS * (k % 4))
+        return out.ravel().view("int64")
+
+
+def _neighbours(deepest: int, least: int):
+    """(a, b, depth) of neighbours whose labels agree to depth `least` or deeper, from rows in order of tree, label and node; and,
+    with depth null, the first and the last row of the range. Only the last row is remembered from batch to batch."""
+    names = ["a", "b", "depth", "tree", "high", "low"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def end(row: tuple) -> pa.RecordBatch:
+        tree, high, low, node = row
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((node, node, None, tree, high, low), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, high, low, node = (batch[c].to_numpy(zero_copy_only=False) for c in ("tree", "high", "low", "node"))
+            if last is None:
+                yield end((tree[0], high[0], low[0], node[0]))
+            else:
+                tree, high, low, node = (np.concatenate([[x], y]) for x, y in zip(last, (tree, high, low, node), strict=True))
+            last = tree[-1], high[-1], low[-1], node[-1]
+            words = [(x[1:] ^ x[:-1]).view("uint64") for x in (high.astype("int64"), low.astype("int64"))]
+            same, depth = tree[1:] == tree[:-1], np.zeros(len(tree) - 1, "int32")
+            for k in range(deepest):
+                same = same & ((words[k // 4] >> np.uint64(48 - _BITS * (k % 4))) == 0)
+                depth += same
+            own = depth >= least
+            out = [node[1:][own], node[:-1][own], depth[own], tree[1:][own], high[1:][own], low[1:][own]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
+        if last is not None:
+            yield end(last)
+
+    return run
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -140,10 +185,10 @@ def _sets_of(words: int, forest: Forest):
         for batch in _slices(batches, "text"):
             sets = shingle_sets(batch["text"], words)
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            nodes = [forest.nodes(s) if len(s) else None for s in sets]
+            labels = [forest.labels(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["key"], pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes, pa.list_(pa.int64()))],
-                names=["id", "key", "set", "n", "nodes"],
+                [batch["id"], batch["key"], pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(labels, pa.list_(pa.int64()))],
+                names=["id", "key", "set", "n", "labels"],
             )
 
     return run
@@ -159,10 +204,12 @@ def _shingles_of(words: int):
     return run
 
 
-def _compare(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of each member: its verified links to the other side, and the least member it hangs with.
+def _compare(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links, root, least) of each member: its verified links to the other side, the least member it hangs with, and the least
+    similarity of its pairs from threshold - NEAR on (2 if none).
 
-    side is 0 or 1; with all members on one side, pairs within it count.
+    side is 0 or 1; with all members on one side, pairs within it count. Pairs meet by shared shingles, in a product of the
+    incidence matrices of both sides, some shingles at a time.
     """
     m = len(sets)
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -193,8 +240,15 @@ def _compare(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tupl
         both += x @ y.T
     either = size[a][:, None] + size[b][None, :] - both
     linked = both >= threshold * either - 1e-6
+    similar = both / either
+    similar[similar < threshold - NEAR] = 2
     if alone:
         np.fill_diagonal(linked, False)
+        np.fill_diagonal(similar, 2)
+    least = np.full(m, 2.0)
+    least[a] = similar.min(axis=1, initial=2)
+    if not alone:
+        least[b] = similar.min(axis=0, initial=2)
     links = np.zeros(m, "int64")
     links[a] += linked.sum(axis=1)
     if not alone:
@@ -208,27 +262,81 @@ def _compare(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tupl
         np.minimum.at(new, b, low_b)
         new = np.minimum(new, new[new])
         if (new == root).all():
-            return links, root
+            return links, root, least
         root = new
 
 
+_VERIFIED = "node bigint, root bigint, links bigint, least double"
+
+
 def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"node": [], "root": [], "links": []}).astype("int64").assign(least=0.0)]
         for _, group in pdf.groupby("component", sort=False):
             group = group.sort_values("node")
             if len(group) < 2 or group["crossed"].iloc[0] and group["side"].nunique() < 2:
                 continue
             sets = [np.frombuffer(x, "uint64") for x in group["shingles"]]
-            links, root = _compare(sets, group["side"].to_numpy(), threshold)
+            links, root, least = _compare(sets, group["side"].to_numpy(), threshold)
             names = group["node"].to_numpy()
-            own = links > 0
-            out.append(pd.DataFrame({"node": names[own], "root": names[root[own]], "links": links[own]}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "root": [], "links": []}).astype("int64")
+            own = (links > 0) | (least < 2)
+            out.append(pd.DataFrame({"node": names[own], "root": names[root[own]], "links": links[own], "least": least[own]}))
+        return pd.concat(out)
 
     return run
 
 
+def _trie_ties(reps: DataFrame, trees: int, deepest: int, least: int) -> DataFrame:
+    """(a, b, depth) of sets that are neighbours in some tree's order, down to depth `least`."""
+    label = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.get("labels", 2 * t).alias("high"), F.get("labels", 2 * t + 1).alias("low")))
+    entries = reps.select("node", F.explode(label).alias("x")).select("x.tree", "x.high", "x.low", "node")
+    schema = "a bigint, b bigint, depth int, tree int, high bigint, low bigint"
+    order = ["tree", "high", "low", "node"]
+    found = cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(deepest, least), schema))
+    ends = found.where("depth is null").select("tree", "high", "low", F.col("a").alias("node"))  # two rows of each range
+    across = ends.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(deepest, least), schema)
+    return cut(found.where("depth is not null").unionByName(across.where("depth is not null")).select("a", "b", "depth").where("a <> b"))
+
+
+def _verified(where: DataFrame, loaded: DataFrame, threshold: float, block_shingles: int, block_members: int) -> DataFrame:
+    """The verified links of components (node, component), whose shingles are loaded (node, n, shingles)."""
+    placed = where.join(loaded, "node")
+    sizes = placed.groupBy("component").agg(F.sum("n").alias("shingles"), F.count("*").alias("members"))
+    blocks = F.greatest(F.ceil(F.col("shingles") / block_shingles), F.ceil(F.col("members") / block_members)).cast("int")
+    sizes = cut(sizes.select("component", blocks.alias("blocks"), F.col("shingles").alias("total")))
+    small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    bins = max(2 * int(where.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(small) // block_shingles))
+    placed = placed.join(sizes.drop("total"), "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
+    dealt = placed.withColumn("pair", F.explode(pair)).select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "pair")).alias("bin"),
+        "blocks", "component", "node", "shingles", (F.col("pair.x") != F.col("pair.y")).alias("crossed"),
+        F.when((F.col("block") == F.col("pair.y")) & (F.col("pair.x") != F.col("pair.y")), 1).otherwise(0).alias("side"),
+    )
+    return dealt.groupBy("bin", "blocks").applyInPandas(_verify(threshold), _VERIFIED)
+
+
+def _rounds(ties: DataFrame, loaded: DataFrame, threshold: float, trees: int, deepest: int, recall: float, block_shingles: int, block_members: int) -> DataFrame:
+    """The verified links (node, root, links, least), from prefixes that are shortened until the target recall."""
+    floor = stop_depth(threshold, trees, deepest, recall)
+    depth, before, verified = deepest, None, None
+    while True:
+        where = cut(connected_components(ties.where(F.col("depth") >= depth)))
+        if verified is None:
+            verified = cut(_verified(where, loaded, threshold, block_shingles, block_members))
+        else:
+            new = ties.where((F.col("depth") >= depth) & (F.col("depth") < before)).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            changed = cut(where.join(where.join(new, "node").select("component").distinct(), "component", "left_semi").select("node", "component"))
+            again = _verified(changed, loaded, threshold, block_shingles, block_members)
+            verified = cut(verified.join(changed.select("node"), "node", "left_anti").unionByName(again))
+        least = verified.agg(F.min("least")).first()[0]
+        like = threshold if least is None else max(threshold, least)
+        enough = [d for d in range(depth, floor - 1, -1) if chance(like, d, trees) >= recall]
+        if depth == floor or least is not None and enough and enough[0] == depth:
+            return verified.where("links > 0")
+        depth, before = enough[0] if least is not None and enough else floor, depth
+
+
 def ngram_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -241,68 +349,62 @@ def ngram_join(
     block_shingles: int = BLOCK_SHINGLES,
     block_members: int = BLOCK_MEMBERS,
 ) -> DataFrame:
-    """One row per document: id, key, class_id, class_size, links.
+    """One row per document: id, key, class_id, class_key, class_size, links.
 
     Two documents are linked when the Jaccard similarity of their shingle sets is `threshold` or more; a class is a
-    component of links. class_id is the least id of the class, class_size its number of documents. links is
-    the number of other *sets* in link with the document's own: copies of one set count once.
+    component of links. (class_id, class_key) is the first document of the class by id (nulls last) and key, class_size its number
+    of documents. links is the number of other *sets* in link with the document's own: copies of one set count once.
 
     Texts without words (null, empty, blank) are classes of their own, with class_id null and links 0. A text of fewer
     words than a shingle is one shingle. Rows that repeat an id and text stay rows of one class; `key`
     (a hash of the text) tells rows with one id and different texts apart. A null id takes part in joins; a class
     of null ids only has class_id null. An empty table gives an empty result; other columns are not read.
     """
-    depth = stop_depth(threshold, trees, deepest, recall)
-    source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    floor = stop_depth(threshold, trees, deepest, recall)
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
-    sets = cut(source.mapInArrow(_sets_of(words, Forest(trees, deepest, depth)), f"id {id_type}, key bigint, set binary, n int, nodes array<bigint>"))
-    node = F.xxhash64("set").alias("node")
-    named = sets.select("id", "key", "set", node, "n", "nodes")
-    reps = named.where("set is not null").groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "key", "n")).alias("first"), F.first("nodes").alias("nodes")
-    )
-    members = reps.select("node", "first.n", F.explode("nodes").alias("trie"))
-    leaders = members.groupBy("trie").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1").select("trie", "leader")
-    ties = members.join(leaders, "trie").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    where = connected_components(ties)
-
-    placed = where.join(reps, "node").select("node", "component", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.n").alias("n"))
-    sizes = placed.groupBy("component").agg(F.sum("n").alias("shingles"), F.count("*").alias("members"))
-    blocks = F.greatest(F.ceil(F.col("shingles") / block_shingles), F.ceil(F.col("members") / block_members)).cast("int")
-    sizes = sizes.select("component", blocks.alias("blocks"), "shingles")
-    small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
-    bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(small) // block_shingles))
-    placed = cut(placed.join(sizes.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")))
-    with_text = placed.join(source.withColumnRenamed("id", "i").withColumnRenamed("key", "k"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
-    with_text = with_text.select("node", "component", "blocks", "block", "text").dropDuplicates(["node"])
-    loaded = with_text.mapInArrow(_shingles_of(words), "node bigint, component bigint, blocks int, block int, shingles binary")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
-    dealt = loaded.withColumn("pair", F.explode(pair)).select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "pair")).alias("bin"),
-        "blocks", "component", "node", "shingles", (F.col("pair.x") != F.col("pair.y")).alias("crossed"),
-        F.when((F.col("block") == F.col("pair.y")) & (F.col("pair.x") != F.col("pair.y")), 1).otherwise(0).alias("side"),
-    )
-    verified = cut(dealt.groupBy("bin", "blocks").applyInPandas(_verify(threshold), "node bigint, root bigint, links bigint"))
+    sets = cut(source.mapInArrow(_sets_of(words, Forest(trees, deepest)), f"id {id_type}, key bigint, set binary, n int, labels array<bigint>"))
+    named = sets.select("id", "key", "set")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "key", "n")).alias("first")
+    reps = sets.where("set is not null").groupBy("set").agg(first, F.count("*").alias("copies"), F.first("labels").alias("labels"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))  # numbers that a checkpoint holds fast
+    ties = _trie_ties(reps, trees, deepest, floor)
+
+    tied = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("node", F.col("first.id").alias("i"), F.col("first.key").alias("k"), F.col("first.n").alias("n"))
+    with_text = tied.join(source, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key"))).select("node", "n", "text").dropDuplicates(["node"])
+    loaded = cut(with_text.mapInArrow(_shingles_of(words), "node bigint, n int, shingles binary"))
+    verified = cut(_rounds(ties, loaded, threshold, trees, deepest, recall, block_shingles, block_members))
 
     classes = connected_components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    known = named.join(classes, "node", "left").join(links, "node", "left").withColumn("class", F.when(F.col("set").isNotNull(), F.coalesce("component", "node")))
-    least = known.where("class is not null").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return known.join(least, "class", "left").select(
-        "id", "key", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("links", F.lit(0)).alias("links")
-    )
+    known = reps.select("node", "set", "first", "copies").join(classes, "node", "left").join(links, "node", "left")
+    known = cut(known.select("set", "first", "copies", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
+    least = known.groupBy("class").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size"))
+    by_set = join_hot(known.select("set", "class", "links"), least, "class", hot_keys(known, "class", HOT_SHARE, HOT_ROWS), "inner")
+    by_set = by_set.select("set", F.col("least.id").alias("class_id"), F.col("least.key").alias("class_key"), "class_size", "links")
+    total = reps.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = reps.where(F.col("copies") >= max(HOT_ROWS, total * HOT_SHARE)).select("set")
+    return join_hot(named, by_set, "set", hot, "left").select("id", "key", "class_id", "class_key", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def join_report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, links."""
+    """One row per document: doc_id, class_id, class_size, links; nulls, ties and repeats as in ngram_join."""
     return ngram_join(docs).select(F.col("id").alias("doc_id"), "class_id", "class_size", "links")
 
 
 def thin(docs: DataFrame) -> DataFrame:
-    """One document of each class stays, the one with the least id; of rows with its id, one."""
-    found = ngram_join(docs).where("class_size > 1")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("i"), F.col("key").alias("k")).distinct()
-    key = text_key(docs["text"])
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["i"]) & (key == gone["k"]), "left_anti")
-    again = found.groupBy("id", "key").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    """One document of each class stays, the one with the least id, and of those the least key; of rows with its id and text, one.
+
+    Texts without words all stay. All columns stay, whatever their names. An empty table stays empty.
+    """
+    found = cut(ngram_join(docs).where("class_size > 1"))
+    wins: Column = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
+    gone = found.where(~wins).select("id", "key").distinct()
+    twice = cut(found.where(wins).groupBy("id", "key").count().where("count > 1").select("id", "key"))
+    kept = rows.join(gone, same(rows, gone), "left_anti")
+    if twice.take(1):
+        once = kept.join(twice, same(kept, twice), "left_semi").dropDuplicates(["id", "key"])
+        kept = kept.join(twice, same(kept, twice), "left_anti").unionByName(once)
+    return kept.select("row.*")
