@@ -47,7 +47,7 @@ LINE = '{"ts":1781604920.123,"uid":"CAbCdEf123","id.orig_h":"192.168.1.10","id.o
 
 
 def zeek_flow(spark, line):
-    df = spark.createDataFrame([(*ENVELOPE, line)], NAMES + ", value string").withColumn("source_type", F.lit("zeek"))
+    df = spark.createDataFrame([(*ENVELOPE, line)], NAMES + ", value string").withColumn("source_type", F.lit("zeek_conn_json"))
     return one(normalize.zeek(zeek.parse(df)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +41,31 @@ def transport(name: Column) -> Column:
     return F.when(plain.isin(*TRANSPORTS), plain)
 
 
-def rfc3339(ts: Column) -> Column:
-    """UTC text with as many digits of the second as needed, none for whole seconds."""
+#: A time with its offset; the offset and the seconds are required.
+RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column of passage that df hasn't."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def time_of(text: Column) -> Column:
+    """The timestamp of an RFC 3339 text, to microseconds; null for any other text."""
+    return F.when(text.rlike(RFC3339), F.try_to_timestamp(text))
+
+
+def nanos_of(text: Column) -> Column:
+    """What an RFC 3339 text has beyond microseconds, in nanoseconds."""
+    return F.rpad(F.regexp_extract(text, r"\.\d{6}(\d{1,3})", 1), 3, "0").cast("int")
+
+
+def rfc3339(ts: Column, nanos: Column | None = None) -> Column:
+    """UTC text with as many digits of the second as needed, none for whole seconds; nanos are beyond microseconds."""
     text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = text if nanos is None else F.concat(text, F.lpad(F.coalesce(nanos, F.lit(0)).cast("string"), 3, "0"))
     return F.concat(F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ""), F.lit("Z"))
 
 
@@ -52,10 +74,10 @@ def joined(*parts: Column, by: str = "|") -> Column:
     return F.concat_ws(by, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
-def idempotency_key(native: Column) -> Column:
+def idempotency_key(native: Column, start_nanos: Column | None = None, end_nanos: Column | None = None) -> Column:
     """Of a flow's columns and its native identity; equal flows of one source have equal keys."""
     c = F.col
-    parts = (c("schema_version"), c("source_type"), c("collector_id"), c("source_host"), native, rfc3339(c("event_start_time")), rfc3339(c("event_end_time")),
+    parts = (c("schema_version"), c("source_type"), c("collector_id"), c("source_host"), native, rfc3339(c("event_start_time"), start_nanos), rfc3339(c("event_end_time"), end_nanos),
              c("src_ip"), c("dst_ip"), c("src_port"), c("dst_port"), c("protocol_number"), c("bytes"), c("packets"))
     return F.concat(F.lit("sha256:"), F.sha2(joined(*parts), 256))
 

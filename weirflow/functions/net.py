@@ -14,7 +14,7 @@ from ..schema import LOCAL_NETWORKS
 
 def _parsed(value: str | None) -> tuple[str | None, bytes | None]:
     try:
-        address = ipaddress.ip_address(value.strip()) if value else None
+        address = ipaddress.ip_address(value) if value else None
     except ValueError:
         address = None
     return (str(address), address.packed) if address else (None, None)

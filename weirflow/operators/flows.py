@@ -20,6 +20,7 @@ MOST_WINDOW, MOST_ROWS, DEFAULT_ROWS = timedelta(days=7), 1000, 100
 TALKERS = ("src_ip_key", "dst_ip_key", "protocol_number", "transport_protocol", "source_type")
 PORTS = ("src_port", "dst_port", "protocol_number", "transport_protocol", "source_type")
 WIDTHS = {"5m": "5 minutes", "1h": "1 hour"}
+SPANS = {"5m": timedelta(minutes=5), "1h": timedelta(hours=1)}
 
 
 class QueryError(ValueError):
@@ -110,6 +111,14 @@ def search(flows: DataFrame, filters: Filters, limit: int = DEFAULT_ROWS, cursor
     return found.select(*wanted).orderBy(F.desc("event_start_time"), F.desc("id")).limit(limit + 1)
 
 
+def sort_rows(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """Rows of a page in order of event_start_time, bytes, packets, src_ip or dst_ip; missing counters count as 0. Addresses are in order of text."""
+    if key not in ("event_start_time", "bytes", "packets", "src_ip", "dst_ip"):
+        raise QueryError("invalid_parameter", f"rows can't be sorted by {key}")
+    by = F.coalesce(F.col(key), F.lit(0)) if key in ("bytes", "packets") else F.col(key)
+    return rows.orderBy(by.desc() if descending else by.asc())
+
+
 def page(found: DataFrame, limit: int, keys: tuple[str, ...] = ("event_start_time", "id")) -> tuple[list, tuple | None]:
     """(rows, cursor of the next page or None) of a query that asked for limit + 1 rows."""
     rows = found.take(limit + 1)
@@ -143,8 +152,15 @@ class Tables:
     raw: DataFrame
     tiers: dict[tuple[str, str], DataFrame] | None = None
 
-    def get(self, kind: str, which: str) -> DataFrame:
-        return (self.tiers or {}).get((kind, which)) or tier(self.raw, which, TALKERS if kind == "talkers" else PORTS)
+    def get(self, kind: str, which: str, filters: Filters | None = None) -> DataFrame:
+        """A tier; one that doesn't stand reads no more of raw than the buckets that begin within the filters' times."""
+        stored = (self.tiers or {}).get((kind, which))
+        if stored is not None:
+            return stored
+        raw = self.raw
+        if filters:
+            raw = Filters(filters.start, filters.end + SPANS[which]).where(raw)
+        return tier(raw, which, TALKERS if kind == "talkers" else PORTS)
 
 
 @dataclass(frozen=True)
@@ -173,7 +189,7 @@ def top(tables: Tables, q: TopK) -> DataFrame:
     if which == "raw":
         rows, value, count = f.where(tables.raw), F.col(name) if name else F.lit(1), F.lit(1)
     else:
-        rows = f.where(tables.get(kind, which), "bucket")
+        rows = f.where(tables.get(kind, which, f), "bucket")
         value, count = F.col(f"total_{name}") if name else F.col("flow_count"), F.col("flow_count")
     rows = rows.where(value.isNotNull()) if name else rows
     for k in q.keys:

@@ -21,9 +21,13 @@ def _attributes(**values: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
 
 
-def _finish(df: DataFrame, networks: tuple[str, ...]) -> DataFrame:
-    """df has the raw columns set by a source's normalizer; what all sources share is added here."""
-    df = df.withColumn("_src", address("src_raw")).withColumn("_dst", address("dst_raw")).withColumn("_from", address("source_ip"))
+def _finish(df: DataFrame, networks: tuple[str, ...], keys: tuple[Column, Column] | None = None, nanos: tuple[Column, Column] = (None, None)) -> DataFrame:
+    """df has the raw columns set by a source's normalizer; what all sources share is added here. keys: of src_raw and dst_raw, if the source has them."""
+    if keys:
+        src, dst = (F.struct(F.col(raw).alias("text"), key.alias("key")) for raw, key in zip(("src_raw", "dst_raw"), keys, strict=True))
+    else:
+        src, dst = address("src_raw"), address("dst_raw")
+    df = df.withColumn("_src", src).withColumn("_dst", dst).withColumn("_from", address("source_ip"))
     df = df.withColumns({
         "src_ip": F.col("_src.text"), "dst_ip": F.col("_dst.text"), "src_ip_key": F.col("_src.key"), "dst_ip_key": F.col("_dst.key"), "source_ip": F.col("_from.text"),
         "schema_version": F.lit(FLOW_VERSION), "raw_event_id": F.col("event_id"), "ingested_at": F.col("received_at"), "normalized_at": F.col("received_at"),
@@ -33,7 +37,7 @@ def _finish(df: DataFrame, networks: tuple[str, ...]) -> DataFrame:
     df = df.withColumns({
         "normalization_status": F.when(F.size(partial) > 0, "partial").otherwise("ok"),
         "normalization_error": F.element_at(F.when(F.size(partial) > 0, partial), -1),  # the last reason counts
-        "idempotency_key": fn.idempotency_key(F.coalesce(F.col("native"), fn.tuple_identity())),
+        "idempotency_key": fn.idempotency_key(F.coalesce(F.col("native"), fn.tuple_identity()), *nanos),
         "attributes": fn.mask_json("attributes"),
     })
     df = df.withColumn("id", fn.uuid7(F.col("ingested_at"), F.concat_ws("|", "idempotency_key", "raw_event_id")))
@@ -73,7 +77,7 @@ def rest(records: DataFrame, networks: tuple[str, ...] = LOCAL_NETWORKS) -> Data
     from ..sources.rest import error
 
     c = lambda name: F.col(f"rest.{name}")
-    start, end = F.try_to_timestamp(c("event_start_time")), F.try_to_timestamp(F.nullif(F.trim(c("event_end_time")), F.lit("")))
+    start, end = fn.time_of(c("event_start_time")), fn.time_of(c("event_end_time"))
     name, number = fn.transport(c("transport_protocol")), c("protocol_number")
     partial = lambda n: F.coalesce(F.get_json_object(c("attributes"), f"$.{n}_partial") == "true", F.lit(False))
     reasons = F.array_compact(F.array(F.when(partial("bytes"), "bytes_partial"), F.when(partial("packets"), "packets_partial")))
@@ -85,7 +89,7 @@ def rest(records: DataFrame, networks: tuple[str, ...] = LOCAL_NETWORKS) -> Data
         "input_interface": _null("bigint"), "output_interface": _null("bigint"), "next_hop_ip": _null("string"),
         "application_protocol": F.nullif(F.trim(c("application_protocol")), F.lit("")), "sampling_rate": c("sampling_rate"),
         "attributes": c("attributes"), "native": F.nullif(c("external_id"), F.lit("")), "reasons": reasons,
-    }), networks)
+    }), networks, nanos=(fn.nanos_of(c("event_start_time")), fn.nanos_of(c("event_end_time"))))
 
 
 def zeek(records: DataFrame, networks: tuple[str, ...] = LOCAL_NETWORKS) -> DataFrame:
@@ -134,7 +138,7 @@ def netflow5(records: DataFrame, networks: tuple[str, ...] = LOCAL_NETWORKS) ->
         "next_hop_ip": F.nullif(c("next_hop"), F.lit("0.0.0.0")), "application_protocol": _null("string"), "sampling_rate": c("sampling_rate"), "attributes": F.to_json(own),
         "native": F.concat_ws(":", F.coalesce("source_ip", F.lit("")), c("packet_sequence"), c("record_index")),
         "reasons": F.array_compact(F.array(F.when(fallback, "timestamp_fallback"))),
-    }), networks)
+    }), networks, (c("src_key"), c("dst_key")))
 
 
 def netflow9(records: DataFrame, networks: tuple[str, ...] = LOCAL_NETWORKS) -> DataFrame:

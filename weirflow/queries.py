@@ -27,7 +27,7 @@ SELECT event_id AS id, ts AS event_start_time,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE 1 + (event_id * 31) % 64 END AS dst_port,
   CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 17 ELSE 6 END AS protocol_number,
   CASE event_type WHEN 'error' THEN 'icmp' WHEN 'signup' THEN 'udp' ELSE 'tcp' END AS transport_protocol,
-  CASE WHEN event_id % 3 = 0 THEN 'zeek' ELSE 'rest_json' END AS source_type,
+  CASE WHEN event_id % 3 = 0 THEN 'zeek_conn_json' ELSE 'rest_json' END AS source_type,
   CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END AS bytes,
   1 + event_id % 50 AS packets
 FROM events
@@ -237,7 +237,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "search_port": (_search(dst_port=17), _search_sql("dst_port = 17")),
     "search_port_range": (_search(src_ports=(2000, 2500)), _search_sql("src_port BETWEEN 2000 AND 2500")),
     "search_protocol": (_search(protocol_number=17, transport_protocol="udp"), _search_sql("protocol_number = 17 AND transport_protocol = 'udp'")),
-    "search_source_type": (_search(source_type="zeek"), _search_sql("source_type = 'zeek'")),
+    "search_source_type": (_search(source_type="zeek_conn_json"), _search_sql("source_type = 'zeek_conn_json'")),
     "search_keyset": (_search(cursor=(_t(6), 10**9)), _search_sql("(event_start_time < TIMESTAMP '2024-01-06' OR event_start_time = TIMESTAMP '2024-01-06' AND id < 1000000000)")),
     "flow_lookup": (lambda s, d: fl.lookup(flows(s, d), 77).select(*_COLUMNS), _WITH + f"SELECT {', '.join(_COLUMNS)} FROM flows WHERE id = 77"),
     "flow_count": (lambda s, d: flows(s, d).agg(F.count("*").alias("flow_count")), _WITH + "SELECT count(*) AS flow_count FROM flows"),

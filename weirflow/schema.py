@@ -5,7 +5,7 @@ from __future__ import annotations
 FLOW_VERSION, RAW_VERSION = "flow.v1", "raw.v1"
 
 # Closed sets of the flow model.
-SOURCE_TYPES = ("rest_json", "zeek", "netflow_v5", "netflow_v9")
+SOURCE_TYPES = ("netflow_v5", "netflow_v9", "zeek_conn_json", "suricata_eve_json", "rest_json", "syslog_cef", "syslog_leef")
 TRANSPORTS = ("tcp", "udp", "icmp", "gre", "esp", "other", "unknown")
 DIRECTIONS = ("inbound", "outbound", "internal", "external", "unknown")
 PROTOCOLS = {0: "unknown", 1: "icmp", 6: "tcp", 17: "udp", 47: "gre", 50: "esp"}
@@ -31,9 +31,11 @@ transport_protocol string, protocol_number bigint, bytes decimal(20,0), packets
 sampling_rate bigint, attributes string
 """
 
+REST_FIELDS = tuple(part.split()[0] for part in REST_RECORD.replace("\n", " ").replace("(20,0)", "").split(","))
+
 #: The columns of a search result; attributes only on request.
 SEARCH_COLUMNS = (
-    "id", "source_type", "collector_id", "source_host", "event_start_time", "event_end_time", "duration_ms", "src_ip", "dst_ip", "src_port",
-    "dst_port", "ip_version", "transport_protocol", "protocol_number", "bytes", "packets", "flow_state", "direction", "application_protocol",
-    "sampling_rate", "ingested_at", "normalization_status",
+    "id", "schema_version", "idempotency_key", "raw_event_id", "source_type", "collector_id", "source_host", "source_ip", "event_start_time",
+    "event_end_time", "duration_ms", "src_ip", "dst_ip", "src_port", "dst_port", "transport_protocol", "protocol_number", "bytes", "packets",
+    "direction", "application_protocol", "normalization_status",
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flow import first_error
+from ..functions.flow import first_error, unused
 
 HEADER, RECORD, MOST_RECORDS = 24, 48, 30
 
@@ -16,12 +16,25 @@ def number(data: Column, at: int | Column, size: int) -> Column:
     return F.conv(F.hex(F.substring(data, start, F.lit(size))), 16, 10).cast("bigint")
 
 
-def dotted(data: Column, at: Column) -> Column:
-    return F.concat_ws(".", *[number(data, at + i, 1).cast("string") for i in range(4)])
+def words(data: Column, at: Column, count: int) -> Column:
+    """`count` numbers of four bytes each, from a 0-based offset on."""
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: number(data, at + i * 4, 4))
+
+
+def part(word: Column, at: int, size: int) -> Column:
+    """`size` bytes of a number of four bytes, at a 0-based offset in it."""
+    return F.shiftright(word, 8 * (4 - at - size)).bitwiseAND((1 << 8 * size) - 1)
+
+
+def dotted(word: Column) -> Column:
+    return F.concat_ws(".", *[part(word, i, 1).cast("string") for i in range(4)])
 
 
 def parse(packets: DataFrame, column: str = "packet") -> tuple[DataFrame, DataFrame]:
-    """(records, rejected): one row with a struct `v5` for each record of sound packets; the others with `error`."""
+    """(records, rejected): one row with a struct `v5` for each record of sound packets; the others with `error`.
+
+    Each four bytes are read once and fields are cut out of them. Columns named v5 and error are replaced.
+    """
     data = F.col(column)
     count = number(data, 2, 2)
     error = first_error(
@@ -31,19 +44,23 @@ def parse(packets: DataFrame, column: str = "packet") -> tuple[DataFrame, DataFr
         (number(data, 12, 4) >= 1_000_000_000, "invalid_packet"),
     )
     checked = packets.withColumn("error", error)
-    rows = checked.where("error is null").drop("error").withColumn("_i", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)))
-    base = F.col("_i") * RECORD + HEADER
-    at = lambda offset, size: number(data, base + offset, size)
-    micros = number(data, 8, 4) * 1_000_000 + F.floor(number(data, 12, 4) / 1000)
+    sound = checked.where("error is null").drop("error")
+    i, head, body = (unused(sound, name) for name in ("_i", "_head", "_body"))
+    rows = sound.withColumn(head, words(data, F.lit(0), HEADER // 4)).withColumn(i, F.explode(F.sequence(F.lit(0), F.get(head, 0).bitwiseAND(0xFFFF).cast("int") - 1)))
+    base = F.col(i) * RECORD + HEADER
+    rows = rows.withColumn(body, words(data, base, RECORD // 4))
+    h, w = (lambda n: F.get(head, n)), (lambda n: F.get(body, n))
+    micros = h(2) * 1_000_000 + F.floor(h(3) / 1000)
     v5 = F.struct(
-        number(data, 16, 4).alias("packet_sequence"), F.col("_i").alias("record_index"), dotted(data, base).alias("src_addr"), dotted(data, base + 4).alias("dst_addr"),
-        dotted(data, base + 8).alias("next_hop"), at(12, 2).alias("input_interface"), at(14, 2).alias("output_interface"), at(16, 4).alias("packets"), at(20, 4).alias("bytes"),
-        at(24, 4).alias("first_switched_ms"), at(28, 4).alias("last_switched_ms"), F.timestamp_micros(micros).alias("exporter_time"), number(data, 4, 4).alias("exporter_uptime_ms"),
-        at(32, 2).alias("src_port"), at(34, 2).alias("dst_port"), at(37, 1).alias("tcp_flags"), at(38, 1).alias("protocol_number"), at(39, 1).alias("tos"), at(40, 2).alias("src_as"),
-        at(42, 2).alias("dst_as"), at(44, 1).alias("src_mask"), at(45, 1).alias("dst_mask"), number(data, 20, 1).alias("engine_type"), number(data, 21, 1).alias("engine_id"),
-        number(data, 22, 2).bitwiseAND(0x3FFF).alias("sampling_rate"),
+        h(4).alias("packet_sequence"), F.col(i).alias("record_index"), dotted(w(0)).alias("src_addr"), dotted(w(1)).alias("dst_addr"), dotted(w(2)).alias("next_hop"),
+        part(w(3), 0, 2).alias("input_interface"), part(w(3), 2, 2).alias("output_interface"), w(4).alias("packets"), w(5).alias("bytes"),
+        w(6).alias("first_switched_ms"), w(7).alias("last_switched_ms"), F.timestamp_micros(micros).alias("exporter_time"), h(1).alias("exporter_uptime_ms"),
+        part(w(8), 0, 2).alias("src_port"), part(w(8), 2, 2).alias("dst_port"), part(w(9), 1, 1).alias("tcp_flags"), part(w(9), 2, 1).alias("protocol_number"), part(w(9), 3, 1).alias("tos"),
+        part(w(10), 0, 2).alias("src_as"), part(w(10), 2, 2).alias("dst_as"), part(w(11), 0, 1).alias("src_mask"), part(w(11), 1, 1).alias("dst_mask"),
+        part(h(5), 0, 1).alias("engine_type"), part(h(5), 1, 1).alias("engine_id"), h(5).bitwiseAND(0x3FFF).alias("sampling_rate"),
+        F.substring(data, base + 1, F.lit(4)).alias("src_key"), F.substring(data, base + 5, F.lit(4)).alias("dst_key"),
     )
-    return rows.withColumn("v5", v5).drop("_i"), checked.where("error is not null")
+    return rows.withColumn("v5", v5).drop(i, head, body), checked.where("error is not null")
 
 
 def route(packets: DataFrame, column: str = "packet") -> DataFrame:

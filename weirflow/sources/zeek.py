@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flow import MASK, first_error, sensitive
+from ..functions.flow import MASK, first_error, sensitive, unused
 
 # Fields of a connection, by kind, and the aliases of dotted names.
 TEXTS = ("uid", "id.orig_h", "id.resp_h", "proto", "service", "conn_state", "history")
@@ -20,13 +20,35 @@ def _name(field: str) -> str:
     return field.replace(".", "_")
 
 
+MOST_LINE = 1 << 20
+
+
+def explode(requests: DataFrame, column: str = "value") -> DataFrame:
+    """One row per record of requests {"records": [...]}: record_index, `line` and `request_error`.
+
+    A record is an object, or a string that holds a line. Requests without records give one row with an error, as do nulls and blank strings.
+    """
+    body = F.from_json(column, "records array<string>")["records"]
+    listed = requests.select("*", F.posexplode_outer(body).alias("record_index", "line"))
+    line = F.trim("line")
+    bad = F.coalesce((line == "") | (line == "null"), F.lit(True))
+    return listed.withColumns({"record_index": F.coalesce("record_index", F.lit(0)), "line": F.when(~bad, line), "request_error": F.when(bad, "invalid_zeek_conn")})
+
+
+def bounded(lines: DataFrame, column: str = "value", most: int = MOST_LINE) -> DataFrame:
+    """lines of a file or socket stream with `line_error`: longer ones than `most` bytes are set aside, and blank ones left out."""
+    kept = lines.where(F.trim(column) != "")
+    return kept.withColumn("line_error", F.when(F.octet_length(column) > most, "line_too_long"))
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """lines with a struct `zeek` of typed fields (dots as _), `extra` (JSON, sensitive keys masked) and `error`.
 
     "-" is null; an alias counts as its dotted name, and both at once must agree; numbers must be numbers.
     """
-    raw = lines.withColumn("_raw", F.from_json(column, "map<string,string>"))
-    get = lambda field: F.col("_raw")[F.lit(field)]
+    held = unused(lines, "_raw")
+    raw = lines.withColumn(held, F.from_json(column, "map<string,string>"))
+    get = lambda field: F.col(held)[F.lit(field)]
     value: dict[str, Column] = {}
     conflict = F.lit(False)
     for alias, field in ALIASES.items():
@@ -41,13 +63,13 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
         broken = broken | (value[f].isNotNull() & (n.isNull() | (n < 0))) | (~value[f].rlike(r"^-?\d+$") if f not in FLOATS else F.lit(False))
     broken = F.coalesce(broken, F.lit(False))
     known = F.array(*[F.lit(x) for x in (*value, *ALIASES)])
-    extra = F.transform_values(F.map_filter("_raw", lambda k, _: ~F.array_contains(known, k)), lambda k, v: F.when(sensitive(k), MASK).otherwise(v))
+    extra = F.transform_values(F.map_filter(held, lambda k, _: ~F.array_contains(known, k)), lambda k, v: F.when(sensitive(k), MASK).otherwise(v))
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     error = first_error(
-        (F.col("_raw").isNull(), "invalid_json"),
+        (F.col(held).isNull(), "invalid_json"),
         (conflict, "conflicting_alias"),
         (broken, "invalid_number"),
         (F.coalesce(number["ts"] <= 0, F.lit(True)) | blank(value["id.orig_h"]) | blank(value["id.resp_h"]) | blank(value["proto"]), "missing_field"),
     )
     fields = [number.get(f, value[f]).alias(_name(f)) if f not in FLAGS else value[f].try_cast("boolean").alias(f) for f in value]
-    return raw.withColumn("zeek", F.struct(*fields, F.to_json(extra).alias("extra"), error.alias("error"))).drop("_raw")
+    return raw.withColumn("zeek", F.struct(*fields, F.to_json(extra).alias("extra"), error.alias("error"))).drop(held)
