@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,30 @@ from pyspark.sql import functions as F
 BOUNDS = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
 LAST_BOUND = 10000.0
 RESERVOIR = 1000
+MOST_POINTS = 1000
+PERCENTILES = ("p90", "p95", "p99")
 SERIES = ("metric_name", "labels")
 
 
+# The ranges of a history, with their bucket and their length; any other name is the second.
+RANGES = {
+    "1m": ("1 second", timedelta(minutes=1)), "1h": ("1 minute", timedelta(hours=1)), "12h": ("10 minutes", timedelta(hours=12)),
+    "24h": ("20 minutes", timedelta(hours=24)), "1w": ("1 hour", timedelta(days=7)), "30d": ("8 hours", timedelta(days=30)),
+}
+
+
+def _at(df: DataFrame, column: str):
+    """datetime -> literal, of the kind of time that the column has."""
+    ntz = dict(df.dtypes)[column] == "timestamp_ntz"
+    return (lambda t: F.lit(str(t)).cast("timestamp_ntz")) if ntz else F.lit
+
+
+def history_of(samples: DataFrame, name: str, now: datetime, series: tuple[str, ...] = SERIES, time: str = "ts") -> DataFrame:
+    """The history of a named range up to now, in order of bucket. There is a lower bound only: what is later than now shows."""
+    interval, length = RANGES.get(name, RANGES["1h"])
+    return history(samples.where(F.col(time) >= _at(samples, time)(now - length)), interval, series, time).orderBy("bucket", *series)
+
+
 def history(samples: DataFrame, interval: str, series: tuple[str, ...] = SERIES, time: str = "ts") -> DataFrame:
     """bucket, series, delta (max - min) and value (mean) of samples; missing values count as 0."""
     w = F.window(time, interval)["start"].alias("bucket")
@@ -74,18 +96,66 @@ def nearest_rank(samples: DataFrame, quantile: float, keys: tuple[str, ...], ord
 
 
 def aggregate_tier(base: DataFrame, width: str, series: tuple[str, ...] = SERIES) -> DataFrame:
-    """Base buckets (as `drain` makes them) in wider ones. avg is of sums; percentiles can't be merged and come from histograms."""
+    """Base buckets (as `drain` makes them) in wider ones. avg is of sums; percentiles can't be merged: p90, p95, p99 are null, and histograms have them."""
     at = F.window("bucket", width)["start"].alias("bucket")
     known = lambda c, by: F.expr(f"{by}({c}, bucket) FILTER (WHERE {c} IS NOT NULL)").alias(c)
     got = base.withColumnRenamed("bucket", "_b").withColumn("bucket", F.col("_b")).groupBy(at, *series).agg(
         *[F.sum(c).alias(c) for c in ("sample_count", "count", "sum", "delta")], F.min("min").alias("min"), F.max("max").alias("max"), known("first", "min_by"), known("last", "max_by"))
-    return got.withColumn("avg", F.col("sum").cast("double") / F.nullif(F.col("count"), F.lit(0)))
+    got = got.withColumn("avg", F.col("sum").cast("double") / F.nullif(F.col("count"), F.lit(0)))
+    return got.withColumns({p: F.lit(None).cast("double") for p in PERCENTILES})
+
+
+class MetricError(ValueError):
+    """A metric query that isn't allowed; args: code and message."""
+
+
+@dataclass(frozen=True)
+class MetricQuery:
+    """What a chart asks for: steps of `step` seconds (by default, the base width) from start on; metrics: names, none for all."""
+
+    start: datetime
+    end: datetime
+    step: int | None = None
+    metrics: tuple[str, ...] = ()
+
+    def check(self, width: int = 5, most: int = MOST_POINTS) -> int:
+        """The step, if the query is allowed."""
+        step = self.step if self.step is not None else width
+        if not self.start < self.end:
+            raise MetricError("invalid_parameter", "start must be before end")
+        if step < width or step % width:
+            raise MetricError("invalid_parameter", f"step must be a multiple of {width} seconds")
+        if -(-(self.end - self.start) // timedelta(seconds=step)) > most:
+            raise MetricError("query_window_too_large", f"at most {most} points")
+        return step
+
+
+def points(tables: dict[str, tuple[DataFrame, DataFrame | None]], q: MetricQuery, width: int = 5, series: tuple[str, ...] = SERIES) -> DataFrame:
+    """The chart's points in order of bucket, metric and labels. tables: base, 5m and 1h, each (aggregates, histogram or None).
+
+    The length of the window decides which of them answers; rows of other bucket widths in a table are left out.
+    """
+    from ..plans.router import metric_tier
+
+    step = q.check(width)
+    which = metric_tier(q.end - q.start)
+    wide = {"base": width, "5m": 300, "1h": 3600}[which]
+
+    def wanted(df: DataFrame | None) -> DataFrame | None:
+        if df is None:
+            return None
+        df = df.where(F.col("bucket_width_seconds") == wide) if "bucket_width_seconds" in df.columns else df
+        names = sorted({m.strip() for m in q.metrics} - {""})
+        return df.where(F.col("metric_name").isin(*names)) if names else df
+
+    return rollup(*map(wanted, tables[which]), q.start, q.end, step, wide, series).orderBy("bucket", *series)
 
 
 def rollup(base: DataFrame, buckets: DataFrame | None, start: datetime, end: datetime, step: int, width: int = 5, series: tuple[str, ...] = SERIES) -> DataFrame:
     """Base buckets of `width` seconds in steps of `step` seconds from `start`, with rates, and percentiles by histogram.
 
-    Both inputs are one union and one aggregation, so a series that only has a histogram has its points too.
+    Both inputs are aggregated and joined in full, so a series that only has a histogram has its points too. Where there is none,
+    the greatest stored percentile of a step stands in, if base has any. Rates are of counters, if base tells kinds (metric_kind).
     Points: bucket, series, sample_count, count, sum, avg, min, max, first, last, delta, rate_avg, rate_peak, p90, p95, p99.
     """
     ntz = dict(base.dtypes)["bucket"] == "timestamp_ntz"
@@ -94,13 +164,19 @@ def rollup(base: DataFrame, buckets: DataFrame | None, start: datetime, end: dat
     at = F.window("bucket", f"{step} seconds", f"{step} seconds", f"{offset} seconds")["start"]
     inside = lambda df: df.where((F.col("bucket") >= lit(start)) & (F.col("bucket") < lit(end)))
     known = lambda c, by: F.expr(f"{by}({c}, bucket) FILTER (WHERE {c} IS NOT NULL)").alias(c)
-    peak = F.max(F.col("delta") / F.lit(float(width))).alias("rate_peak")
-    points = inside(base).groupBy(at.alias("at"), *series).agg(*[F.sum(c).alias(c) for c in ("sample_count", "count", "sum", "delta")], F.min("min").alias("min"), F.max("max").alias("max"), known("first", "min_by"), known("last", "max_by"), peak)
+    rated = (F.col("metric_kind") == "counter") if "metric_kind" in base.columns else F.lit(True)
+    peak = F.max(F.when(rated, F.col("delta")) / F.lit(float(width))).alias("rate_peak")
+    stored = [p for p in PERCENTILES if p in base.columns]
+    points = inside(base).groupBy(at.alias("at"), *series).agg(*[F.sum(c).alias(c) for c in ("sample_count", "count", "sum", "delta")], F.min("min").alias("min"), F.max("max").alias("max"), known("first", "min_by"), known("last", "max_by"), peak, F.sum(F.when(rated, F.col("delta"))).alias("_rated"), *[F.max(p).alias(f"_{p}") for p in stored])
     points = points.withColumn("avg", F.col("sum").cast("double") / F.coalesce(F.nullif(F.col("count"), F.lit(0)), F.nullif(F.col("sample_count"), F.lit(0))))
-    points = points.withColumn("rate_avg", F.col("delta") / F.lit(float(step)))
+    points = points.withColumn("rate_avg", F.col("_rated") / F.lit(float(step))).drop("_rated")
     if buckets is not None:
         wide = inside(buckets).withColumn("at", at)
         points = points.join(percentiles(wide, ("at", *series)), ["at", *series], "full_outer")
+    elif stored:
+        points = points.withColumns({p: F.lit(None).cast("double") for p in PERCENTILES})
+    for p in stored:
+        points = points.withColumn(p, F.coalesce(p, f"_{p}")).drop(f"_{p}")
     return points.withColumnRenamed("at", "bucket")
 
 

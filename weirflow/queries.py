@@ -11,11 +11,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import envelope
 from .functions import flow as fn
 from .functions.net import direction
 from .operators import flows as fl
-from .operators import logs, metrics, normalize
-from .sources import netflow5, rest, zeek
+from .operators import dashboard, logs, metrics, normalize
+from .sources import netflow5, netflow9, proxy, rest, zeek
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,9 +114,182 @@ def _direction(spark: SparkSession, d: str) -> DataFrame:
 _LOCAL = "({0} BETWEEN 167772160 AND 184549375 OR {0} BETWEEN 2886729728 AND 2887778303 OR {0} BETWEEN 3232235520 AND 3232301055)"
 
 
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    """Events with all columns that a flow's keys are made of; start times have nanoseconds beyond their microseconds."""
+    ip = lambda k: F.concat_ws(".", *[F.shiftright(F.col(k).cast("bigint"), n).bitwiseAND(255).cast("string") for n in (24, 16, 8, 0)])
+    return flows(spark, d).withColumns({
+        "schema_version": F.lit("flow.v1"), "collector_id": F.lit("main"), "source_host": F.concat(F.lit("h"), F.col("id") % 3), "event_end_time": F.when(F.col("id") % 4 > 0, F.timestamp_add("SECOND", F.lit(5), F.col("event_start_time"))),
+        "src_ip": ip("src_ip_key"), "dst_ip": ip("dst_ip_key"), "nanos": (F.col("id") % 3 * 7).cast("int"),
+    })
+
+
 def _idempotency(spark: SparkSession, d: str) -> DataFrame:
+    key = fn.idempotency_key(F.coalesce(F.when(F.col("id") % 5 > 0, F.concat(F.lit("e"), F.col("id"))), fn.tuple_identity()), F.col("nanos"))
+    return _wide(spark, d).select("id", key.alias("idempotency_key"))
+
+
+_SQL_TIME = "CASE WHEN {0} IS NOT NULL THEN rtrim(rtrim(strftime({0}, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.') || 'Z' ELSE '' END"
+_SQL_NANOS = "rtrim(rtrim(strftime(event_start_time, '%Y-%m-%dT%H:%M:%S.%f') || lpad((id % 3 * 7)::VARCHAR, 3, '0'), '0'), '.') || 'Z'"
+_SQL_IP = "({0} // 16777216) || '.' || ({0} // 65536 % 256) || '.' || ({0} // 256 % 256) || '.' || ({0} % 256)"
+_IDEMPOTENCY_SQL = _WITH + f""", wide AS (
+  SELECT *, CASE WHEN id % 4 > 0 THEN event_start_time + INTERVAL 5 SECOND END AS event_end_time, {_SQL_IP.format('src_ip_key')} AS src_ip, {_SQL_IP.format('dst_ip_key')} AS dst_ip FROM flows)
+SELECT id, 'sha256:' || sha256(concat_ws('|', 'flow.v1', source_type, 'main', 'h' || id % 3,
+  CASE WHEN id % 5 > 0 THEN 'e' || id ELSE 'tuple:' || sha256(concat_ws('|', {_SQL_TIME.format('event_start_time')}, src_ip, dst_ip, protocol_number::VARCHAR)) END,
+  {_SQL_NANOS}, {_SQL_TIME.format('event_end_time')}, src_ip, dst_ip, coalesce(src_port::VARCHAR, ''), coalesce(dst_port::VARCHAR, ''), protocol_number::VARCHAR,
+  coalesce(bytes::VARCHAR, ''), packets::VARCHAR)) AS idempotency_key FROM wide"""
+
+
+def _projection(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of a search result, in a table that has more."""
+    c = F.col
+    wide = _wide(spark, d).withColumns({
+        "idempotency_key": F.concat(F.lit("k"), c("id")), "raw_event_id": F.concat(F.lit("r"), c("id")), "source_ip": F.lit(None).cast("string"), "duration_ms": F.lit(5), "direction": F.lit("outbound"),
+        "application_protocol": F.lit("dns"), "normalization_status": F.lit("ok"), "attributes": F.lit("{}"), "tcp_flags": F.lit(1), "ingested_at": c("event_start_time"), "ip_version": F.lit(4),
+    })
+    return fl.search(wide, fl.Filters(*WEEK), 100, attributes=True)
+
+
+def _uuid(spark: SparkSession, d: str) -> DataFrame:
+    made = fn.uuid7(F.col("event_start_time").cast("timestamp"), F.concat(F.lit("s"), F.col("id")))
+    return flows(spark, d).select("id", made.alias("uuid"), fn.is_uuid7(made).alias("valid"), fn.is_uuid7(F.regexp_replace(made, "-7", "-4")).alias("other"))
+
+
+def _masks(spark: SparkSession, d: str) -> DataFrame:
+    text = F.format_string('{"n":%d,"x-api-key":"a","in":[{"session":%d},{"safe_token":1}],"safe":"b"}', F.col("id"), F.col("id"))
+    return flows(spark, d).select("id", fn.mask_json(text).alias("masked"), fn.sensitive(F.element_at(F.array(*[F.lit(x) for x in ("auth", "auth_x", "author", "X Token", "tokens")]), (F.col("id") % 5 + 1).cast("int"))).alias("sensitive"))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    m = F.create_map(F.lit("b"), F.concat(F.lit('x"'), F.col("id")), F.lit("a"), F.lit("\\"))
+    return flows(spark, d).select("id", fn.labels_key(m).alias("key"), fn.labels_text(m).alias("text"))
+
+
+def _exposition(spark: SparkSession, d: str) -> DataFrame:
+    """Samples written as text lines and read again."""
+    s = samples(spark, d).select("metric_name", F.create_map(F.lit("user"), F.col("labels").cast("string"), F.lit("q"), F.lit('a"\\b')).alias("labels"), F.col("value").cast("double").alias("value"))
+    back = metrics.read_exposition(metrics.exposition(s).withColumnRenamed("line", "value"))
+    return back.groupBy("metric_name", F.col("labels")["user"].alias("user"), F.col("labels")["q"].alias("q")).agg(F.count("*").alias("lines"), F.sum("value").cast("bigint").alias("total"))
+
+
+def _restarts(spark: SparkSession, d: str) -> DataFrame:
+    p = flows(spark, d).select("id", (F.col("src_port") % 10).alias("source_ip"), (F.col("id") * 37 % 5000).alias("sequence"), (F.col("id") * 91 % 7000).alias("uptime_ms"), F.col("event_start_time").alias("export_time"), F.col("event_start_time").alias("received_at"))
+    return netflow5.restarts(p, order=("received_at", "id")).groupBy("source_ip").agg(F.count_if("restarted").alias("restarts"))
+
+
+def _route(spark: SparkSession, d: str) -> DataFrame:
+    p = flows(spark, d).select(F.unhex(F.concat(F.lpad(F.hex(F.col("id") % 12), F.when(F.col("id") % 50 == 0, 2).otherwise(4), "0"), F.lit(""))).alias("packet"))
+    return netflow5.route(p).groupBy("kind").agg(F.count("*").alias("packets"))
+
+
+def _zeek_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of an object, a line as a string, a null and a blank string, each read and parsed."""
+    line = F.format_string('{"ts":1700000000.5,"id.orig_h":"10.0.0.1","id.resp_h":"8.8.8.8","proto":"tcp","id.orig_p":%d,"uid":"C%d"}', "src_port", "id")
+    request = F.concat(F.lit('{"records":['), line, F.lit(","), F.to_json(F.array(line)).substr(F.lit(2), F.length(F.to_json(F.array(line))) - 2), F.lit(',null,"  "]}'))
+    got = zeek.parse(zeek.explode(flows(spark, d).select("id", request.alias("value"))), "line")
+    return got.select("id", "record_index", F.col("zeek.id_orig_p").alias("src_port"), F.col("zeek.uid").alias("uid"), F.coalesce("request_error", "zeek.error").alias("error"))
+
+
+def _proxy(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of one record of each sort: sound, bad base64, bad address, unknown version; times invalid, future, old and sound."""
+    version = F.when(F.col("id") % 4 == 3, "0004").otherwise("0005")
+    data = F.when(F.col("id") % 4 == 1, "!!").otherwise(F.base64(F.unhex(F.concat(version, F.lit("0001")))))
+    times = F.array(*[F.lit(x) for x in ("2024-01-10T00:00:00Z", "bad", "2024-01-10T00:05:01Z", "2024-01-08T23:59:59Z", "2024-01-10T02:00:00.25+02:00")])
+    record = F.struct(data.alias("packet_data"), F.when(F.col("id") % 4 == 2, "10.0.0.300").otherwise("10.0.0.3").alias("source_ip"), F.element_at(times, (F.col("id") % 5 + 1).cast("int")).alias("received_at"))
+    rows = proxy.accept(proxy.explode(flows(spark, d).select(F.to_json(F.struct(F.array(record, record).alias("records"))).alias("value"))), F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    return rows.groupBy("record_index", "status", "error_code", "timestamp_reason", (F.unix_millis("proxy_received_at")).alias("at_ms")).agg(F.count("*").alias("records"))
+
+
+_PROXY_SQL = _WITH + """SELECT i AS record_index, CASE WHEN id % 4 = 0 THEN 'accepted' ELSE 'rejected' END AS status,
+  CASE id % 4 WHEN 1 THEN 'invalid_base64' WHEN 2 THEN 'invalid_source_ip' WHEN 3 THEN 'unsupported_version' END AS error_code,
+  CASE id % 5 WHEN 1 THEN 'invalid' WHEN 2 THEN 'future' WHEN 3 THEN 'old' END AS timestamp_reason,
+  CASE id % 5 WHEN 0 THEN 1704844800000 WHEN 4 THEN 1704844800250 END AS at_ms, count(*) AS records FROM flows, range(2) r(i) GROUP BY ALL"""
+
+
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Envelopes that each break one rule, or none; then how many there are of each outcome."""
+    n = F.col("id") % 14
+    field = lambda bad: F.array(F.named_struct(F.lit("field_id"), F.when(bad, 0).otherwise(8).cast("bigint"), F.lit("field_length"), F.lit(4).cast("bigint"), F.lit("name"), F.lit(None).cast("string"),
+                                           F.lit("unsigned_value"), F.lit(None).cast("decimal(20,0)"), F.lit("string_value"), F.when(n == 13, "1.2.3").otherwise("10.0.0.1"), F.lit("bytes_value"), F.lit(None).cast("binary")))
+    good = lambda at, value, bad=None: F.when(n == at, F.lit(bad)).otherwise(value)
+    rows = flows(spark, d).select(
+        good(0, F.format_string("01934d7c-79b4-7000-8b69-%012x", "id")).alias("event_id"), good(1, F.lit("raw.v1"), "raw.v2").alias("schema_version"), good(2, F.lit("main"), " ").alias("collector_id"),
+        F.when(n == 3, None).when(n == 4, "other").when(n == 5, "suricata_eve_json").otherwise("netflow_v9").alias("source_type"), good(6, F.lit("h")).alias("source_host"),
+        good(7, F.col("event_start_time")).alias("received_at"), F.when(n == 2, " :h").when(n == 6, "main:").when(n == 8, "x").otherwise("main:h").alias("partition_key"),
+        F.when(n == 9, None).when(n == 10, "syslog").otherwise("netflow_v9").alias("payload"), field(n == 11).alias("fields"))
+    return rows.groupBy(F.coalesce(envelope.error(F.col("fields")), F.lit("ok")).alias("outcome")).agg(F.count("*").alias("events"))
+
+
+_ENVELOPES_SQL = _WITH + """SELECT ['event_id', 'schema_version', 'collector_id', 'source_type', 'unknown_source_type', 'payload_undefined', 'source_host', 'received_at', 'partition_key', 'payload_missing',
+  'payload_mismatch', 'decoded_fields', 'ok', 'decoded_fields'][1 + id % 14] AS outcome, count(*) AS events FROM flows GROUP BY ALL"""
+
+
+def _netflow9(spark: SparkSession, d: str) -> DataFrame:
+    """Events as NetFlow v9: of each exporter, data of one event a packet, and templates in packets of their own, some of them late."""
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("bigint")), 2 * n, "0")
     c = F.col
-    return flows(spark, d).select("id", F.concat(F.lit("sha256:"), F.sha2(fn.joined(c("source_type"), c("src_ip_key"), c("dst_ip_key"), c("src_port"), c("dst_port"), c("protocol_number"), c("bytes"), c("packets")), 256)).alias("idempotency_key"))
+    head = lambda sequence: F.concat(F.lit("0009000100002710659200 80".replace(" ", "")), hexed(sequence, 4), F.lit("00000007"))
+    body = F.concat(hexed(c("src_ip_key"), 4), hexed(c("dst_ip_key"), 4), hexed(c("src_port"), 2), hexed(c("protocol_number"), 1), hexed(c("packets"), 4))
+    data = F.unhex(F.concat(head(c("id")), F.lit("01000013"), body))
+    template = F.unhex(F.concat(head(c("id")), F.lit("0000001C01000005"), F.lit("000800040 00C0004000700020004000100020004".replace(" ", ""))))
+    f = flows(spark, d).where("id % 3 > 0").withColumn("source_ip", (c("src_port") % 20).cast("string")).withColumn("at", c("event_start_time").cast("timestamp"))
+    first = f.groupBy("source_ip").agg(F.min_by("id", F.struct("at", "id")).alias("id"), F.min("at").alias("at"))  # 20 seconds after the first data
+    packets = f.select("source_ip", data.alias("packet"), c("at").alias("received_at"), c("id").alias("arrival")).unionByName(
+        first.select("source_ip", template.alias("packet"), F.timestamp_add("SECOND", F.lit(20), c("at")).alias("received_at"), F.lit(-1).alias("arrival")))
+    packets = packets.select(F.lit("main").alias("collector_id"), F.lit("h").alias("source_host"), "source_ip", F.lit(7).cast("bigint").alias("source_id"), "packet", "received_at", "arrival")
+    got = netflow9.parse(packets)
+    v = lambda k: F.col("fields")[k]
+    return got.select("source_ip", c("packet_sequence").alias("id"), "record_index", v(8).alias("src_ip"), v(7).cast("int").alias("src_port"), v(4).cast("int").alias("protocol_number"), v(2).cast("bigint").alias("packets"), "error")
+
+
+_NETFLOW9_SQL = _WITH + f"SELECT (src_port % 20)::VARCHAR AS source_ip, id, 0 AS record_index, {_SQL_IP.format('src_ip_key')} AS src_ip, src_port::INT AS src_port, protocol_number, packets, NULL AS error FROM flows WHERE id % 3 > 0"
+
+_CHART = {0: "flow_records_normalized_total", 1: "flow_records_stored_total", 2: "flow_records_failed_total", 3: "rate_limit_rejections_total", 4: "kafka_consumer_lag", 5: "storage_insert_duration", 6: "unknown_metric"}
+_POINTS_SQL = "SELECT ts AS bucket, event_id AS id, CASE event_id % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _CHART.items()) + """ END AS metric_name, user_id % 5 AS user,
+  CAST(event_id % 90 AS BIGINT) - 5 AS delta, CASE WHEN event_id % 4 > 0 THEN CAST(floor(value * 100) AS DOUBLE) END AS avg, CAST(floor(value * 10) AS DOUBLE) AS last, CAST(NULL AS DOUBLE) AS max,
+  CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 50 AS DOUBLE) END AS p90, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 60 AS DOUBLE) END AS p95, CAST(event_id % 70 AS DOUBLE) AS p99, CAST(event_id % 9 AS BIGINT) AS count FROM events"""
+
+
+def _chart(spark: SparkSession, d: str) -> DataFrame:
+    """Events as points of the charts' metrics."""
+    got = spark.sql(_POINTS_SQL.replace("FROM events", "FROM {events}"), events=_events(spark, d))
+    user = F.col("user").cast("string")
+    return got.withColumn("labels", F.map_filter(F.create_map(F.lit("source_type"), F.element_at(F.array(F.lit("SOURCE_TYPE_REST_JSON"), F.lit(" netflow_v9 "), F.lit("own"), F.lit(None), F.lit("zeek_conn_json")), (F.col("user") + 1).cast("int")), F.lit("reason"), F.when(F.col("user") > 0, user), F.lit("topic"), F.lit("t"), F.lit("partition"), F.when(F.col("user") > 2, user)), lambda _, v: v.isNotNull()))
+
+
+_SERIES_SQL = f"""WITH p AS ({_POINTS_SQL})
+SELECT bucket, 'ingestion' AS widget, CASE WHEN id % 7 = 1 THEN 'Persisted' ELSE coalesce(['REST', 'NetFlow v9', 'own', NULL, 'Zeek'][user + 1], 'unknown_source') END AS series, delta / 10.0::DOUBLE AS value FROM p WHERE id % 7 <= 1
+UNION ALL SELECT bucket, 'deadLetter', CASE WHEN id % 7 = 3 THEN 'Rate Limited' WHEN user > 0 THEN user::VARCHAR ELSE 'unknown_reason' END, delta / 10.0::DOUBLE FROM p WHERE id % 7 IN (2, 3)
+UNION ALL SELECT bucket, 'kafkaLag', CASE WHEN user > 2 THEN 't:' || user ELSE 't' END, coalesce(avg, last) FROM p WHERE id % 7 = 4
+UNION ALL SELECT bucket, 'dbLatency', n, v FROM (SELECT bucket, unnest(['Average', 'p90', 'p95', 'p99']) AS n, unnest([avg, p90, p95, p99]) AS v FROM p WHERE id % 7 = 5) WHERE v IS NOT NULL"""
+_SUMMARY_SQL = f"""WITH p AS ({_POINTS_SQL}), g AS (SELECT
+  coalesce(sum(greatest(0, delta)) FILTER (id % 7 = 0), 0)::DOUBLE AS a, coalesce(sum(greatest(0, delta)) FILTER (id % 7 = 1), 0)::DOUBLE AS b, coalesce(sum(greatest(0, delta)) FILTER (id % 7 = 2), 0)::DOUBLE AS f, coalesce(sum(greatest(0, delta)) FILTER (id % 7 = 3), 0)::DOUBLE AS r,
+  coalesce(max(last) FILTER (id % 7 = 4), 0) AS m, sum(coalesce(avg, last) * greatest(1, count)) FILTER (id % 7 = 4) / sum(greatest(1, count)) FILTER (id % 7 = 4) AS l,
+  {', '.join(f"sum({c} * greatest(1, count)) FILTER (id % 7 = 5 AND {c} IS NOT NULL) / sum(greatest(1, count)) FILTER (id % 7 = 5 AND {c} IS NOT NULL) AS x{c}" for c in ('avg', 'p95', 'p99'))}, sum(greatest(0, count))::BIGINT AS n FROM p)
+SELECT a AS total_ingested, b AS total_persisted, f AS total_failed, r AS total_rate_limited, round(m, 3) AS max_lag, round(l, 3) AS avg_lag, round(xavg, 3) AS avg_latency_ms, round(xp95, 3) AS p95_latency_ms, round(xp99, 3) AS p99_latency_ms,
+  n AS sample_count, round(b / a * 100, 3) AS persist_success_rate, round(a / 604800, 3) AS average_ingest_rate, round(b / 604800, 3) AS average_persist_rate FROM g"""
+_LIVE_SQL = f"""WITH p AS ({_POINTS_SQL}), s AS (SELECT (sum(last) FILTER (id % 7 = 4))::DOUBLE AS lag FROM p), r AS (SELECT sum(greatest(0, delta)) / 5.0::DOUBLE AS rate FROM p WHERE id % 7 = 1 GROUP BY bucket ORDER BY bucket DESC LIMIT 1)
+SELECT lag, rate AS persist_rate, CASE WHEN lag > 0 AND rate > 0 THEN lag / rate END AS drain_seconds FROM s, r"""
+
+
+def _metric_query(spark: SparkSession, d: str) -> DataFrame:
+    """Points of two metrics from the five-minute tier, percentiles from what the tier stores; rates of counters only."""
+    s = samples(spark, d).where("event_id % 2 = 0")
+    tier = metrics.drain(s, "5 minutes", order=("ts", "event_id")).withColumns({"metric_kind": F.when(F.col("metric_name") == "click", "counter").otherwise("gauge"), "bucket_width_seconds": F.lit(300), "p90": F.col("max").cast("double"), "p95": F.lit(None).cast("double"), "p99": F.lit(None).cast("double")})
+    other = tier.withColumn("bucket_width_seconds", F.lit(5))
+    got = metrics.points({"5m": (tier.unionByName(other), None)}, metrics.MetricQuery(*HALF_DAY, 3600, ("click", " error ")))
+    return got.select("bucket", "metric_name", "labels", "count", "delta", "rate_avg", "rate_peak", "p90", "p95")
+
+
+_METRIC_QUERY_SQL = _WITH + f""", base AS (
+  SELECT time_bucket(INTERVAL '5 minutes', ts) AS b, metric_name, labels, count(*) AS n, max(value)::DOUBLE AS hi, last(value ORDER BY ts, event_id) - first(value ORDER BY ts, event_id) AS gain FROM samples WHERE event_id % 2 = 0 GROUP BY ALL)
+SELECT * REPLACE (CASE WHEN metric_name = 'click' THEN rate_avg END AS rate_avg, CASE WHEN metric_name = 'click' THEN rate_peak END AS rate_peak) FROM (
+SELECT time_bucket(INTERVAL '1 hour', b, TIMESTAMP '{HALF_DAY[0]}') AS bucket, metric_name, labels, sum(n)::BIGINT AS count, sum(gain)::BIGINT AS delta, sum(gain) / 3600.0::DOUBLE AS rate_avg,
+  max(gain / 300.0::DOUBLE) AS rate_peak, max(hi) AS p90, NULL::DOUBLE AS p95
+FROM base WHERE {_between(HALF_DAY, 'b')} AND metric_name IN ('click', 'error') GROUP BY ALL)"""
+
+
+def _sorted(spark: SparkSession, d: str) -> DataFrame:
+    return fl.sort_rows(fl.search(flows(spark, d), fl.Filters(*WEEK), 100), "bytes", True).withColumn("place", F.monotonically_increasing_id() * 0).drop("place")
 
 
 def _first_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +418,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     **{f"tier_{w}_{name}": (_tier(w, keys), _tier_sql(w, keys)) for w in ("5m", "1h") for name, keys in (("talkers", fl.TALKERS), ("ports", fl.PORTS))},
     "direction_infer": (_direction, _WITH + f"SELECT CASE WHEN {_LOCAL.format('src_ip_key')} AND {_LOCAL.format('dst_ip_key')} THEN 'internal' WHEN {_LOCAL.format('src_ip_key')} THEN 'outbound' WHEN {_LOCAL.format('dst_ip_key')} THEN 'inbound' ELSE 'external' END AS direction, count(*) AS flow_count FROM flows GROUP BY ALL"),
     "protocol_map": (lambda s, d: flows(s, d).select("id", fn.protocol_name(F.col("id") % 60).alias("name")), _WITH + "SELECT id, CASE id % 60 WHEN 1 THEN 'icmp' WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 47 THEN 'gre' WHEN 50 THEN 'esp' ELSE 'unknown' END AS name FROM flows"),
-    "idempotency_key": (_idempotency, _WITH + "SELECT id, 'sha256:' || sha256(source_type || '|' || src_ip_key || '|' || dst_ip_key || '|' || src_port || '|' || coalesce(dst_port::varchar, '') || '|' || protocol_number || '|' || coalesce(bytes::varchar, '') || '|' || packets) AS idempotency_key FROM flows"),
+    "idempotency_key": (_idempotency, _IDEMPOTENCY_SQL),
     "rfc3339": (lambda s, d: flows(s, d).select("id", fn.rfc3339(F.col("event_start_time")).alias("text")), _WITH + "SELECT id, rtrim(rtrim(strftime(event_start_time, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.') || 'Z' AS text FROM flows"),
     "dedup_first_wins": (_first_wins, _WITH + "SELECT id, src_ip_key, dst_port FROM flows QUALIFY row_number() OVER (PARTITION BY src_ip_key, dst_port ORDER BY event_start_time, id) = 1"),
     "zeek_parse": (_zeek, _WITH + "SELECT id, src_port, dst_port, CASE WHEN id % 17 <> 0 THEN bytes + packets END AS bytes, '{\"api_token\":\"***MASKED***\"}' AS extra, CASE WHEN id % 17 = 0 THEN 'invalid_number' END AS error FROM flows"),
@@ -256,7 +430,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "metric_drain_counter": (lambda s, d: metrics.drain(samples(s, d), "1 hour", order=("ts", "event_id"), counter=True).select("bucket", "metric_name", "labels", "count", "sum", "first", "last", "delta"),
         _WITH + ", b AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, metric_name, labels, count(value) AS count, sum(value)::BIGINT AS sum FROM samples GROUP BY ALL) SELECT *, last - sum AS first, sum AS delta FROM (SELECT *, (sum(sum) OVER (PARTITION BY metric_name, labels ORDER BY bucket))::BIGINT AS last FROM b)"),
     "metric_tier_1h": (lambda s, d: metrics.aggregate_tier(metrics.drain(samples(s, d), order=("ts", "event_id")), "1 hour"),
-        _WITH + "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, metric_name, labels, count(*) AS sample_count, count(*) AS count, sum(value)::BIGINT AS sum, sum(d)::BIGINT AS delta, min(value) AS min, max(value) AS max, first(value ORDER BY ts, event_id) AS first, last(value ORDER BY ts, event_id) AS last, sum(value)::DOUBLE / count(*) AS avg FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY time_bucket(INTERVAL '5 seconds', ts), metric_name, labels ORDER BY ts, event_id) = 1 THEN last_value(value) OVER (PARTITION BY time_bucket(INTERVAL '5 seconds', ts), metric_name, labels ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - value ELSE 0 END AS d FROM samples) GROUP BY ALL"),
+        _WITH + "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, metric_name, labels, count(*) AS sample_count, count(*) AS count, sum(value)::BIGINT AS sum, sum(d)::BIGINT AS delta, min(value) AS min, max(value) AS max, first(value ORDER BY ts, event_id) AS first, last(value ORDER BY ts, event_id) AS last, sum(value)::DOUBLE / count(*) AS avg, NULL::DOUBLE AS p90, NULL::DOUBLE AS p95, NULL::DOUBLE AS p99 FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY time_bucket(INTERVAL '5 seconds', ts), metric_name, labels ORDER BY ts, event_id) = 1 THEN last_value(value) OVER (PARTITION BY time_bucket(INTERVAL '5 seconds', ts), metric_name, labels ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - value ELSE 0 END AS d FROM samples) GROUP BY ALL"),
     "histogram_percentile": (lambda s, d: metrics.percentiles(metrics.histogram(samples(s, d), "1 hour"), ("metric_name", "labels")), _WITH + f"SELECT metric_name, labels, quantile_disc({_bounds_case('value')}, 0.9) AS p90, quantile_disc({_bounds_case('value')}, 0.95) AS p95, quantile_disc({_bounds_case('value')}, 0.99) AS p99 FROM samples GROUP BY ALL"),
     "histogram_tier": (lambda s, d: metrics.widen_histogram(metrics.histogram(samples(s, d), "5 seconds"), "1 hour"), _WITH + f"SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, metric_name, labels, ({' + '.join(f'(value > {b})::INT' for b in metrics.BOUNDS)})::INT AS bucket_index, CASE WHEN value <= {metrics.BOUNDS[-1]} THEN {_bounds_case('value')} END AS bucket_upper_bound, count(*) AS count FROM samples GROUP BY ALL"),
     "nearest_rank_p95": (_p95, _WITH + "SELECT metric_name, quantile_disc(value, 0.95) AS value FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY ts DESC, event_id DESC) AS r FROM samples) WHERE r <= 1000 GROUP BY metric_name"),
@@ -267,6 +441,30 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "log_merge": (lambda s, d: logs.merge(*[_events(s, d).where(F.col("event_type") == t).select("event_id", "event_type") for t in ("click", "error", "click")]), "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error')"),
     "series_health": (lambda s, d: metrics.health(samples(s, d).select("labels", F.when(F.col("metric_name") == "error", "fail").otherwise("ok").alias("status")), ("labels",)), _WITH + "SELECT labels, CASE WHEN count(*) FILTER (metric_name = 'error') = 0 THEN 'ok' WHEN count(*) FILTER (metric_name <> 'error') = 0 THEN 'fail' ELSE 'degraded' END AS status, count(*) AS components FROM samples GROUP BY labels"),
     "metric_upsert": (lambda s, d: metrics.latest(samples(s, d), ("metric_name", "labels"), ("ts", "event_id")), _WITH + "SELECT * FROM samples QUALIFY row_number() OVER (PARTITION BY metric_name, labels ORDER BY ts DESC, event_id DESC) = 1"),
+    "search_projection": (_projection, _WITH + f"SELECT id, 'flow.v1' AS schema_version, 'k' || id AS idempotency_key, 'r' || id AS raw_event_id, source_type, 'main' AS collector_id, 'h' || id % 3 AS source_host, NULL AS source_ip, event_start_time, CASE WHEN id % 4 > 0 THEN event_start_time + INTERVAL 5 SECOND END AS event_end_time, 5 AS duration_ms, {_SQL_IP.format('src_ip_key')} AS src_ip, {_SQL_IP.format('dst_ip_key')} AS dst_ip, src_port, dst_port, transport_protocol, protocol_number, bytes, packets, 'outbound' AS direction, 'dns' AS application_protocol, 'ok' AS normalization_status, '{{}}' AS attributes FROM flows WHERE {_between(WEEK)} ORDER BY event_start_time DESC, id DESC LIMIT 101"),
+    "sort_rows": (_sorted, _search_sql()),
+    "tuple_identity": (lambda s, d: _wide(s, d).select("id", fn.tuple_identity().alias("identity")), _WITH + f"SELECT id, 'tuple:' || sha256(concat_ws('|', {_SQL_TIME.format('event_start_time')}, {_SQL_IP.format('src_ip_key')}, {_SQL_IP.format('dst_ip_key')}, protocol_number::VARCHAR)) AS identity FROM flows"),
+    "uuid7": (_uuid, _WITH + ", h AS (SELECT id, lpad(printf('%x', epoch_us(event_start_time) // 1000), 12, '0') AS t, sha256('s' || id) AS x FROM flows) SELECT id, t[1:8] || '-' || t[9:12] || '-7' || x[1:3] || '-' || '89ab'[('0x' || x[4])::INT % 4 + 1] || x[5:7] || '-' || x[8:19] AS uuid, true AS valid, false AS other FROM h"),
+    "mask_attributes": (_masks, _WITH + """SELECT id, '{"in":[{"session":"***MASKED***"},{"safe_token":"***MASKED***"}],"n":' || id || ',"safe":"b","x-api-key":"***MASKED***"}' AS masked, id % 5 IN (0, 1, 3) AS sensitive FROM flows"""),
+    "labels": (_labels, _WITH + r"""SELECT id, '{"a":"\\","b":"x\"' || id || '"}' AS key, 'a="\\",b="x\"' || id || '"' AS text FROM flows"""),
+    "protocol_number": (lambda s, d: flows(s, d).select("id", fn.protocol_number(F.col("transport_protocol")).cast("int").alias("number"), fn.transport(F.concat(F.lit(" "), F.upper("transport_protocol"))).alias("name")), _WITH + "SELECT id, CASE transport_protocol WHEN 'icmp' THEN 1 WHEN 'udp' THEN 17 ELSE 6 END AS number, transport_protocol AS name FROM flows"),
+    "exposition": (_exposition, _WITH + r"""SELECT metric_name, labels::VARCHAR AS user, 'a"\b' AS q, count(*) AS lines, sum(value)::BIGINT AS total FROM samples WHERE value IS NOT NULL GROUP BY ALL"""),
+    "exporter_restarts": (_restarts, _WITH + ", p AS (SELECT src_port % 10 AS source_ip, id * 37 % 5000 - lag(id * 37 % 5000) OVER w AS q, id * 91 % 7000 - lag(id * 91 % 7000) OVER w AS u FROM flows WINDOW w AS (PARTITION BY src_port % 10 ORDER BY event_start_time, id)) SELECT source_ip, count(*) FILTER (q < 0 AND u < 0) AS restarts FROM p GROUP BY source_ip"),
+    "packet_router": (_route, _WITH + "SELECT CASE WHEN id % 50 = 0 THEN 'unknown' WHEN id % 12 = 5 THEN 'netflow_v5' WHEN id % 12 = 9 THEN 'netflow_v9' ELSE 'unknown' END AS kind, count(*) AS packets FROM flows GROUP BY ALL"),
+    "zeek_batch": (_zeek_batch, _WITH + "SELECT id, i AS record_index, CASE WHEN i < 2 THEN src_port END AS src_port, CASE WHEN i < 2 THEN 'C' || id END AS uid, CASE WHEN i >= 2 THEN 'invalid_zeek_conn' END AS error FROM flows, range(4) r(i)"),
+    "proxy_batch": (_proxy, _PROXY_SQL),
+    "envelope_validate": (_envelopes, _ENVELOPES_SQL),
+    "v9_decode": (_netflow9, _NETFLOW9_SQL),
+    "metric_query": (_metric_query, _METRIC_QUERY_SQL),
+    "history_range": (lambda s, d: metrics.history_of(samples(s, d), "24h", _t(6)), _WITH + "SELECT time_bucket(INTERVAL '20 minutes', ts) AS bucket, metric_name, labels, max(value) - min(value) AS delta, sum(value)::DOUBLE / count(value) AS value FROM samples WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY ALL"),
+    "metric_latency": (lambda s, d: metrics.latency(_chart(s, d).groupBy("bucket", "metric_name", F.col("user").alias("labels")).agg(F.sum("delta").alias("delta")).withColumn("bucket", F.date_trunc("day", "bucket").cast("timestamp_ntz")), "flow_records_stored_total", "flow_records_failed_total"),
+        f"WITH p AS ({_POINTS_SQL}), g AS (SELECT bucket, metric_name, user, sum(delta) AS delta FROM p GROUP BY ALL) SELECT bucket, labels, coalesce(t / nullif(n, 0), 0.0) AS latency FROM (SELECT date_trunc('day', bucket)::TIMESTAMP AS bucket, user AS labels, (sum(greatest(0, delta)) FILTER (metric_name = 'flow_records_stored_total'))::DOUBLE AS t, (sum(greatest(0, delta)) FILTER (metric_name = 'flow_records_failed_total'))::DOUBLE AS n FROM g GROUP BY ALL) WHERE t IS NOT NULL AND n IS NOT NULL"),
+    "metric_unpivot": (lambda s, d: metrics.unpivot(_chart(s, d), ["p90", "p95", "p99"], ("id",)), f"WITH p AS ({_POINTS_SQL}) SELECT * FROM (SELECT id, unnest(['p90', 'p95', 'p99']) AS statistic, unnest([p90, p95, p99]) AS value FROM p) WHERE value IS NOT NULL"),
+    "metric_window_summary": (lambda s, d: metrics.summary(_chart(s, d).groupBy("metric_name", "user").agg(F.sum("delta").alias("delta"), F.sum("count").alias("count"), F.avg("last").alias("avg"), F.max("last").alias("max")).withColumnRenamed("user", "labels")),
+        f"WITH p AS ({_POINTS_SQL}), g AS (SELECT metric_name, user AS labels, sum(delta) AS delta, sum(count) AS count, avg(last) AS avg, max(last) AS max FROM p GROUP BY ALL) SELECT metric_name, labels, greatest(0, delta)::BIGINT AS gained, count::BIGINT AS samples, CASE WHEN count > 0 THEN round(avg * count / count, 3) END AS mean, max AS peak FROM g"),
+    "dashboard_series": (lambda s, d: dashboard.series(_chart(s, d), 10), _SERIES_SQL),
+    "dashboard_summary": (lambda s, d: dashboard.summary(_chart(s, d), *WEEK), _SUMMARY_SQL),
+    "dashboard_live": (lambda s, d: dashboard.live(_chart(s, d).select("metric_name", F.col("last").alias("value")), _chart(s, d)), _LIVE_SQL),
 }
 
 

@@ -1,6 +1,6 @@
-"""NetFlow v9: templates are learnt per exporter, so packets are decoded by exporter, in order of arrival.
+"""NetFlow v9: templates are learnt per exporter, and its packets are decoded with what stood when they came.
 
-`Exporter` is the state of one exporter; the batch and the streaming form both fold packets into it.
+`Exporter` is the state of one exporter in a stream; the batch form joins packets with the templates of their exporter.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # How fields are read, by id; other ids up to 104, and 234 and 235, are numbers.
 IPV4 = {8, 12, 15, 18, 44, 45, 47}
@@ -87,14 +88,29 @@ def templates(kind: int, body: bytes) -> Iterator[tuple[int, list[tuple[int, int
 
 @dataclass
 class Exporter:
-    """Templates, waiting flowsets and sampling of one exporter; all bounded."""
+    """Templates, waiting flowsets and sampling of one exporter; all bounded. Templates are in order of last use."""
 
     known: dict[int, tuple[bool, list[tuple[int, int]], float]] = field(default_factory=dict)
-    waiting: list[tuple[int, bytes, tuple, float]] = field(default_factory=list)
+    waiting: list[tuple[int, bytes, tuple, float, int]] = field(default_factory=list)
     sampling: dict[str, str] = field(default_factory=dict)
+    generation: dict[int, int] = field(default_factory=dict)
+
+    def learn(self, tid: int, options: bool, fields: list[tuple[int, int]], now: float) -> None:
+        """A template, seen again or redefined; a new definition is a new generation of its id."""
+        old = self.known.pop(tid, None)
+        if old is None or old[:2] != (options, fields):
+            self.generation[tid] = self.generation.get(tid, 0) + 1
+        self.known[tid] = (options, fields, now)
+        while len(self.known) > MOST_TEMPLATES:  # the one that went longest without use
+            gone = next(iter(self.known))
+            del self.known[gone]
+            self.generation.pop(gone, None)
 
     def fold(self, packet: bytes, now: float) -> Iterator[tuple]:
-        """(head, record index, template id, fields, error) of what this packet lets decode. head: of the packet the flowset came in."""
+        """(head, record index, template id, fields, error) of what this packet lets decode. head: of the packet the flowset came in.
+
+        Records of a packet are numbered over its flowsets. One that waits keeps its place: it takes as many numbers as it has bytes.
+        """
         try:
             count, uptime, seconds, sequence, source = header(packet)
             sets = list(flowsets(packet))
@@ -108,20 +124,18 @@ class Exporter:
             if kind <= 1:
                 try:
                     for tid, fields in templates(kind, body):
-                        self.known.pop(tid, None)
-                        self.known[tid] = (kind == 1, fields, now)
-                        while len(self.known) > MOST_TEMPLATES:
-                            del self.known[next(iter(self.known))]
+                        self.learn(tid, kind == 1, fields, now)
                         ready, self.waiting = [w for w in self.waiting if w[0] == tid], [w for w in self.waiting if w[0] != tid]
-                        for _, late, its_head, _ in ready:  # in order of arrival, under the header they came with
+                        for _, late, its_head, _, first in ready:  # in order of arrival, under the header and numbers they came with
                             for i, record in enumerate(self.records(tid, late, now)):
-                                yield its_head, i, tid, *record
+                                yield its_head, first + i, tid, *record
                 except Malformed as e:
                     yield head, None, None, None, str(e)
             elif kind not in self.known:
-                self.waiting.append((kind, body, head, now))
+                self.waiting.append((kind, body, head, now, index))
+                index += len(body)
                 while sum(len(w[1]) for w in self.waiting) > PENDING_BYTES:
-                    tid, _, its_head, _ = self.waiting.pop(0)
+                    tid, _, its_head, _, _ = self.waiting.pop(0)
                     yield its_head, None, tid, None, "pending_evicted"
             else:
                 for record in self.records(kind, body, now):
@@ -130,47 +144,138 @@ class Exporter:
 
     def expire(self, now: float) -> Iterator[tuple]:
         self.known = {t: k for t, k in self.known.items() if now - k[2] <= TEMPLATE_TTL_S}
-        for tid, _, head, at in self.waiting:
+        for tid, _, head, at, _ in self.waiting:
             if now - at > PENDING_S:
                 yield head, None, tid, None, "template_timeout"
         self.waiting = [w for w in self.waiting if now - w[3] <= PENDING_S]
 
+    def deadline(self) -> float | None:
+        """When the first of the waiting flowsets has waited long enough."""
+        return min((w[3] for w in self.waiting), default=None)
+
     def records(self, tid: int, body: bytes, now: float) -> Iterator[tuple[dict[int, str] | None, str | None]]:
-        options, fields, _ = self.known[tid]
+        options, fields, _ = self.known.pop(tid)
         self.known[tid] = (options, fields, now)
-        width = sum(length for _, length in fields)
-        if len(body) % width > 3:
-            yield None, "bad_padding"
-            return
-        for start in range(0, len(body) - width + 1, width):
-            at, found = start, {}
-            for kind, length in fields:
-                found.setdefault(kind, value(kind, body[at : at + length]))
-                at += length
-            if options:
+        for found, error in decode(fields, body):
+            if options and error is None:
                 self.sampling |= {name: found[k] for k, name in ((34, "interval"), (50, "interval"), (35, "algorithm"), (49, "algorithm"), (48, "sampler")) if k in found}
             else:
-                yield found, None
+                yield found, error
+
+
+def decode(fields: list[tuple[int, int]], body: bytes) -> Iterator[tuple[dict[int, str] | None, str | None]]:
+    """(fields of a record, error) of each record of a data flowset."""
+    width = sum(length for _, length in fields)
+    if len(body) % width > 3:
+        yield None, "bad_padding"
+        return
+    for start in range(0, len(body) - width + 1, width):
+        at, found = start, {}
+        for kind, length in fields:
+            found.setdefault(kind, value(kind, body[at : at + length]))
+            at += length
+        yield found, None
+
+
+_NAMES = [c.split()[0] for c in SCHEMA.strip().replace("\n", " ").replace("<int,string>", "").split(",")]
+
+
+def _row(key: tuple, at, head: tuple | None, index: int | None, tid: int | None, fields: dict | None, error: str | None) -> tuple:
+    sequence, seconds, uptime = head or (None, None, None)
+    return (*key, at, sequence, index, tid, pd.Timestamp(seconds, unit="s") if head else None, uptime, fields, error)
 
 
 def rows(state: Exporter, key: tuple, packets: pd.DataFrame) -> pd.DataFrame:
     """Decoded records of packets (packet, received_at) in their order, as SCHEMA has them."""
     out = []
     for packet, at in zip(packets["packet"], packets["received_at"], strict=True):
-        for head, index, tid, fields, error in state.fold(bytes(packet or b""), at.timestamp()):
-            sequence, seconds, uptime = head or (None, None, None)
-            out.append((*key, at, sequence, index, tid, pd.Timestamp(seconds, unit="s") if head else None, uptime, fields, error))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.strip().replace("\n", " ").replace("<int,string>", "").split(",")])
+        out += [_row(key, at, *found) for found in state.fold(bytes(packet or b""), at.timestamp())]
+    return pd.DataFrame(out, columns=_NAMES)
 
 
-def parse(packets: DataFrame) -> DataFrame:
-    """Batch form: packets (KEYS, packet, received_at, arrival) decoded per exporter in order of arrival.
+def timed_out(state: Exporter, key: tuple, now: float) -> pd.DataFrame:
+    """Rows of the flowsets that have waited long enough by `now`, with no packet to bring them out."""
+    at = pd.Timestamp(now, unit="s")
+    return pd.DataFrame([_row(key, at, *found) for found in state.expire(now)], columns=_NAMES)
 
-    An exporter's packets meet in one task: its templates are state. An exporter is one router and source id, so groups stay
-    as small as one router's traffic; `source_id` is read from the packet.
-    """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return rows(Exporter(), key, pdf.sort_values(["received_at", "arrival"]))
+_LEARNT = f"{', '.join(k + (' bigint' if k == 'source_id' else ' string') for k in KEYS)}, received_at timestamp, arrival bigint, place int, template_id int, options boolean, ids array<int>, lengths array<int>"
+
+
+def _learnt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The templates that packets bring."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            packet = bytes(row.packet or b"")
+            try:
+                header(packet)
+                for place, (kind, body) in enumerate(list(flowsets(packet))):
+                    if kind <= 1:
+                        out += [(*row[:4], row.received_at, row.arrival, place, tid, kind == 1, [k for k, _ in f], [n for _, n in f]) for tid, f in templates(kind, body)]
+            except Malformed:  # the pass over data reports it
+                continue
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _LEARNT.split(", ")])
+
 
-    return packets.groupBy(*KEYS).applyInPandas(run, SCHEMA)
+def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of packets that carry their exporter's templates, as versions in order: (order, time, template id, options, fields)."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            key, packet, now, index = row[:4], bytes(row.packet or b""), row.received_at.timestamp(), 0
+            try:
+                count, uptime, seconds, sequence, source = header(packet)
+                sets = list(flowsets(packet))
+            except Malformed as e:
+                out.append(_row(key, row.received_at, None, None, None, None, str(e)))
+                continue
+            head, known = (sequence, seconds, uptime), {}
+            for v in row.versions if row.versions is not None else ():
+                known.setdefault(v["template_id"], []).append(v)
+            for place, (kind, body) in enumerate(sets):
+                if kind <= 1:
+                    try:
+                        list(templates(kind, body))
+                    except Malformed as e:
+                        out.append(_row(key, row.received_at, head, None, None, None, str(e)))
+                    continue
+                own = (now, row.arrival, place)
+                order = lambda v: (v["received_at"].timestamp(), v["arrival"], v["place"])
+                before = [v for v in known.get(kind, ()) if order(v) <= own]
+                late = [v for v in known.get(kind, ()) if order(v) > own and v["received_at"].timestamp() - now <= PENDING_S]
+                if not before and not late:
+                    if row.last.timestamp() - now > PENDING_S:
+                        out.append(_row(key, row.received_at, head, None, kind, None, "template_timeout"))
+                    index += len(body)
+                    continue
+                v = before[-1] if before else late[0]
+                n = 0
+                for found, error in decode(list(zip(v["ids"], v["lengths"], strict=True)), body):
+                    if not v["options"] or error:
+                        out.append(_row(key, row.received_at, head, index + n, kind, found, error))
+                        n += 1
+                index += n if before else len(body)
+        yield pd.DataFrame(out, columns=_NAMES)
+
+
+def parse(packets: DataFrame) -> DataFrame:
+    """Batch form: packets (KEYS, packet, received_at, arrival) decoded with the template in force when they came.
+
+    Two passes, neither of which brings an exporter's packets together: the first takes templates alone, few as they are, and keeps
+    of an exporter the definitions that differ from the one before; the second decodes each packet where it is, beside its
+    exporter's definitions. A flowset without a template waits for one that comes within PENDING_S, and keeps its place in its
+    packet; if the exporter goes on longer without one, it is an error. A batch keeps a template until it is redefined;
+    `received_at` of a row is that of its own packet.
+    """
+    own = packets.select(*KEYS, "packet", "received_at", F.col("arrival").cast("bigint").alias("arrival"))
+    order = Window.partitionBy(*KEYS, "template_id").orderBy("received_at", "arrival", "place")
+    meaning = F.struct("options", "ids", "lengths")
+    learnt = own.mapInPandas(_learnt, _LEARNT).withColumn("before", F.lag(meaning).over(order)).where(~F.coalesce(F.col("before") == meaning, F.lit(False)))
+    version = F.struct("received_at", "arrival", "place", "template_id", "options", "ids", "lengths")
+    versions = learnt.groupBy(*KEYS).agg(F.array_sort(F.collect_list(version)).alias("versions"))
+    last = own.groupBy(*KEYS).agg(F.max("received_at").alias("last"))
+    named = lambda df: df.withColumnsRenamed({k: f"its_{k}" for k in KEYS})
+    same = [F.col(k).eqNullSafe(F.col(f"its_{k}")) for k in KEYS]
+    both = named(last.join(named(versions), same, "left").select(*KEYS, "last", "versions"))
+    return own.join(both, same).select(*KEYS, "packet", "received_at", "arrival", "last", "versions").mapInPandas(_decoded, SCHEMA)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import normalize, store
@@ -41,18 +41,47 @@ def ingest(stream: DataFrame, normalizer, flows_path: str, letters_path: str, ch
 def decode_netflow9(packets: DataFrame, idle: str = "24 hours") -> DataFrame:
     """A stream of packets (netflow9.KEYS, packet, received_at) decoded; templates, waiting flowsets and sampling are state.
 
-    An exporter that is silent for `idle` is forgotten. Caps on templates and waiting bytes hold per exporter.
+    The timer is at the end of the longest wait, when what waited comes out as an error, and else at `idle`, when a silent
+    exporter is forgotten. Caps on templates and waiting bytes hold per exporter.
     """
-    hours = int(pd.Timedelta(idle).total_seconds() * 1000)
+    silent = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(netflow9.PENDING_S * 1000) + 1000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            exporter = pickle.loads(state.get[0])  # noqa: S301  our own state
+            if exporter.waiting:  # by the clock of the packets, they have waited since the last one came
+                yield netflow9.timed_out(exporter, key, exporter.deadline() + netflow9.PENDING_S + 1)
+                state.update((pickle.dumps(exporter),))
+                state.setTimeoutDuration(wait if exporter.waiting else silent)
+            else:
+                state.remove()
             return
         exporter = pickle.loads(state.get[0]) if state.exists else netflow9.Exporter()  # noqa: S301  our own state
         for pdf in batches:
             yield netflow9.rows(exporter, key, pdf.sort_values("received_at"))
         state.update((pickle.dumps(exporter),))
-        state.setTimeoutDuration(hours)
+        state.setTimeoutDuration(wait if exporter.waiting else silent)
 
     return packets.groupBy(*netflow9.KEYS).applyInPandasWithState(run, netflow9.SCHEMA, "exporter binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class Lag(StreamingQueryListener):
+    """What each query was behind at its last progress: `behind` has (rows in, rows in a second, rows done in a second, seconds to catch up) by name or id."""
+
+    def __init__(self):
+        self.behind: dict[str, tuple[int, float, float, float | None]] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802  Spark's names
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        rows, came, done = p.numInputRows, p.inputRowsPerSecond or 0.0, p.processedRowsPerSecond or 0.0
+        self.behind[p.name or str(p.id)] = (rows, came, done, rows / done if done else None)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.behind.pop(str(event.id), None)
