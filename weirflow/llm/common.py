@@ -32,6 +32,13 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column of passage that df hasn't."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def hot_keys(rows: DataFrame, key: str, share: float, least: int) -> DataFrame:
     """The values of a column that `share` of all rows have, or more, and `least` rows at any rate: 1 / share values at most."""
     total = rows.count()
