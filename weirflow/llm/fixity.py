@@ -19,21 +19,32 @@ RANGE_BYTES, FANOUT = 64 * 1024, 16
 PAGES_PER_ARCHIVE = 500
 
 
+def _listed(pages: DataFrame, per_archive: int) -> DataFrame:
+    """Pages as records without a place: archive, page_id, url, record_id, length, digest, content."""
+    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: "), name, F.lit("\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    records = pages.select(name.alias("record_id"), "page_id", F.coalesce("url", F.lit("")).alias("url"), F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("content"))
+    records = records.withColumn("length", F.octet_length("content").cast("long")).withColumn("digest", F.sha2("content", 256))
+    unnamed = max(1, -(-pages.where(F.col("page_id").isNull()).count() // per_archive))
+    stray = -1 - F.pmod(F.xxhash64("url", "digest"), F.lit(unnamed))
+    return records.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / per_archive), stray).cast("long"))
+
+
+def _placed(records: DataFrame) -> DataFrame:
+    """Records of an archive end to end, in order of id, url and digest, with their offset."""
+    order = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
+
+
 def pack(pages: DataFrame, per_archive: int = PAGES_PER_ARCHIVE) -> DataFrame:
     """Pages as WARC response records: archive, offset, length, record_id, content (binary, header and payload).
 
-    An archive holds the pages of `per_archive` consecutive ids, in order of id, end to end. A null id goes to archive -1
-    and null htmls are empty payloads. Pages that repeat an id lie side by side, in order of url and html.
+    An archive holds the pages of `per_archive` consecutive ids, in order of id, end to end. Null ids are dealt over archives from -1 down,
+    of `per_archive` pages each on average, and null htmls are empty payloads. Pages that repeat an id lie side by side, in order of url and
+    the digest of the record. Contents are shuffled, as archives hold them; an audit of pages, `report`, does without.
     """
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: "), name, F.lit("\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    records = pages.select(
-        F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).cast("long").alias("archive"), name.alias("record_id"), "page_id", "url", "html",
-        F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("content"),
-    ).withColumn("length", F.octet_length("content").cast("long"))
-    order = Window.partitionBy("archive").orderBy("page_id", "url", "html").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")).select("archive", "offset", "length", "record_id", "content")
+    return _placed(_listed(pages, per_archive)).select("archive", "offset", "length", "record_id", "content")
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -118,12 +129,15 @@ def damaged(records: DataFrame) -> DataFrame:
 def report(pages: DataFrame) -> DataFrame:
     """The audit of all pages, packed as WARC archives, against a replica with planted damage.
 
-    Both replicas come of one packing, so that contents are shuffled once; only the leaves of both are kept.
+    Each replica is read and hashed by itself, from its own contents; the digests are taken where pages are read, so that only
+    they, lengths and names are shuffled. Pages may have null columns, and repeat; no pages make no rows.
     """
-    side = lambda name: lambda c: F.struct(F.lit(name).alias("side"), c["record_id"].alias("record_id"), F.sha2(c["content"], 256).alias("digest"))
-    both = F.concat(F.transform(F.array(F.struct("record_id", "content")), side("primary")), F.transform(_copies(), side("replica")))
-    listed = cut(pack(pages).select("archive", "offset", "length", F.explode(both).alias("leaf")).select("archive", "offset", "length", "leaf.*"))
-    mine, other = (listed.where(F.col("side") == name).drop("side") for name in ("primary", "replica"))
+    own = ["archive", "page_id", "url", "record_id", "length", "digest"]
+    primary = _placed(_listed(pages, PAGES_PER_ARCHIVE).select(*own))
+    hashed = F.transform(_copies(), lambda c: F.struct(c["record_id"].alias("record_id"), F.sha2(c["content"], 256).alias("digest")))
+    replica = _placed(_listed(pages, PAGES_PER_ARCHIVE).select(*own, hashed.alias("copies"))).select("archive", "offset", "length", F.explode("copies").alias("copy"))
+    mine = cut(primary.select("archive", "offset", "length", "record_id", "digest"))
+    other = cut(replica.select("archive", "offset", "length", "copy.record_id", "copy.digest"))
     return audit_leaves(mine, other).select("archive", "offset", "length", "record_id", "verdict")
 
 
@@ -139,7 +153,7 @@ WITH bodies AS (
   FROM bodies
 ), placed AS (
   SELECT archive, record_id, body, octet_length(body) + 4 AS length,
-         coalesce(sum(octet_length(body) + 4) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS offset_,
+         coalesce(sum(octet_length(body) + 4) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, sha256(body || encode(chr(13) || chr(10) || chr(13) || chr(10))) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS offset_,
          ('0x' || sha256(record_id)[1:2])::int AS lot
   FROM records
 ), sides AS (
