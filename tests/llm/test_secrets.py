@@ -74,3 +74,30 @@ def test_markov_spans_and_redaction(spark, model):
     out = {r.doc_id: r.text for r in redact(docs, model).collect()}
     assert out == {1: "é key [SECRET] and [SECRET]!", 2: None, 3: "plain"}
     assert report(docs.limit(0)).count() == 0
+
+
+def test_markov_spans_over_table_match_brute_force(spark, model):
+    """Tokens, their ratio and what overlaps base spans, by plain Python; secrets of no base kind are planted in every text."""
+    import random
+
+    from weirflow.llm.secrets import ALPHABET, THRESHOLD
+
+    rng = random.Random(4)
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    planted = {}
+    for i in texts:
+        token = "".join(rng.choice(ALPHABET[:62]) for _ in range(24))
+        planted[i] = token
+        texts[i] = f"{texts[i] or ''} {token} " + " ".join(rng.choice(("x", "token=abcdef1", "0" * 30, "get_user_account_name_by_id")) for _ in range(rng.randrange(400)))
+    found = scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model, column="found").collect()
+    caught = 0
+    for r in found:
+        text, taken = texts[r.doc_id], base(texts[r.doc_id])
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
+            score = sum(model[ALPHABET.index(a) * len(ALPHABET) + ALPHABET.index(b)] for a, b in zip(m[0], m[0][1:], strict=False))
+            if len(m[0]) >= 16 and score >= THRESHOLD and not any(a < m.end() and m.start() < b for a, _, b, _ in taken):
+                want.append((m.start(), m.end()))
+        assert [(s.start, s.end) for s in r.found if s.kind == "markov"] == want
+        caught += any(text[a:b] == planted[r.doc_id] for a, b in want)
+    assert caught >= 0.98 * len(texts)
