@@ -2,7 +2,7 @@
 
 What a page shows without scripts, plug-ins and media is visible: text of math (not its annotations) and textarea, and
 what object holds for want of its data. Choices of select, text in svg, and what audio, video, canvas, iframe and noscript
-hold for others are not text of the page; nor is what HIDDEN, hidden, display:none, visibility or a closed details or dialog hides.
+hold for others are not text of the page; nor is what HIDDEN, an input that is no button, hidden, display:none, visibility or a closed details or dialog hides.
 Elements may nest to any depth.
 
 Each page is one row, so pages are laid out in the tasks that read them; the helper for one page is below.
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -45,8 +47,10 @@ _ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Lines are indented by this much at most, however deep their list.
 INDENT = 80
-#: Cells are padded to the width of their column up to this; a wider cell pushes its row out.
-WIDEST = 40
+#: Cells are padded to the width of their column. If the blanks of a page came to more than PADDING and 16 times its source, as a very long
+#: cell beside thousands of rows would make them, cells of a table wider than WIDEST push their row out instead.
+PADDING, WIDEST = 1 << 20, 40
+BUTTONS = frozenset("submit button reset".split())
 
 
 class Node:
@@ -158,8 +162,9 @@ def title(root: Node) -> str:
 class Page:
     """Lines of text under construction: words of a line, and the blank line that a block asks for before the next."""
 
-    def __init__(self):
+    def __init__(self, room: list[int] | None = None):
         self.lines: list[str] = []
+        self.room = [PADDING] if room is None else room  # blanks that tables of the whole page may still add
         self.line, self.gap, self.indent, self.mark = "", False, "", ""
 
     def write(self, text: str) -> None:
@@ -187,7 +192,7 @@ def visible(node: Node, shown: bool) -> bool | None:
     """Whether the text of a node shows; None if nothing below it does."""
     a = node.attrs
     style = a.get("style", "").replace(" ", "").lower()
-    if node.tag in HIDDEN or "hidden" in a or "display:none" in style or node.tag == "input" or node.tag == "dialog" and "open" not in a:
+    if node.tag in HIDDEN or "hidden" in a or "display:none" in style or node.tag == "input" and a.get("type", "").lower() not in BUTTONS or node.tag == "dialog" and "open" not in a:
         return None
     if "visibility:hidden" in style or "visibility:collapse" in style:
         return False
@@ -230,6 +235,9 @@ def render(node: Node, page: Page, shown: bool = True, count: list[int] | None =
             page.line = ""
         elif tag == "hr":
             page.end(True)
+        elif tag == "input":
+            if shows and child.attrs.get("value", "").strip():
+                page.write(child.attrs["value"])
         elif tag == "img":
             if shows and child.attrs.get("alt", "").strip():
                 page.write(child.attrs["alt"])
@@ -278,7 +286,7 @@ def table(node: Node, page: Page, shown: bool) -> Iterator[Iterator]:
     caption: list[tuple[Node, bool]] = []
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell above still covers
-    span = lambda cell, name: min(max(int(v), 1), 1000) if re.fullmatch(r"\d{1,6}", v := cell.attrs.get(name, "")) else 1
+    span = lambda cell, name, most: min(max(int(v), 1), most) if re.fullmatch(r"\d{1,6}", v := cell.attrs.get(name, "")) else 1
     for row, row_shown in list(_rows(node, shown, caption)):
         cells: dict[int, list[str]] = {}
         at = 0
@@ -288,11 +296,11 @@ def table(node: Node, page: Page, shown: bool) -> Iterator[Iterator]:
                 continue
             while taken.get(at, 0) > 0:
                 at += 1
-            inner = Page()
+            inner = Page(page.room)
             yield render(cell, inner, shows)
             inner.end()
             cells[at] = inner.lines
-            wide, high = span(cell, "colspan"), span(cell, "rowspan")
+            wide, high = span(cell, "colspan", 1000), span(cell, "rowspan", 65534)
             for column in range(at, at + wide):
                 fresh[column] = high
             at += wide
@@ -304,7 +312,13 @@ def table(node: Node, page: Page, shown: bool) -> Iterator[Iterator]:
     ends: dict[int, int] = {}
     columns = sorted({c for cells in grid for c in cells})
     for c in columns:
-        ends[c] = min(WIDEST, max((len(line) for cells in grid for line in cells.get(c, ())), default=0))
+        ends[c] = max((len(line) for cells in grid for line in cells.get(c, ())), default=0)
+    rows = sum(max((len(lines) for lines in cells.values()), default=0) for cells in grid)
+    blanks = rows * sum(ends[c] for c in columns[:-1])
+    if blanks <= page.room[0]:
+        page.room[0] -= blanks
+    else:
+        ends = {c: min(WIDEST, n) for c, n in ends.items()}
     for cells in grid:
         for i in range(max((len(lines) for lines in cells.values()), default=0)):
             line = ""
@@ -318,7 +332,7 @@ def table(node: Node, page: Page, shown: bool) -> Iterator[Iterator]:
 def text_of(source: str | None) -> tuple[str, str]:
     """(title, text) of a page; null and empty pages have empty ones."""
     root = parse(source or "")
-    page = Page()
+    page = Page([PADDING + 16 * len(source or "")])
     walk(render(root, page))
     page.end()
     return title(root), "\n".join(page.lines).strip("\n")
@@ -336,8 +350,9 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ti
         for sources in batches:
             yield pd.DataFrame([text_of(s) for s in sources], columns=["title", "text"])
 
-    made = pages.withColumn("_made", laid_out(F.col(html_col).cast("string"))).drop(html_col)
-    return made.withColumns({title_col: F.col("_made.title"), text_col: F.col("_made.text")}).drop("_made")
+    held = unused(pages, "_made")
+    made = pages.withColumn(held, laid_out(F.col(f"`{html_col}`").cast("string"))).drop(html_col)
+    return made.withColumns({title_col: F.col(f"{held}.title"), text_col: F.col(f"{held}.text")}).drop(held)
 
 
 def report(pages: DataFrame) -> DataFrame:
