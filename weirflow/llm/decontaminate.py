@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edits allowed for each character of an item.
 RATE = 0.05
@@ -167,7 +168,9 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
     keep = [id_col] if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"_{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep)))
-    schema = f"{kinds}, item_id bigint, start int, end int, distance int"
+    item_type = items.schema["item_id"].dataType
+    arrow_type = to_arrow_type(item_type)
+    schema = f"{kinds}, item_id {item_type.simpleString()}, start int, end int, distance int"
     found = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, block_chars, unnamed):
         shared = docs.sparkSession.sparkContext.broadcast((block, rate))
@@ -181,7 +184,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
                         rows.append(at)
                         hits.append(hit)
                 taken = [batch[f"_{i}"].take(pa.array(rows, pa.int64())) for i in range(len(keep))]
-                numbers = [pa.array([h[j] for h in hits], pa.int64() if j == 0 else pa.int32()) for j in range(4)]
+                numbers = [pa.array([h[j] for h in hits], arrow_type if j == 0 else pa.int32()) for j in range(4)]
                 yield pa.RecordBatch.from_arrays([*taken, *numbers], names=[*[f"_{i}" for i in range(len(keep))], "item_id", "start", "end", "distance"])
 
         found = found.unionByName(source.mapInArrow(run, schema))
@@ -189,7 +192,11 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
-    """The documents that hold no item, with all their columns; `unnamed` as in leaks(). One pass for each block of items."""
+    """The documents that hold no item, with all their columns, whatever their names; `unnamed` as in leaks().
+
+    Null, empty and blank texts hold nothing and stay; repeated rows share their fate; without items or documents nothing goes.
+    One pass for each block of items.
+    """
     for block in _blocks(items, block_chars, unnamed):
         shared = docs.sparkSession.sparkContext.broadcast((block, rate))
 
