@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 PATTERNS = {
@@ -223,11 +225,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     """
     text = F.col(text_col).cast("string")
     matches = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, F.lit(key), invert))
-    found = docs.withColumn("_made", F.when(F.regexp_like(text, F.lit(ANY)), matches))
-    pieces = F.zip_with(F.split(text, ANY, -1), "_made", lambda gap, x: F.concat(gap, F.coalesce(x["text"], F.lit(""))))
-    found = found.withColumn(text_col, F.when(F.col("_made").isNotNull(), F.array_join(pieces, "")).otherwise(text))
-    kinds = F.transform(F.filter("_made", lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
-    return found.withColumn(found_col, F.when(F.col("_made").isNotNull(), kinds).otherwise(F.expr("array()").cast("array<string>"))).drop("_made")
+    held = unused(docs, "_made")
+    found = docs.withColumn(held, F.when(F.regexp_like(text, F.lit(ANY)), matches))
+    pieces = F.zip_with(F.split(text, ANY, -1), held, lambda gap, x: F.concat(gap, F.coalesce(x["text"], F.lit(""))))
+    found = found.withColumn(text_col, F.when(F.col(held).isNotNull(), F.array_join(pieces, "")).otherwise(text))
+    kinds = F.transform(F.filter(held, lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
+    return found.withColumn(found_col, F.when(F.col(held).isNotNull(), kinds).otherwise(F.expr("array()").cast("array<string>"))).drop(held)
 
 
 def report(docs: DataFrame, key: str = "weirflow") -> DataFrame:
