@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames that `cut` made, once nothing will read them again: what came of them must be cut itself."""
+    for df in frames:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet beside the checkpoints, below a folder of its own, and read again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        cut(df.sparkSession.range(0))  # names the folder, or raises
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text, null as empty: tells rows with one id apart when they are joined back."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -77,7 +98,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.a", "e.b").where("a <> b").distinct())
+        before, edges = edges, cut(small.select("e.a", "e.b").where("a <> b").distinct())
+        drop(before)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == seen:
             break

@@ -6,8 +6,9 @@ Steps, each a Spark job over all documents:
    Documents with one set are copies: the set is one node, from here on.
 2. Forest: in each of `trees` prefix tries, a node's label is its `deepest` minhashes. The tries are sorted arrays: labels in order,
    dealt by ranges, so a trie node with many members lies over many tasks. How far the labels of neighbours agree is the depth of
-   the deepest trie node that holds both: chains of neighbours that agree to depth d are the trie nodes of depth d.
-3. Rounds: prefixes start at full depth. Components of the chains are compared exactly (4), which tells of the least similarity
+   the deepest trie node that holds both: runs of neighbours that agree to depth d are the trie nodes of depth d. A member is tied to
+   the first of its run, at the depth to which it agrees with the one before it.
+3. Rounds: prefixes start at full depth. Components of the ties are compared exactly (4), which tells of the least similarity
    of pairs about the threshold; prefixes are shortened until a pair like that shares one in some tree with the chance `recall`,
    and to `stop_depth`, where that holds for any pair at the threshold, if no pair is found. Components that a round changes
    are compared again, others aren't.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, hot_keys, join_hot, text_key
+from .common import connected_components, cut, drop, hot_keys, join_hot, text_key
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 16, 8, 0.99
@@ -135,8 +136,9 @@ class Forest:
 
 
 def _neighbours(deepest: int, least: int):
-    """(a, b, depth) of neighbours whose labels agree to depth `least` or deeper, from rows in order of tree, label and node; and,
-    with depth null, the first and the last row of the range. Only the last row is remembered from batch to batch."""
+    """(a, b, depth): a label a that agrees with the one before it to depth `least` or deeper, and the first b of its run at that
+    depth, from rows in order of tree, label and node; and, with depth null, the first and the last row of the range. Only
+    the last row and the first ones of its runs are remembered from batch to batch."""
     names = ["a", "b", "depth", "tree", "high", "low"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
@@ -145,11 +147,13 @@ def _neighbours(deepest: int, least: int):
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((node, node, None, tree, high, low), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, leaders = None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             tree, high, low, node = (batch[c].to_numpy(zero_copy_only=False) for c in ("tree", "high", "low", "node"))
+            if last is None:
+                leaders = dict.fromkeys(range(least, deepest + 1), node[0])
             if last is None:
                 yield end((tree[0], high[0], low[0], node[0]))
             else:
@@ -160,8 +164,14 @@ def _neighbours(deepest: int, least: int):
             for k in range(deepest):
                 same = same & ((words[k // 4] >> np.uint64(48 - _BITS * (k % 4))) == 0)
                 depth += same
+            first = node[:-1].copy()
+            for d in range(least, deepest + 1):
+                start = np.maximum.accumulate(np.where(depth < d, np.arange(1, len(node)), 0))  # 0: the run of the batch before
+                leader = np.where(start > 0, node[start], leaders[d])
+                first = np.where(depth == d, leader, first)
+                leaders[d] = leader[-1] if len(leader) else leaders[d]
             own = depth >= least
-            out = [node[1:][own], node[:-1][own], depth[own], tree[1:][own], high[1:][own], low[1:][own]]
+            out = [node[1:][own], first[own], depth[own], tree[1:][own], high[1:][own], low[1:][own]]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
         if last is not None:
             yield end(last)
@@ -295,7 +305,9 @@ def _trie_ties(reps: DataFrame, trees: int, deepest: int, least: int) -> DataFra
     found = cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(deepest, least), schema))
     ends = found.where("depth is null").select("tree", "high", "low", F.col("a").alias("node"))  # two rows of each range
     across = ends.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(deepest, least), schema)
-    return cut(found.where("depth is not null").unionByName(across.where("depth is not null")).select("a", "b", "depth").where("a <> b"))
+    ties = cut(found.where("depth is not null").unionByName(across.where("depth is not null")).select("a", "b", "depth").where("a <> b"))
+    drop(found)
+    return ties
 
 
 def _verified(where: DataFrame, loaded: DataFrame, threshold: float, block_shingles: int, block_members: int) -> DataFrame:
@@ -328,7 +340,10 @@ def _rounds(ties: DataFrame, loaded: DataFrame, threshold: float, trees: int, de
             new = ties.where((F.col("depth") >= depth) & (F.col("depth") < before)).select(F.explode(F.array("a", "b")).alias("node")).distinct()
             changed = cut(where.join(where.join(new, "node").select("component").distinct(), "component", "left_semi").select("node", "component"))
             again = _verified(changed, loaded, threshold, block_shingles, block_members)
-            verified = cut(verified.join(changed.select("node"), "node", "left_anti").unionByName(again))
+            fresh = cut(verified.join(changed.select("node"), "node", "left_anti").unionByName(again))
+            drop(verified, changed)
+            verified = fresh
+        drop(where)
         least = verified.agg(F.min("least")).first()[0]
         like = threshold if least is None else max(threshold, least)
         enough = [d for d in range(depth, floor - 1, -1) if chance(like, d, trees) >= recall]
@@ -375,6 +390,7 @@ def ngram_join(
     loaded = cut(with_text.mapInArrow(_shingles_of(words), "node bigint, n int, shingles binary"))
     verified = cut(_rounds(ties, loaded, threshold, trees, deepest, recall, block_shingles, block_members))
 
+    drop(ties, loaded)
     classes = connected_components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = reps.select("node", "set", "first", "copies").join(classes, "node", "left").join(links, "node", "left")
@@ -408,3 +424,26 @@ def thin(docs: DataFrame) -> DataFrame:
         once = kept.join(twice, same(kept, twice), "left_semi").dropDuplicates(["id", "key"])
         kept = kept.join(twice, same(kept, twice), "left_anti").unionByName(once)
     return kept.select("row.*")
+
+
+ORACLE = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), x -> x <> '') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM words)
+), sets AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS name FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b, x.name AS own, y.name AS other FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a
+), classes AS (
+  SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reach GROUP BY doc_id
+), counts AS (
+  SELECT a AS doc_id, count(DISTINCT other) FILTER (own <> other) AS links FROM links GROUP BY a
+)
+SELECT doc_id, class_id, coalesce(class_size, 1) AS class_size, coalesce(links, 0) AS links FROM documents LEFT JOIN classes USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
