@@ -428,10 +428,10 @@ def thin(docs: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, s FROM (
-    SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM words)
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM words)
 ), sets AS (
   SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS name FROM shingles GROUP BY doc_id
 ), shared AS (
@@ -439,7 +439,7 @@ WITH RECURSIVE words AS (
 ), links AS (
   SELECT a, b, x.name AS own, y.name AS other FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)
 ), reach(doc_id, other) AS (
-  SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a
+  SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
 ), classes AS (
   SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reach GROUP BY doc_id
 ), counts AS (
