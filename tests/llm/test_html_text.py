@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -27,6 +28,20 @@ CASES = [
 ]
 
 
+@pytest.mark.parametrize("piece", ["<a x", "<a x ", '<a x="', "<a x='b ", "</a ", "<a b=c "])
+@pytest.mark.parametrize("end", ["", "y=\">"])
+def test_tags_that_never_end_take_time_in_proportion(piece, end):
+    began = time.monotonic()
+    assert text_of("<p>seen " + piece * 100_000 + end)[1].startswith("seen")
+    assert time.monotonic() - began < 20
+
+
+def test_a_tag_that_the_page_ends_in_is_dropped():
+    assert text_of("a <b>c</b> <i title='d e> f")[1] == "a c f"
+    assert text_of("a <b>c</b> <i title=d")[1] == "a c"
+    assert text_of("a < b <1 c</")[1] == "a < b <1 c</"
+
+
 @pytest.mark.parametrize(("source", "want"), CASES)
 def test_layout(source, want):
     assert text_of(source)[1] == want

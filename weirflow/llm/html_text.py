@@ -42,7 +42,7 @@ _P_SCOPE = frozenset("table td th caption button object html body".split())
 PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 HOLDERS = frozenset("table colgroup thead tbody tfoot tr".split())
 STAYS = PARTS | frozenset("script style template form".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)?)*+)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)?)*+)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))?)?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Lines are indented by this much at most, however deep their list.
@@ -64,6 +64,7 @@ def parse(source: str) -> Node:
     """The tree. Missing end tags, bodies and rows of tables are implied, stray end tags ignored.
 
     Text and elements that stand in a table outside of its cells and caption go before the table, as browsers put them.
+    A tag in which the page ends is dropped, as browsers do; no part of a page is read again for it.
     """
     root = Node("#root", {})
     stack = [root]
@@ -113,7 +114,7 @@ def parse(source: str) -> Node:
     for m in iter(lambda: _TAG.search(source, at), None):
         text(source[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m[2] is None or not m[4]:
             continue
         tag = m[2].lower()
         if m[1]:
