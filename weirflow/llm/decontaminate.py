@@ -208,3 +208,37 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
 
         docs = docs.where(~held(F.col("text").cast("string")))
     return docs
+
+
+#: levenshtein counts bytes: code points beyond ASCII that an item has get unused characters, all others of a text one more.
+ORACLE = f"""
+WITH items AS (
+  SELECT DISTINCT item_id, text FROM benchmark
+), plain_items AS (
+  SELECT row_number() OVER () AS item, item_id, p, length(p) AS n, floor(length(p) * {RATE})::BIGINT AS budget
+  FROM (SELECT item_id, trim(regexp_replace(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS p FROM items) WHERE p <> ''
+), texts AS (
+  SELECT row_number() OVER () AS doc, doc_id, trim(regexp_replace(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS t FROM documents
+), pieces AS (
+  SELECT item, n, budget, n * i // (k + 1) AS off_, substr(p, n * i // (k + 1) + 1, n * (i + 1) // (k + 1) - n * i // (k + 1)) AS piece
+  FROM (SELECT *, unnest(range(k + 1)) AS i FROM (SELECT *, least(budget, n - 1) AS k FROM plain_items))
+), hits AS (
+  SELECT doc, item, n, budget, off_, unnest(list_filter(range(1, length(t) - length(piece) + 2), lambda j: substr(t, j, length(piece)) = piece)) AS hit
+  FROM texts JOIN pieces ON contains(t, piece)
+), starts AS (
+  SELECT DISTINCT doc, item, n, budget, unnest(range(greatest(1, hit - off_ - budget), hit - off_ + budget + 1)) AS first FROM hits
+), places AS (
+  SELECT doc, item, first, unnest(range(n - budget, n + budget + 1)) AS size FROM starts
+), spelled AS (
+  SELECT doc, item, doc_id, item_id, length(t) AS chars, budget, translate(p, array_to_string(far, ''), array_to_string(free[2:len(far) + 1], '')) AS p,
+         regexp_replace(translate(t, array_to_string(far, ''), array_to_string(free[2:len(far) + 1], '')), '[^\\x01-\\x7f]', free[1], 'g') AS t
+  FROM (SELECT *, list_distinct(regexp_extract_all(p, '[^\\x01-\\x7f]')) AS far,
+               list_filter(list_transform(range(1, 128), lambda c: chr(c::INT)), lambda c: NOT contains(p || t, c) AND c NOT IN (chr(92), '$')) AS free
+        FROM (SELECT DISTINCT doc, item FROM hits) JOIN texts USING (doc) JOIN plain_items USING (item))
+), measured AS (
+  SELECT doc, item, doc_id, item_id, budget, first - 1 AS start_, first - 1 + size AS end_, levenshtein(p, substr(t, first, size)) AS distance
+  FROM places JOIN spelled USING (doc, item) WHERE first - 1 + size <= chars
+)
+SELECT doc_id, item_id, best[3]::INT * -1 AS start, best[2]::INT AS "end", best[1]::INT AS distance
+FROM (SELECT doc, item, doc_id, item_id, min((distance, end_, -start_)) AS best FROM measured WHERE distance <= budget GROUP BY ALL)
+"""

@@ -28,4 +28,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_merkle_fixity": fixity.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_ngram_jaccard_join": ngram_join.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {
+        "op2_merkle_fixity": fixity.ORACLE,
+        "op3_line_join": line_join.ORACLE,
+        "op4_exact_dedup": exact_dedup.ORACLE,
+        "op6_ngram_jaccard_join": ngram_join.ORACLE,
+        "op7_mixing": mixing.ORACLE,
+        "op10_decontamination": decontaminate.ORACLE,
+    }
