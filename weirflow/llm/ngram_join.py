@@ -304,7 +304,7 @@ def _trie_ties(reps: DataFrame, trees: int, deepest: int, least: int) -> DataFra
     order = ["tree", "high", "low", "node"]
     found = cut(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(deepest, least), schema))
     ends = found.where("depth is null").select("tree", "high", "low", F.col("a").alias("node"))  # two rows of each range
-    across = ends.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(deepest, least), schema)
+    across = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours(deepest, least), schema)
     ties = cut(found.where("depth is not null").unionByName(across.where("depth is not null")).select("a", "b", "depth").where("a <> b"))
     drop(found)
     return ties
