@@ -28,22 +28,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever file system it is."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of frames that `cut` made, once nothing will read them again: what came of them must be cut itself."""
     for df in frames:
         file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
-            sc = df.sparkSession.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, file.get())
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path beside the checkpoints where nothing is yet."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        cut(spark.range(0))  # names the folder, or raises
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet beside the checkpoints, below a folder of its own, and read again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        cut(df.sparkSession.range(0))  # names the folder, or raises
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
