@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, fixity, html_text, line_join, mixing, ngram_join, pseudonyms, quality, secrets
+from . import byte_bpe, decontaminate, exact_dedup, fixity, html_text, line_join, manifest, mixing, ngram_join, ns_kmeans, pseudonyms, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,9 @@ def queries() -> dict[str, Query]:
         "op8_secrets": lambda spark, d: secrets.report(table(spark, d, "documents")),
         "op9_quality": lambda spark, d: quality.score_report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_decontamination": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), unnamed=True),
+        "op11_byte_bpe": lambda spark, d: byte_bpe.report(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        "op12_ns_kmeans": lambda spark, d: ns_kmeans.report(table(spark, d, "embeddings")),
+        "op13_merkle_manifest": lambda spark, d: manifest.report(table(spark, d, "documents")),
     }
 
 
@@ -35,4 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard_join": ngram_join.ORACLE,
         "op7_mixing": mixing.ORACLE,
         "op10_decontamination": decontaminate.ORACLE,
+        "op12_ns_kmeans": ns_kmeans.ORACLE,
+        "op13_merkle_manifest": manifest.ORACLE,
     }
