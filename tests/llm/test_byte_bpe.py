@@ -100,7 +100,7 @@ def test_tables(spark):
     assert tokens.columns == ["doc_id", "a.b", "ids"]
     got = sorted(((r.doc_id, r["a.b"], r.ids) for r in tokens.collect()), key=repr)
     assert got == sorted(((i, t, theirs.encode_ordinary(t or "")) for i, t, _ in rows), key=repr)
-    back = byte_bpe.decode(tokens, path, P.PATTERN)
+    back = byte_bpe.decode(tokens, path)
     assert all(bytes(r.bytes) == (r["a.b"] or "").encode() for r in back.collect())
     assert byte_bpe.encode(docs.limit(0), path, P.PATTERN).count() == 0
 
@@ -110,12 +110,12 @@ def test_decode_lists(spark):
     theirs = library(ranks_of(FILES[0]))
     lists = [(1, [0, 255, 50255]), (2, []), (3, None), (4, [5, None, 7]), (5, [220])]
     df = spark.createDataFrame(lists, "n int, ids array<int>").coalesce(1)
-    got = {r.n: r.bytes for r in byte_bpe.decode(df, path, P.PATTERN).collect()}
+    got = {r.n: r.bytes for r in byte_bpe.decode(df, path).collect()}
     assert got[3] is None and got[2] == b""
     assert all(got[n] == theirs.decode_bytes([i for i in ids if i is not None]) for n, ids in lists if ids)
     for bad in (-1, 50256, 10**9):
         with pytest.raises(Exception, match="no token has such an id"):
-            byte_bpe.decode(spark.createDataFrame([([bad],)], "ids array<int>"), path, P.PATTERN).collect()
+            byte_bpe.decode(spark.createDataFrame([([bad],)], "ids array<int>"), path).collect()
 
 
 def test_bytes_that_are_no_text(spark):

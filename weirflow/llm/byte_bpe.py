@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import ahocorasick
@@ -29,30 +29,36 @@ from pyspark.sql import functions as F
 
 #: A rank file goes to every executor, so its size is checked.
 MOST_FILE_BYTES = 64 << 20
-#: What a worker remembers: pieces of this length at most, so many of them, and so many pairs of tokens; then it starts afresh.
-LONGEST_REMEMBERED, MOST_PIECES, MOST_PAIRS = 64, 1 << 19, 1 << 20
+#: What a worker remembers: pieces of this length at most, twice so many of them, and so many pairs of tokens.
+LONGEST_REMEMBERED, MOST_PIECES, MOST_PAIRS = 64, 1 << 18, 1 << 19
 #: A walk of the automaton covers this many times the longest token, and is begun anew beyond it.
 WALK = 4
 
 
 class _Pieces(dict):
-    """Ids of pieces, by piece; what isn't there is encoded and, if it isn't long, kept."""
+    """Ids of pieces, packed in four bytes each; what isn't there is encoded and, if it isn't long, kept.
+
+    When there are MOST_PIECES, they become the older ones, which are asked before a piece is encoded, and new ones are gathered.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode(piece)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.encode(piece)).tobytes()
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= MOST_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
 class Vocabulary:
-    """Tokens by rank, ready to encode and decode. `ranks` must hold all 256 bytes."""
+    """Tokens by rank, ready to encode. `ranks` must hold all 256 bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -77,7 +83,6 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.sizes = [len(self.names.get(rank, b"")) for rank in range(self.width)]
         self.shorter = [shorter.get(rank, -1) for rank in range(self.width)]
-        self.table = pa.array([self.names.get(rank) for rank in range(self.width)], pa.large_binary())
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self._piece)
 
@@ -110,10 +115,10 @@ class Vocabulary:
             else:
                 return True
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> list[int]:
         name = piece.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(name)
-        return (whole,) if whole is not None else tuple(self.cover(name))
+        return [whole] if whole is not None else self.cover(name)
 
     def cover(self, name: bytes) -> list[int]:
         """The tokens that merging would leave of these bytes."""
@@ -151,15 +156,27 @@ class Vocabulary:
             at = end
         return ids
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return np.frombuffer(self.packed(text), "int32").tolist()
+
+
+class Names:
+    """The bytes of tokens by rank, ready to decode."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        names = {rank: name for name, rank in ranks.items()}
+        self.table = pa.array([names.get(rank) for rank in range(max(names) + 1)], pa.large_binary())
 
     def decode(self, lists: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids: tokens' bytes are taken from the table, and lie one after the other as they should."""
         ids, bounds = lists.values, lists.offsets.to_numpy()
         ids = ids.slice(bounds[0], bounds[-1] - bounds[0])
         number = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        if len(number) and (number.min() < 0 or number.max() >= self.width):
+        if len(number) and (number.min() < 0 or number.max() >= len(self.table)):
             raise ValueError("no token has such an id")
         found = self.table.take(ids)
         if found.null_count > ids.null_count:
@@ -177,15 +194,15 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(name): int(rank) for name, rank in (line.split() for line in content.splitlines() if line.strip())}
 
 
-_BUILT: dict[tuple[str, str], Vocabulary] = {}
+_BUILT: dict[tuple, Vocabulary | Names] = {}
 
 
-def _vocabulary(content: bytes, pattern: str) -> Vocabulary:
+def _built(kind: type, content: bytes, *more: str) -> Vocabulary | Names:
     """Built once in each worker, which then serves many tasks."""
-    key = (hashlib.sha256(content).hexdigest(), pattern)
+    key = (kind, hashlib.sha256(content).hexdigest(), *more)
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Vocabulary(read_ranks(content), pattern)
+        _BUILT[key] = kind(read_ranks(content), *more)
     return _BUILT[key]
 
 
@@ -204,17 +221,17 @@ def token_ids(text: Column, ranks_path: str, pattern: str) -> Column:
     content = _content(ranks_path)
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(content, pattern)
+        vocabulary = _built(Vocabulary, content, pattern)
         for batch in texts:
-            lists = [np.fromiter(vocabulary.encode(x.as_py().decode("utf-8", "replace")) if x.is_valid else (), "int32") for x in batch]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype("int32")
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.zeros(0, "int32")])))
+            lists = [vocabulary.packed(x.as_py().decode("utf-8", "replace")) if x.is_valid else b"" for x in batch]
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])]).astype("int32")
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(lists), "int32")))
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<int>")(text.cast("string").cast("binary"))
 
 
-def token_bytes(ids: Column, ranks_path: str, pattern: str) -> Column:
+def token_bytes(ids: Column, ranks_path: str) -> Column:
     """The bytes that token ids stand for, binary; null for a null list. Null ids in a list stand for nothing.
 
     An id that no token has raises, as a corpus that was encoded by other ranks would else decode to another text.
@@ -222,9 +239,9 @@ def token_bytes(ids: Column, ranks_path: str, pattern: str) -> Column:
     content = _content(ranks_path)
 
     def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(content, pattern)
+        names = _built(Names, content)
         for batch in lists:
-            yield vocabulary.decode(batch)
+            yield names.decode(batch)
 
     run.__annotations__ = {"lists": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "binary")(ids)
@@ -238,12 +255,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return docs.withColumn(to, token_ids(F.col(f"`{text_col}`"), ranks_path, pattern))
 
 
-def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", to: str = "bytes") -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "bytes") -> DataFrame:
     """tokens with the bytes of a column of ids in a further column; a column of that name is replaced, others stay.
 
     A null list gives null, an empty one no bytes; bytes are not checked to be UTF-8, as a list may begin or end within a character.
     """
-    return tokens.withColumn(to, token_bytes(F.col(f"`{ids_col}`"), ranks_path, pattern))
+    return tokens.withColumn(to, token_bytes(F.col(f"`{ids_col}`"), ranks_path))
 
 
 def report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -252,7 +269,7 @@ def report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     A null text counts as empty: no tokens, and twice the digest of nothing. Null ids stay null. An empty table gives no rows.
     """
     tokens = encode(docs.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "ids")
-    both = decode(tokens, ranks_path, pattern)
+    both = decode(tokens, ranks_path)
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.col("bytes"), 256).alias("decoded_sha256"),
