@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -105,6 +106,14 @@ def test_tables(spark):
     assert byte_bpe.encode(docs.limit(0), path, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 3, 7, 1000])
+def test_decode_in_parts(at_once):
+    names, lists = byte_bpe.Names(ranks_of(FILES[0])), [[1, 2], [], None, [300], list(range(256, 280)), [None, 9], []]
+    whole = names.decode(pa.array(lists, pa.list_(pa.int32()))).to_pylist()
+    assert names.decode(pa.array(lists, pa.list_(pa.int32())), at_once).to_pylist() == whole
+    assert names.decode(pa.array(lists, pa.list_(pa.int32())).slice(3), at_once).to_pylist() == whole[3:]
+
+
 def test_decode_lists(spark):
     path = P.path(FILES[0])
     theirs = library(ranks_of(FILES[0]))

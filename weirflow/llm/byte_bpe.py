@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 #: A rank file goes to every executor, so its size is checked.
 MOST_FILE_BYTES = 64 << 20
 #: What a worker remembers: pieces of this length at most, twice so many of them, and so many pairs of tokens.
-LONGEST_REMEMBERED, MOST_PIECES, MOST_PAIRS = 64, 1 << 18, 1 << 19
+LONGEST_REMEMBERED, MOST_PIECES, MOST_PAIRS = 64, 1 << 17, 1 << 18
+#: Ids that are turned into bytes in one go.
+DECODED_AT_ONCE = 1 << 18
 #: A walk of the automaton covers this many times the longest token, and is begun anew beyond it.
 WALK = 4
 
@@ -171,8 +173,17 @@ class Names:
         names = {rank: name for name, rank in ranks.items()}
         self.table = pa.array([names.get(rank) for rank in range(max(names) + 1)], pa.large_binary())
 
-    def decode(self, lists: pa.ListArray) -> pa.Array:
-        """The bytes of each list of ids: tokens' bytes are taken from the table, and lie one after the other as they should."""
+    def decode(self, lists: pa.ListArray, at_once: int = DECODED_AT_ONCE) -> pa.Array:
+        """The bytes of each list of ids, some lists with about so many ids at once."""
+        ends, at, parts = lists.offsets.to_numpy(), 0, [pa.array([], pa.binary())]
+        while at < len(lists):
+            rows = max(1, int(np.searchsorted(ends, ends[at] + at_once)) - at)
+            parts.append(self._decode(lists.slice(at, rows)))
+            at += rows
+        return pa.concat_arrays(parts)
+
+    def _decode(self, lists: pa.ListArray) -> pa.Array:
+        """Tokens' bytes are taken from the table, and lie one after the other as they should."""
         ids, bounds = lists.values, lists.offsets.to_numpy()
         ids = ids.slice(bounds[0], bounds[-1] - bounds[0])
         number = ids.fill_null(0).to_numpy(zero_copy_only=False)
