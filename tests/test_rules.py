@@ -30,16 +30,19 @@ def test_waiting_flowsets_keep_their_numbers():
     assert len(set(places)) == 3 and [p[0] for p in places] == [9, 9, 10]
 
 
-def test_least_used_template_goes_first(monkeypatch):
+def test_longest_known_template_goes_first(monkeypatch):
+    """By when templates last came, however much they are used; the signature of one that went stays."""
     monkeypatch.setattr(netflow9, "MOST_TEMPLATES", 2)
-    state, fields = netflow9.Exporter(), [(8, 4)]
-    state.learn(256, False, fields, 0.0)
-    state.learn(257, False, fields, 1.0)
-    list(state.records(256, b"abcd", 2.0))
-    state.learn(258, False, fields, 3.0)
-    assert set(state.known) == {256, 258}
-    state.learn(256, False, [(12, 4)], 4.0)
-    assert state.generation == {256: 2, 258: 1}
+    state = netflow9.Exporter()
+    learn = lambda tid, fields, now: list(state.learn(netflow9.Template(0, tid, tuple(fields)), now))
+    learn(256, [(8, 4)], 0.0)
+    learn(257, [(8, 4)], 1.0)
+    learn(256, [(8, 4)], 2.0)
+    learn(258, [(8, 4)], 3.0)
+    assert set(state.known) == {(0, 256), (0, 258)} and set(state.expired) == {(0, 257)}
+    learn(256, [(12, 4)], 4.0)
+    learn(257, [(8, 4)], 5.0)
+    assert {k[1]: g for k, (_, _, g) in state.known.items()} == {256: 2, 257: 2}
 
 
 def test_batch_waits_as_a_stream_does(spark):
@@ -47,14 +50,14 @@ def test_batch_waits_as_a_stream_does(spark):
     rows = [row(v9(DATA, DATA, seq=1), 0, 1), row(v9(TEMPLATE, seq=2), 20, 2), row(v9(DATA, seq=3), 21, 3), row(b"\0\1", 22, 4), row(v9((300, b"abcd"), seq=5), 23, 5), row(v9(seq=6), 60, 6), row(v9((301, b"abcd"), seq=7), 60, 7)]
     got = netflow9.parse(spark.createDataFrame(rows, KEYS)).collect()
     assert sorted((r.packet_sequence, r.record_index) for r in got if not r.error) == [(1, 0), (1, len(DATA[1])), (3, 0)]
-    assert sorted((r.packet_sequence or 0, r.error) for r in got if r.error) == [(0, "short_header"), (5, "template_timeout")]
+    assert sorted((r.packet_sequence or 0, r.error) for r in got if r.error) == [(0, "malformed_packet"), (5, "pending_expired")]
 
 
 def test_timeouts_come_out():
     state = netflow9.Exporter()
     list(state.fold(v9(DATA, seq=4), 100.0))
-    got = netflow9.timed_out(state, ("c", "h", "i", 7), state.deadline() + netflow9.PENDING_S + 1)
-    assert list(got["error"]) == ["template_timeout"] and list(got["packet_sequence"]) == [4] and not state.waiting
+    got = netflow9.timed_out(state, ("c", "h", "i", 7), state.deadline())
+    assert list(got["error"]) == ["pending_expired"] and list(got["packet_sequence"]) == [4] and not state.waiting
 
 
 def test_times_and_fields_are_strict(spark):

@@ -105,10 +105,10 @@ def test_netflow9_state():
     assert list(state.fold(v9(DATA, seq=1), 0.0)) == [] and len(state.waiting) == 1
     got = list(state.fold(v9(TEMPLATE, DATA, seq=2), 1.0))
     assert [(g[0][0], g[2], g[3][8], g[3][1], g[4]) for g in got] == [(1, 256, "192.168.1.10", "420", None), (2, 256, "192.168.1.10", "420", None)]
-    assert [g[4] for g in state.fold(v9(DATA), 4000.0)] == [] and [g[4] for g in state.fold(v9(), 4040.0)] == ["template_timeout"]
-    options = (1, struct.pack(">HHHHHHH", 300, 4, 4, 1, 4, 34, 4))
+    assert [g[4] for g in state.fold(v9(DATA), 4000.0)] == [] and [g[4] for g in state.fold(v9(), 4040.0)] == ["pending_expired"]
+    options = (1, struct.pack(">HHHHHHH", 300, 4, 4, 2, 4, 34, 4))
     list(state.fold(v9(options, (300, struct.pack(">II", 1, 100))), 4041.0))
-    assert state.sampling == {"interval": "100"}
+    assert state.sampling == {"interface": 1, "interval": 100}
     assert [g[4] for g in state.fold(b"\0\1" + v9()[2:], 1.0)] == ["unsupported_version"]
 
 

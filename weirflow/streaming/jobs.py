@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import normalize, store
-from ..sources import netflow9
+from . import netflow9
 
 
 def ingest(stream: DataFrame, normalizer, flows_path: str, letters_path: str, checkpoint: str, tiers_path: str | None = None, **trigger) -> StreamingQuery:
@@ -39,31 +34,11 @@ def ingest(stream: DataFrame, normalizer, flows_path: str, letters_path: str, ch
 
 
 def decode_netflow9(packets: DataFrame, idle: str = "24 hours") -> DataFrame:
-    """A stream of packets (netflow9.KEYS, packet, received_at) decoded; templates, waiting flowsets and sampling are state.
+    """A stream of packets (netflow9.KEYS, packet, received_at) decoded; templates, waiting flowsets and sampling are state (streaming.netflow9).
 
-    The timer is at the end of the longest wait, when what waited comes out as an error, and else at `idle`, when a silent
-    exporter is forgotten. Caps on templates and waiting bytes hold per exporter.
+    What has waited long enough comes out as an error by a timer; an exporter that is silent for `idle` is forgotten.
     """
-    silent = int(pd.Timedelta(idle).total_seconds() * 1000)
-    wait = int(netflow9.PENDING_S * 1000) + 1000
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            exporter = pickle.loads(state.get[0])  # noqa: S301  our own state
-            if exporter.waiting:  # by the clock of the packets, they have waited since the last one came
-                yield netflow9.timed_out(exporter, key, exporter.deadline() + netflow9.PENDING_S + 1)
-                state.update((pickle.dumps(exporter),))
-                state.setTimeoutDuration(wait if exporter.waiting else silent)
-            else:
-                state.remove()
-            return
-        exporter = pickle.loads(state.get[0]) if state.exists else netflow9.Exporter()  # noqa: S301  our own state
-        for pdf in batches:
-            yield netflow9.rows(exporter, key, pdf.sort_values("received_at"))
-        state.update((pickle.dumps(exporter),))
-        state.setTimeoutDuration(wait if exporter.waiting else silent)
-
-    return packets.groupBy(*netflow9.KEYS).applyInPandasWithState(run, netflow9.SCHEMA, "exporter binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return netflow9.decode(packets, idle)
 
 
 class Lag(StreamingQueryListener):
