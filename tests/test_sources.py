@@ -65,6 +65,30 @@ def test_zeek(spark):
     assert zeek_flow(spark, LINE.replace("1781604920.123", "0")).error == "missing_field"
 
 
+def test_zeek_types_are_strict(spark):
+    """Text isn't a number, and a number isn't text."""
+    numbers = [('"ts":1781604920.123', '"ts":"1781604920.123"'), ('"id.orig_p":51524', '"id.orig_p":"51524"'), ("51524", "51524.0"), ("51524", "4294967296"), ("51524", "-1"), ("0.045", '"-"'), ("0.045", "null"), ('"orig_pkts":1', '"orig_pkts":true')]
+    missing = [('"proto":"udp"', '"proto":6'), ('"id.orig_h":"192.168.1.10"', '"id.orig_h":5'), ('"ts":1781604920.123,', "")]
+    fine = [("true", '"true"'), ('"SF"', "5"), ("60,", "null,"), ("60,", '"-",'), ("0.045", "1e-3")]
+    lines = [(i, LINE.replace(*x)) for i, x in enumerate(numbers + missing + fine)]
+    got = {r.i: r.zeek for r in zeek.parse(spark.createDataFrame(lines, "i int, value string").coalesce(1)).collect()}
+    assert [got[i].error for i in sorted(got)] == ["invalid_number"] * len(numbers) + ["missing_field"] * len(missing) + [None] * len(fine)
+    first, second, third, fourth, fifth = (got[len(numbers) + len(missing) + i] for i in range(len(fine)))
+    assert first.local_orig is None and second.conn_state is None and third.orig_bytes is None and fourth.orig_bytes is None and fifth.duration == 0.001
+
+
+def test_zeek_nested_secrets(spark):
+    line = LINE[:-1] + ',"x":{"password":"hunter2","deep":[{"db-Secret":"hunter2","n":1}]},"n":5,"list":[1,"a"]}'
+    attributes = zeek_flow(spark, line).attributes
+    assert "hunter2" not in attributes
+    import json
+
+    got = json.loads(attributes)
+    assert got["x"] == {"password": "***MASKED***", "deep": [{"db-Secret": "***MASKED***", "n": 1}]} and got["n"] == 5 and got["list"] == [1, "a"]
+    extra = one(zeek.parse(spark.createDataFrame([(line,)], "value string"))).zeek.extra
+    assert "hunter2" not in extra
+
+
 def v5(n=2, version=5):
     head = struct.pack(">HHIIIIBBH", version, n, 10000, 1718532920, 125_000_000, 42, 1, 2, 1)
     record = lambda i: bytes([192, 0, 2, 10 + i, 198, 51, 100, 20 + i, 203, 0, 113, 1]) + struct.pack(">HHIIIIHHBBBBHHBBH", 10, 20, 3, 420, 1000, 2000, 51524 + i, 443, 0, 0x12, 6, 0, 64512, 64513, 24, 24, 0)

@@ -106,6 +106,10 @@ def sensitive(key: Column) -> Column:
     return plain.rlike(f"^({words})$|_({words})|({words})_")
 
 
+#: Finds a keyword anywhere: a text without it has no sensitive key.
+SENSITIVE_WORD = "(?i)" + "|".join(w.replace("_", "[-_. ]") for w in SENSITIVE)
+
+
 def _is_sensitive(key: str) -> bool:
     plain = key.lower().translate(str.maketrans("-. ", "___"))
     return any(plain == w or f"_{w}" in plain or f"{w}_" in plain for w in SENSITIVE)

@@ -105,11 +105,11 @@ def zeek(records: DataFrame, networks: tuple[str, ...] = LOCAL_NETWORKS) -> Data
     own = _attributes(local_orig=c("local_orig"), local_resp=c("local_resp"), history=c("history"), **{k: F.when(bad, "true") for k, bad in lost.items()})
     return _finish(records.withColumns({
         "error": c("error"), "event_start_time": start, "event_end_time": F.timestamp_micros(F.unix_micros(start) + duration * 1000), "duration_ms": duration,
-        "src_raw": c("id_orig_h"), "dst_raw": c("id_resp_h"), "src_port": c("id_orig_p").cast("int"), "dst_port": c("id_resp_p").cast("int"),
+        "src_raw": c("id_orig_h"), "dst_raw": c("id_resp_h"), "src_port": c("id_orig_p").try_cast("int"), "dst_port": c("id_resp_p").try_cast("int"),
         "transport_protocol": name, "protocol_number": fn.protocol_number(name), "bytes": total("bytes"), "packets": total("pkts"), "tcp_flags": _null("int"),
         "flow_state": c("conn_state"), "input_interface": _null("bigint"), "output_interface": _null("bigint"), "next_hop_ip": _null("string"),
         "application_protocol": c("service"), "sampling_rate": _null("bigint"),
-        "attributes": F.to_json(F.map_concat(F.map_filter(F.coalesce(F.from_json(c("extra"), "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("local_orig", "local_resp", "history", *lost)), own)),
+        "attributes": F.to_json(F.map_concat(F.map_filter(F.coalesce(F.from_json(c("extra"), "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, _: ~k.isin("local_orig", "local_resp", "history", *lost)), F.transform_values(own, lambda _, v: v.cast("variant")))),
         "native": F.coalesce(F.nullif(c("uid"), F.lit("")), F.concat(F.lit("zeek:"), F.col("source_host"), F.lit(":"), fn.rfc3339(start))),
         "reasons": F.array_compact(F.array(*[F.when(bad, k) for k, bad in lost.items()])),
     }), networks)

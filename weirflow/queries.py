@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import envelope
@@ -16,6 +16,7 @@ from .functions import flow as fn
 from .functions.net import direction
 from .operators import flows as fl
 from .operators import dashboard, logs, metrics, normalize
+from .operators.lineage import cut
 from .sources import netflow5, netflow9, proxy, rest, zeek
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,25 +224,62 @@ _ENVELOPES_SQL = _WITH + """SELECT ['event_id', 'schema_version', 'collector_id'
   'payload_mismatch', 'decoded_fields', 'ok', 'decoded_fields'][1 + id % 14] AS outcome, count(*) AS events FROM flows GROUP BY ALL"""
 
 
+#: Fields of the two layouts that templates of `_v9_packets` have in turn: half days before and from noon on.
+_V9_LAYOUTS = (((8, 4), (12, 4), (7, 2), (4, 1), (2, 4), (1, 8)), ((12, 4), (1, 8), (8, 4), (2, 4), (4, 1), (7, 2)))
+
+
+def _v9_packets(spark: SparkSession, d: str) -> DataFrame:
+    """All events as NetFlow v9: of each exporter, one event a packet, and templates in packets of their own.
+
+    Each day an exporter restarts: uptime and sequence fall below all of the day before. Templates come again with each hour, the first of
+    a morning only 20 seconds after its first data. At noon the template is redefined with its fields in another order. An options template has
+    the same id, and another one (300) comes with its record: the interval is the number of the half day, interface 1 or 2 is if1 or if2.
+    """
+    c, size = F.col, 7
+    hexed = lambda x, n: F.lpad(F.hex(x.cast("bigint")), 2 * n, "0")
+    short = lambda *numbers: "".join(f"{n:04x}" for n in numbers)
+    f = flows(spark, d).withColumns({"source_ip": (c("src_port") % 20).cast("string"), "at": c("event_start_time").cast("timestamp")})
+    seconds, day = F.unix_seconds(c("at")), F.floor(F.unix_seconds(c("at")) / 86400)
+    half = F.floor(seconds / 43200)
+    falling = seconds - 2 * 86400 * day + F.lit(40_000 * 86400)
+    head = lambda count: F.concat(F.lit(short(9, count)), hexed(falling, 4), hexed(seconds, 4), hexed(falling, 4), hexed(F.lit(size), 4))
+    values = {8: "src_ip_key", 12: "dst_ip_key", 7: "src_port", 4: "protocol_number", 2: "packets", 1: "id"}
+    body = lambda layout: F.concat(*[hexed(c(values[k]), n) for k, n in layout])
+    wide = sum(n for _, n in _V9_LAYOUTS[0])
+    data = F.concat(head(1), F.lit(short(256, wide + 4)), F.when(half % 2 == 0, body(_V9_LAYOUTS[0])).otherwise(body(_V9_LAYOUTS[1])))
+
+    fields = lambda layout: F.lit(short(0, 8 + 4 * len(layout), 256, len(layout)) + "".join(short(*x) for x in layout))
+    others = F.lit(short(1, 4 + 14 + 18, 256, 4, 4, 2, 2, 34, 2, 300, 4, 8, 2, 4, 34, 4, 82, 4))
+    record = F.concat(F.lit(short(300, 16)), hexed(half % 2 + 1, 4), hexed(half, 4), F.lit("6966"), hexed(half % 2 + 49, 1), F.lit("00"))
+    template = F.concat(head(4), F.when(half % 2 == 0, fields(_V9_LAYOUTS[0])).otherwise(fields(_V9_LAYOUTS[1])), others, record)
+    hour = F.date_trunc("hour", "at")
+    hours = f.groupBy("source_ip", hour.alias("hour")).agg(F.min("at").alias("first"))
+    known = hours.withColumn("opens", F.min("hour").over(Window.partitionBy("source_ip", F.to_date("hour"))) == c("hour"))
+    late = c("opens") & (F.hour("hour") < 12)
+    known = known.select("source_ip", F.when(late, F.least(F.timestamp_add("SECOND", F.lit(20), c("first")), F.expr("hour + interval 1 hour - interval 1 microsecond"))).otherwise(c("hour")).alias("at"))
+    both = f.select("source_ip", F.unhex(data).alias("packet"), "at", c("id").alias("arrival")).unionByName(known.select("source_ip", F.unhex(template).alias("packet"), "at", F.lit(-1).cast("bigint").alias("arrival")))
+    return cut(both.select(F.lit("main").alias("collector_id"), F.lit("h").alias("source_host"), "source_ip", F.lit(size).cast("bigint").alias("source_id"), "packet", c("at").alias("received_at"), "arrival"))
+
+
 def _netflow9(spark: SparkSession, d: str) -> DataFrame:
-    """Events as NetFlow v9: of each exporter, data of one event a packet, and templates in packets of their own, some of them late."""
-    hexed = lambda c, n: F.lpad(F.hex(c.cast("bigint")), 2 * n, "0")
-    c = F.col
-    head = lambda sequence: F.concat(F.lit("0009000100002710659200 80".replace(" ", "")), hexed(sequence, 4), F.lit("00000007"))
-    body = F.concat(hexed(c("src_ip_key"), 4), hexed(c("dst_ip_key"), 4), hexed(c("src_port"), 2), hexed(c("protocol_number"), 1), hexed(c("packets"), 4))
-    data = F.unhex(F.concat(head(c("id")), F.lit("01000013"), body))
-    template = F.unhex(F.concat(head(c("id")), F.lit("0000001C01000005"), F.lit("000800040 00C0004000700020004000100020004".replace(" ", ""))))
-    f = flows(spark, d).where("id % 3 > 0").withColumn("source_ip", (c("src_port") % 20).cast("string")).withColumn("at", c("event_start_time").cast("timestamp"))
-    first = f.groupBy("source_ip").agg(F.min_by("id", F.struct("at", "id")).alias("id"), F.min("at").alias("at"))  # 20 seconds after the first data
-    packets = f.select("source_ip", data.alias("packet"), c("at").alias("received_at"), c("id").alias("arrival")).unionByName(
-        first.select("source_ip", template.alias("packet"), F.timestamp_add("SECOND", F.lit(20), c("at")).alias("received_at"), F.lit(-1).alias("arrival")))
-    packets = packets.select(F.lit("main").alias("collector_id"), F.lit("h").alias("source_host"), "source_ip", F.lit(7).cast("bigint").alias("source_id"), "packet", "received_at", "arrival")
-    got = netflow9.parse(packets)
-    v = lambda k: F.col("fields")[k]
-    return got.select("source_ip", c("packet_sequence").alias("id"), "record_index", v(8).alias("src_ip"), v(7).cast("int").alias("src_port"), v(4).cast("int").alias("protocol_number"), v(2).cast("bigint").alias("packets"), "error")
-
-
-_NETFLOW9_SQL = _WITH + f"SELECT (src_port % 20)::VARCHAR AS source_ip, id, 0 AS record_index, {_SQL_IP.format('src_ip_key')} AS src_ip, src_port::INT AS src_port, protocol_number, packets, NULL AS error FROM flows WHERE id % 3 > 0"
+    c, v = F.col, lambda k: F.col("fields")[k]
+    got = netflow9.parse(_v9_packets(spark, d))
+    return got.select("source_ip", v(1).cast("bigint").alias("id"), c("packet_sequence").alias("sequence"), "record_index", v(8).alias("src_ip"), v(12).alias("dst_ip"), v(7).cast("int").alias("src_port"), v(4).cast("int").alias("protocol_number"), v(2).cast("bigint").alias("packets"), "error")
+
+
+_NETFLOW9_SQL = _WITH + f"""SELECT (src_port % 20)::VARCHAR AS source_ip, id, s - 2 * 86400 * (s // 86400) + 40000::BIGINT * 86400 AS sequence, 0 AS record_index, {_SQL_IP.format('src_ip_key')} AS src_ip, {_SQL_IP.format('dst_ip_key')} AS dst_ip,
+  src_port::INT AS src_port, protocol_number, packets, NULL AS error FROM (SELECT *, floor(epoch(event_start_time))::BIGINT AS s FROM flows)"""
+
+
+def _v9_sampling(spark: SparkSession, d: str) -> DataFrame:
+    got = netflow9.sampling(_v9_packets(spark, d))
+    return got.select("source_ip", "interval", "algorithm", "sampler", F.array_join(F.array_sort(F.map_values("interfaces")), ",").alias("interfaces"))
+
+
+_V9_SAMPLING_SQL = _WITH + """, h AS (SELECT DISTINCT (src_port % 20)::VARCHAR AS source_ip, floor(epoch(event_start_time))::BIGINT // 43200 AS half FROM flows)
+SELECT source_ip, max(half) AS interval, NULL AS algorithm, NULL AS sampler, string_agg('if' || (half % 2 + 1), ',' ORDER BY half) AS interfaces
+FROM h WHERE half // 2 = (SELECT max(x.half) // 2 FROM h x WHERE x.source_ip = h.source_ip) GROUP BY source_ip"""
+
 
 _CHART = {0: "flow_records_normalized_total", 1: "flow_records_stored_total", 2: "flow_records_failed_total", 3: "rate_limit_rejections_total", 4: "kafka_consumer_lag", 5: "storage_insert_duration", 6: "unknown_metric"}
 _POINTS_SQL = "SELECT ts AS bucket, event_id AS id, CASE event_id % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _CHART.items()) + """ END AS metric_name, user_id % 5 AS user,
@@ -297,17 +335,27 @@ def _first_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _zeek_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Connection lines made of events: dotted and aliased names, dashes, and numbers that aren't any."""
-    f = flows(spark, d)
-    return f.select("id", F.to_json(F.map_from_arrays(
-        F.array(*[F.lit(x) for x in ("ts", "uid", "id.orig_h", "id_resp_h", "proto", "id.orig_p", "id.resp_p", "orig_bytes", "resp_bytes", "api_token")]),
-        F.array(F.concat(F.lit("17000"), F.lpad((F.col("id") % 100000).cast("string"), 5, "0"), F.lit(".25")), F.concat(F.lit("C"), F.col("id")), F.lit("10.0.0.1"), F.lit("8.8.8.8"), F.col("transport_protocol"),
-                F.col("src_port").cast("string"), F.coalesce(F.col("dst_port").cast("string"), F.lit("-")), F.when(F.col("id") % 17 == 0, "bad").otherwise(F.coalesce(F.col("bytes").cast("string"), F.lit("-"))), F.col("packets").cast("string"), F.lit("x")))).alias("value"))
+    """Connection lines made of events: dotted and aliased names, dashes, secrets in nested objects, and numbers that aren't any or come as text."""
+    f, c = flows(spark, d), F.col
+    text = lambda x: F.coalesce(x.cast("string"), F.lit('"-"'))
+    quoted = lambda x: F.concat(F.lit('"'), x.cast("string"), F.lit('"'))
+    pairs = {
+        "ts": F.concat(F.lit("17000"), F.lpad((c("id") % 100000).cast("string"), 5, "0"), F.lit(".25")), "uid": quoted(F.concat(F.lit("C"), c("id"))), "id.orig_h": F.lit('"10.0.0.1"'), "id_resp_h": F.lit('"8.8.8.8"'),
+        "proto": quoted(c("transport_protocol")), "id.orig_p": F.when(c("id") % 19 == 0, quoted(c("src_port"))).otherwise(c("src_port").cast("string")), "id.resp_p": text(c("dst_port")),
+        "orig_bytes": F.when(c("id") % 17 == 0, F.lit('"bad"')).otherwise(text(c("bytes"))), "resp_bytes": c("packets").cast("string"), "service": F.lit("5"), "local_orig": F.when(c("id") % 2 == 0, F.lit("true")).otherwise(F.lit('"true"')),
+        "api_token": F.lit('"x"'), "site": F.concat(F.lit('{"password":"y","n":'), c("id"), F.lit("}")), "rtt": F.lit("1.5"),
+    }
+    body = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in pairs.items()])
+    return f.select("id", F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
 
 
 def _zeek(spark: SparkSession, d: str) -> DataFrame:
     got = zeek.parse(_zeek_lines(spark, d))
-    return got.select("id", F.col("zeek.id_orig_p").alias("src_port"), F.col("zeek.id_resp_p").alias("dst_port"), (F.col("zeek.orig_bytes") + F.col("zeek.resp_bytes")).cast("bigint").alias("bytes"), F.col("zeek.extra").alias("extra"), F.col("zeek.error").alias("error"))
+    return got.select("id", F.col("zeek.id_orig_p").alias("src_port"), F.col("zeek.id_resp_p").alias("dst_port"), (F.col("zeek.orig_bytes") + F.col("zeek.resp_bytes")).cast("bigint").alias("bytes"), F.col("zeek.local_orig").alias("local_orig"), F.col("zeek.service").alias("service"), F.col("zeek.extra").alias("extra"), F.col("zeek.error").alias("error"))
+
+
+_ZEEK_SQL = _WITH + """SELECT id, CASE WHEN id % 19 <> 0 THEN src_port END AS src_port, dst_port, CASE WHEN id % 17 <> 0 THEN bytes + packets END AS bytes, CASE WHEN id % 2 = 0 THEN true END AS local_orig, NULL AS service,
+  '{"api_token":"***MASKED***","rtt":1.5,"site":{"n":' || id || ',"password":"***MASKED***"}}' AS extra, CASE WHEN id % 17 = 0 OR id % 19 = 0 THEN 'invalid_number' END AS error FROM flows"""
 
 
 def _rest(spark: SparkSession, d: str) -> DataFrame:
@@ -421,7 +469,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "idempotency_key": (_idempotency, _IDEMPOTENCY_SQL),
     "rfc3339": (lambda s, d: flows(s, d).select("id", fn.rfc3339(F.col("event_start_time")).alias("text")), _WITH + "SELECT id, rtrim(rtrim(strftime(event_start_time, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.') || 'Z' AS text FROM flows"),
     "dedup_first_wins": (_first_wins, _WITH + "SELECT id, src_ip_key, dst_port FROM flows QUALIFY row_number() OVER (PARTITION BY src_ip_key, dst_port ORDER BY event_start_time, id) = 1"),
-    "zeek_parse": (_zeek, _WITH + "SELECT id, src_port, dst_port, CASE WHEN id % 17 <> 0 THEN bytes + packets END AS bytes, '{\"api_token\":\"***MASKED***\"}' AS extra, CASE WHEN id % 17 = 0 THEN 'invalid_number' END AS error FROM flows"),
+    "zeek_parse": (_zeek, _ZEEK_SQL),
     "rest_normalize": (_rest, _REST_SQL),
     "netflow5_decode": (_netflow5, _WITH + "SELECT id, (src_ip_key // 16777216) || '.' || (src_ip_key // 65536 % 256) || '.' || (src_ip_key // 256 % 256) || '.' || (src_ip_key % 256) AS src_ip, src_port, coalesce(dst_port, 0) AS dst_port, coalesce(bytes, 0) AS bytes, packets, protocol_number::BIGINT AS protocol_number FROM flows"),
     "sequence_gaps": (_gaps, _WITH + ", p AS (SELECT src_port % 10 AS source_ip, id * 37 % 5000 AS q, lag(id * 37 % 5000 + 1 + id % 30) OVER (PARTITION BY src_port % 10 ORDER BY event_start_time, id) AS e FROM flows) SELECT source_ip, sum(coalesce(((q - e) % 4294967296 + 4294967296) % 4294967296, 0))::BIGINT AS lost, count(*) AS packets FROM p GROUP BY source_ip"),
@@ -455,6 +503,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "proxy_batch": (_proxy, _PROXY_SQL),
     "envelope_validate": (_envelopes, _ENVELOPES_SQL),
     "v9_decode": (_netflow9, _NETFLOW9_SQL),
+    "v9_sampling": (_v9_sampling, _V9_SAMPLING_SQL),
     "metric_query": (_metric_query, _METRIC_QUERY_SQL),
     "history_range": (lambda s, d: metrics.history_of(samples(s, d), "24h", _t(6)), _WITH + "SELECT time_bucket(INTERVAL '20 minutes', ts) AS bucket, metric_name, labels, max(value) - min(value) AS delta, sum(value)::DOUBLE / count(value) AS value FROM samples WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY ALL"),
     "metric_latency": (lambda s, d: metrics.latency(_chart(s, d).groupBy("bucket", "metric_name", F.col("user").alias("labels")).agg(F.sum("delta").alias("delta")).withColumn("bucket", F.date_trunc("day", "bucket").cast("timestamp_ntz")), "flow_records_stored_total", "flow_records_failed_total"),

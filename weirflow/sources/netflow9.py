@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import running
+from ..operators.lineage import cut, drop
 
 # How fields are read, by id; other ids up to 104, and 234 and 235, are numbers.
 IPV4 = {8, 12, 15, 18, 44, 45, 47}
@@ -519,10 +520,11 @@ def _template(t) -> Template:
 def decoded(packets: DataFrame) -> DataFrame:
     """`parse` with options records too, which have `scopes`."""
     own = packets.select(*KEYS, "packet", "received_at", F.col("arrival").cast("bigint").alias("arrival"))
-    begun = epochs(own)
+    begun = cut(epochs(own))
     learnt = own.mapInPandas(_learnt, _LEARNT)
-    learnt = _with(learnt, begun.select(*KEYS, "epoch", "since", "until"), KEYS, "inner", *_within(F.struct(*_ORDER))).drop("since", "until")
-    told = runs(learnt)
+    learnt = cut(_with(learnt, begun.select(*KEYS, "epoch", "since", "until"), KEYS, "inner", *_within(F.struct(*_ORDER))).drop("since", "until"))
+    told = cut(runs(learnt))
+    drop(learnt)
 
     kept = own.schema
     split = own.select(*[c for c in own.columns if c != "packet"], "packet").mapInPandas(_split, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kept if f.name != 'packet')}, {_SETS}")
@@ -574,7 +576,7 @@ def parse(packets: DataFrame) -> DataFrame:
 
     No exporter's packets come together. Heads become epochs and templates become runs, by windows over spans of time; both are few. A
     packet's flowsets are joined with the run that each of them lies in, and meet again by the packet's number, so that it can be
-    refused as a whole. `arrival` tells packets of one time apart; `received_at` of a row is that of its own packet.
+    refused as a whole. Epochs and runs are written to the checkpoint folder when this is called. `arrival` tells packets of one time apart; `received_at` of a row is that of its own packet.
 
     Two things are decided without regard to what a packet's data decode to: a packet that is refused for its records still counts for
     restarts, and templates behind its error are learnt. What waits when the batch ends gives no row; caps on templates and

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flow import MASK, first_error, sensitive, unused
+from ..functions.flow import MASK, SENSITIVE_WORD, first_error, mask_json, sensitive, unused
 
 # Fields of a connection, by kind, and the aliases of dotted names.
 TEXTS = ("uid", "id.orig_h", "id.resp_h", "proto", "service", "conn_state", "history")
@@ -41,35 +41,51 @@ def bounded(lines: DataFrame, column: str = "value", most: int = MOST_LINE) -> D
     return kept.withColumn("line_error", F.when(F.octet_length(column) > most, "line_too_long"))
 
 
+def _of(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """lines with a struct `zeek` of typed fields (dots as _), `extra` (JSON, sensitive keys masked) and `error`.
+    """lines with a struct `zeek` of typed fields (dots as _), `extra` (JSON as it came, sensitive keys masked at any depth) and `error`.
 
-    "-" is null; an alias counts as its dotted name, and both at once must agree; numbers must be numbers.
+    Types are JSON's: numbers must be numbers and not text, counts and ports whole and not negative, flags true or false; a text field of
+    another type is null. "-" is null for texts, counts and ports. An alias counts as its dotted name, and both at once must agree.
     """
-    held = unused(lines, "_raw")
-    raw = lines.withColumn(held, F.from_json(column, "map<string,string>"))
-    get = lambda field: F.col(held)[F.lit(field)]
-    value: dict[str, Column] = {}
+    held, known = (unused(lines, name) for name in ("_raw", "_known"))
+    fields = (*TEXTS, *PORTS, *COUNTS, *FLOATS, *FLAGS)
+    typed = ", ".join(f"`{f}` variant" for f in (*fields, *ALIASES))
+    raw = lines.withColumns({held: F.from_json(column, "map<string,variant>"), known: F.from_json(column, typed)})
+    get = lambda field: F.col(known).getField(field)
+    value: dict[str, Column] = {f: get(f) for f in fields}
     conflict = F.lit(False)
     for alias, field in ALIASES.items():
-        conflict = conflict | F.coalesce(get(alias) != get(field), F.lit(False))
+        conflict = conflict | F.coalesce(F.to_json(get(alias)) != F.to_json(get(field)), F.lit(False))
         value[field] = F.coalesce(get(field), get(alias))
-    for field in (*TEXTS, *PORTS, *COUNTS, *FLOATS, *FLAGS):
-        value.setdefault(field, get(field))
-    value = {k: F.nullif(v, F.lit("-")) for k, v in value.items()}
-    number = {f: value[f].try_cast("bigint") for f in PORTS} | {f: value[f].try_cast("decimal(20,0)") for f in COUNTS} | {f: value[f].try_cast("double") for f in FLOATS}
-    broken = F.lit(False)
-    for f, n in number.items():
-        broken = broken | (value[f].isNotNull() & (n.isNull() | (n < 0))) | (~value[f].rlike(r"^-?\d+$") if f not in FLOATS else F.lit(False))
-    broken = F.coalesce(broken, F.lit(False))
-    known = F.array(*[F.lit(x) for x in (*value, *ALIASES)])
-    extra = F.transform_values(F.map_filter(held, lambda k, _: ~F.array_contains(known, k)), lambda k, v: F.when(sensitive(k), MASK).otherwise(v))
+    kind = lambda f: F.schema_of_variant(value[f])
+    broken, out = F.lit(False), {}
+    for f in (*PORTS, *COUNTS):
+        number = F.when(kind(f) == "BIGINT", _of(value[f], "bigint"))
+        dash = (kind(f) == "STRING") & (_of(value[f], "string") == "-")
+        number = F.when(number.between(0, 2**32 - 1 if f in PORTS else 2**63 - 1), number)
+        broken = broken | (value[f].isNotNull() & (kind(f) != "VOID") & ~dash & number.isNull())
+        out[f] = number if f in PORTS else number.cast("decimal(20,0)")
+    for f in FLOATS:
+        out[f] = F.when(kind(f).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), _of(value[f], "double"))
+        broken = broken | (value[f].isNotNull() & out[f].isNull())
+    for f in TEXTS:
+        out[f] = F.nullif(F.when(kind(f) == "STRING", _of(value[f], "string")), F.lit("-"))
+    for f in FLAGS:
+        out[f] = F.when(kind(f) == "BOOLEAN", _of(value[f], "boolean"))
+    names = F.array(*[F.lit(x) for x in (*fields, *ALIASES)])
+    more = F.map_filter(held, lambda k, _: ~F.array_contains(names, k))
+    extra = F.to_json(F.transform_values(more, lambda k, v: F.when(sensitive(k), F.lit(MASK).cast("variant")).otherwise(v)))
+    nested = extra.rlike(SENSITIVE_WORD) & (extra.contains(":{") | extra.contains("[{"))
+    extra = F.when(nested, mask_json(F.when(nested, extra))).otherwise(extra)  # Python only sees what may need it
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     error = first_error(
         (F.col(held).isNull(), "invalid_json"),
         (conflict, "conflicting_alias"),
         (broken, "invalid_number"),
-        (F.coalesce(number["ts"] <= 0, F.lit(True)) | blank(value["id.orig_h"]) | blank(value["id.resp_h"]) | blank(value["proto"]), "missing_field"),
+        (F.coalesce(out["ts"] <= 0, F.lit(True)) | blank(out["id.orig_h"]) | blank(out["id.resp_h"]) | blank(out["proto"]), "missing_field"),
     )
-    fields = [number.get(f, value[f]).alias(_name(f)) if f not in FLAGS else value[f].try_cast("boolean").alias(f) for f in value]
-    return raw.withColumn("zeek", F.struct(*fields, F.to_json(extra).alias("extra"), error.alias("error"))).drop(held)
+    return raw.withColumn("zeek", F.struct(*[out[f].alias(_name(f)) for f in fields], extra.alias("extra"), error.alias("error"))).drop(held, known)
