@@ -131,3 +131,55 @@ def test_deep_pages_take_little():
     lists = text_of("<ul><li>x" * 3_000)[1].split("\n")
     assert len(lists) == 3_000 and max(map(len, lists)) < 100
     assert text_of("<div>" * 20_000 + "</b>" * 20_000 + "<p>x" * 20_000)[1].count("x") == 20_000
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_stretches_of_covered_columns(seed):
+    """Against a column by column account; where cells overlap, the upper one counts."""
+    import random
+
+    from weirflow.llm.html_text import Covered
+
+    rng, covered, until = random.Random(seed), Covered(), {}
+    for row in range(60):
+        covered.reach(row)
+        until = {c: r for c, r in until.items() if r > row}
+        at, lasting = 0, []
+        for _ in range(rng.randrange(6)):
+            found = covered.free(at)
+            while at in until:
+                at += 1
+            assert found == at
+            wide, high = rng.randrange(1, 9), rng.randrange(1, 9)
+            if high > 1:
+                lasting.append((at, at + wide, row + high))
+            at += wide
+        for start, end, last in lasting:
+            covered.cover(start, end, last)
+            for c in range(start, end):
+                until.setdefault(c, last)
+        assert [c for s, e in zip(covered.starts, covered.ends, strict=True) for c in range(s, e)] == sorted(until)
+
+
+def test_no_row_is_pushed():
+    """One long cell is wrapped in its column, however many rows there are and whatever came before."""
+    for rows in (3, 2000):
+        lines = text_of("<table>" + "<tr><td>a<td>right" * rows + "<tr><td>" + "word " * 400 + "<td>right</table>")[1].split("\n")
+        assert {line.index("right") for line in lines if "right" in line} == {42}
+        assert sum(line.count("word") for line in lines) == 400 and max(map(len, lines)) <= 47
+
+
+def test_long_words_stay_whole():
+    word = "x" * 100
+    text = text_of(f"<table><tr><td>a {word} b<td>one<br>two<br>three<tr><td>c<td>d</table>")[1]
+    assert text == "a" + " " * 41 + "one\n" + word + "\nb" + " " * 41 + "two\n" + " " * 42 + "three\nc" + " " * 41 + "d"
+
+
+def test_many_and_wide_spans():
+    assert text_of("<table><tr>" + "<td colspan=1000>x" * 15_000)[1].split() == ["x"] * 15_000
+    assert text_of("<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 8_000)[1].split() == ["x"] * 8_000
+    assert len(text_of("<table>" + "<tr><td rowspan=65534>a<td rowspan=2>b" * 5_000)[1]) < 6_000_000
+
+
+def test_blanks_in_styles():
+    assert text_of('<p style="display:\tnone">a</p><p style="visibility :\nhidden">b</p>c')[1] == "c"

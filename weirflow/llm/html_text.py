@@ -3,6 +3,7 @@
 What a page shows without scripts, plug-ins and media is visible: text of math (not its annotations) and textarea, and
 what object holds for want of its data. Choices of select, text in svg, and what audio, video, canvas, iframe and noscript
 hold for others are not text of the page; nor is what HIDDEN, an input that is no button, hidden, display:none, visibility or a closed details or dialog hides.
+Styles count where they stand in an element's own attribute; rules of style sheets aren't applied.
 Elements may nest to any depth.
 
 Each page is one row, so pages are laid out in the tasks that read them; the helper for one page is below.
@@ -12,7 +13,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,11 +48,12 @@ STAYS = PARTS | frozenset("script style template form".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?)?)*+)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))?)?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-#: Lines are indented by this much at most, however deep their list.
+#: Lines are indented by this much at most, however deep their list: at 40 levels and more, the text of a list stands at one indent. Else a page
+#: of n nested lists would have indents in proportion to n squared.
 INDENT = 80
-#: Cells are padded to the width of their column. If the blanks of a page came to more than PADDING and 16 times its source, as a very long
-#: cell beside thousands of rows would make them, cells of a table wider than WIDEST push their row out instead.
-PADDING, WIDEST = 1 << 20, 40
+#: A column of a table, unless it is the last, is COLUMN wide at most: longer lines are wrapped within it at blanks, and a longer word has a line to
+#: itself. Columns that would begin beyond ALIGNED follow the cell before them. Else a row of n cells, or one long cell, would cost all rows blanks.
+COLUMN, ALIGNED, BETWEEN = 40, 1000, 2
 BUTTONS = frozenset("submit button reset".split())
 
 
@@ -163,9 +167,8 @@ def title(root: Node) -> str:
 class Page:
     """Lines of text under construction: words of a line, and the blank line that a block asks for before the next."""
 
-    def __init__(self, room: list[int] | None = None):
+    def __init__(self):
         self.lines: list[str] = []
-        self.room = [PADDING] if room is None else room  # blanks that tables of the whole page may still add
         self.line, self.gap, self.indent, self.mark = "", False, "", ""
 
     def write(self, text: str) -> None:
@@ -192,7 +195,7 @@ class Page:
 def visible(node: Node, shown: bool) -> bool | None:
     """Whether the text of a node shows; None if nothing below it does."""
     a = node.attrs
-    style = a.get("style", "").replace(" ", "").lower()
+    style = _SPACE.sub("", a.get("style", "")).lower()
     if node.tag in HIDDEN or "hidden" in a or "display:none" in style or node.tag == "input" and a.get("type", "").lower() not in BUTTONS or node.tag == "dialog" and "open" not in a:
         return None
     if "visibility:hidden" in style or "visibility:collapse" in style:
@@ -282,58 +285,145 @@ def _rows(node: Node, shown: bool, caption: list[tuple[Node, bool]]) -> Iterator
             caption.append((child, shows))
 
 
+class Covered:
+    """Columns of a row that cells of rows above cover, as disjoint stretches; where cells overlap, the upper one counts."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: dict[int, list[tuple[int, int]]] = {}  # row -> stretches that are free from it on
+
+    def free(self, at: int) -> int:
+        """The first free column from one on."""
+        i = bisect_right(self.starts, at) - 1
+        return self.ends[i] if i >= 0 and self.ends[i] > at else at
+
+    def cover(self, start: int, end: int, row: int) -> None:
+        """A cell covers these columns up to a row."""
+        i = max(bisect_right(self.starts, start) - 1, 0)
+        gaps, at = [], start
+        while i < len(self.starts) and self.starts[i] < end:
+            if self.ends[i] > at:
+                if self.starts[i] > at:
+                    gaps.append((at, self.starts[i]))
+                at = self.ends[i]
+            i += 1
+        if at < end:
+            gaps.append((at, end))
+        for gap in gaps:
+            self.until.setdefault(row, []).append(gap)
+            self._join(*gap)
+
+    def _join(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        if i < len(self.starts) and self.starts[i] == end:
+            end = self.ends.pop(i)
+            del self.starts[i]
+        if i and self.ends[i - 1] == start:
+            self.ends[i - 1] = end
+        else:
+            self.starts.insert(i, start)
+            self.ends.insert(i, end)
+
+    def reach(self, row: int) -> None:
+        """Free what was covered up to a row."""
+        for start, end in self.until.pop(row, ()):
+            i = bisect_right(self.starts, start) - 1
+            whole_start, whole_end = self.starts[i], self.ends[i]
+            del self.starts[i], self.ends[i]
+            for left, right in ((end, whole_end), (whole_start, start)):
+                if left < right:
+                    self.starts.insert(i, left)
+                    self.ends.insert(i, right)
+
+
+def wrapped(line: str, width: int) -> list[str]:
+    """A line in parts of a width at most, cut at blanks; only a word can be longer."""
+    out = []
+    while len(line) > width:
+        cut = line.rfind(" ", 0, width + 1)
+        if not line[: max(cut, 0)].strip():  # the first word, or the blanks before it, go beyond the width
+            cut = line.find(" ", len(line) - len(line.lstrip(" ")))
+            if cut < 0:
+                break
+        out.append(line[:cut].rstrip(" "))
+        line = line[cut:].lstrip(" ")
+    return [*out, line] if line or not out else out
+
+
+def side_by_side(cells: dict[int, list[str]], starts: dict[int, int], last: int) -> Iterator[str]:
+    """The lines of a row. On a line with a word longer than its column, nothing stands right of it."""
+    lines: list[list[tuple[int, str]]] = []
+    closed: set[int] = set()
+    for c in sorted(cells):
+        at, overlong = 0, []
+        for line in cells[c]:
+            for part in wrapped(line, COLUMN) if c != last and len(line) > COLUMN else (line,):
+                while at in closed:
+                    at += 1
+                while at >= len(lines):
+                    lines.append([])
+                if part:
+                    lines[at].append((starts[c], part))
+                if c != last and len(part) > COLUMN:
+                    overlong.append(at)
+                at += 1
+        closed.update(overlong)
+    for parts in lines:
+        line = ""
+        for start, part in parts:
+            line += " " * max(start - len(line), BETWEEN if line else 0) + part
+        if line.strip():
+            yield line.rstrip()
+
+
 def table(node: Node, page: Page, shown: bool) -> Iterator[Iterator]:
-    """Rows with cells side by side, each column as wide as its widest cell; spans keep their columns free. Steps for walk()."""
+    """Rows with cells side by side; spans keep their columns free. Steps for walk().
+
+    A column is as wide as its widest line, up to COLUMN; so each row is aligned, whatever else the table holds. Work and blanks are in
+    proportion to cells and rows.
+    """
     caption: list[tuple[Node, bool]] = []
     grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}  # column -> rows that a cell above still covers
+    covered = Covered()
     span = lambda cell, name, most: min(max(int(v), 1), most) if re.fullmatch(r"\d{1,6}", v := cell.attrs.get(name, "")) else 1
-    for row, row_shown in list(_rows(node, shown, caption)):
+    for number, (row, row_shown) in enumerate(list(_rows(node, shown, caption))):
+        covered.reach(number)
         cells: dict[int, list[str]] = {}
-        at = 0
-        fresh: dict[int, int] = {}
+        at, lasting = 0, []
         for cell in row.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th") or (shows := visible(cell, row_shown)) is None:
                 continue
-            while taken.get(at, 0) > 0:
-                at += 1
-            inner = Page(page.room)
+            at = covered.free(at)
+            inner = Page()
             yield render(cell, inner, shows)
             inner.end()
             cells[at] = inner.lines
             wide, high = span(cell, "colspan", 1000), span(cell, "rowspan", 65534)
-            for column in range(at, at + wide):
-                fresh[column] = high
+            if high > 1:
+                lasting.append((at, at + wide, number + high))
             at += wide
-        taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n - 1 for c, n in fresh.items() if n > 1}
+        for stretch in lasting:  # they cover rows below, not their own
+            covered.cover(*stretch)
         grid.append(cells)
     for part, shows in caption:
         yield render(part, page, shows)
         page.end()
-    ends: dict[int, int] = {}
-    columns = sorted({c for cells in grid for c in cells})
-    for c in columns:
-        ends[c] = max((len(line) for cells in grid for line in cells.get(c, ())), default=0)
-    rows = sum(max((len(lines) for lines in cells.values()), default=0) for cells in grid)
-    blanks = rows * sum(ends[c] for c in columns[:-1])
-    if blanks <= page.room[0]:
-        page.room[0] -= blanks
-    else:
-        ends = {c: min(WIDEST, n) for c, n in ends.items()}
+    width: dict[int, int] = {}
+    for cells in grid:
+        for c, lines in cells.items():
+            width[c] = max(width.get(c, 0), min(COLUMN, max(map(len, lines), default=0)))
+    columns = sorted(width)
+    starts = dict(zip(columns, accumulate((width[c] + BETWEEN if width[c] else 0 for c in columns[:-1]), lambda a, b: min(a + b, ALIGNED), initial=0), strict=False))
     for cells in grid:
-        for i in range(max((len(lines) for lines in cells.values()), default=0)):
-            line = ""
-            for c in columns:
-                text = cells[c][i] if c in cells and i < len(cells[c]) else ""
-                line += text + " " * (ends[c] - len(text)) + ("  " if ends[c] else "")
-            if line.strip():
-                page.put(line.rstrip())
+        for line in side_by_side(cells, starts, columns[-1]):
+            page.put(line)
 
 
 def text_of(source: str | None) -> tuple[str, str]:
     """(title, text) of a page; null and empty pages have empty ones."""
     root = parse(source or "")
-    page = Page([PADDING + 16 * len(source or "")])
+    page = Page()
     walk(render(root, page))
     page.end()
     return title(root), "\n".join(page.lines).strip("\n")
