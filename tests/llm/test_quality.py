@@ -46,3 +46,13 @@ def test_hard_rows(spark):
     assert keep_good(docs, labels).columns == docs.columns
     assert score_report(docs.limit(0), labels.limit(0)).count() == 0
     assert [r.score for r in score_report(docs, labels.limit(0)).collect()] == [0.5] * 4
+
+
+def test_few_ids_with_many_rows(spark):
+    """What is fitted doesn't hang on the order of rows, even if there are many more rows than may be taken."""
+    rows = [(i % 40, f"{'good plain words here' if i % 40 < 20 else 'zz## 11 !! qq'} {i % 7}") for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fits = [fit(d, labels, 150, 300).weights for d in (docs.repartition(2), docs.orderBy(F.desc("text")).repartition(5))]
+    assert abs(fits[0] - fits[1]).max() < 1e-9 and abs(fits[0]).max() > 0
+    assert fit(docs, labels, 3, 3).weights.shape == fits[0].shape

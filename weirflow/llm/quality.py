@@ -220,10 +220,20 @@ def _first_half() -> Column:
     return F.xxhash64("doc_id", F.lit(3)) % 2 == 0
 
 
-def _matrix(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(feature rows, which are of the first half) of documents, in order of id and features; `most` at most."""
+def _sample(rows: DataFrame, seed: int, share: float, most: int) -> tuple[DataFrame, float]:
+    """Rows whose ids are chosen, and the share of ids: halved until there are twice `most` rows at most, as few ids may have many rows."""
+    while share > 2**-60:
+        chosen = rows.where(_chosen(seed, share))
+        if chosen.count() <= 2 * most:
+            return chosen, share
+        share /= 2
+    return rows.limit(0), 0.0
+
+
+def _matrix(rows: DataFrame, seed: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature rows, which are of the first half) of a sample's rows, in order of the hash they were chosen by and features; `most` at most."""
     packed = _by_slices("binary", lambda texts: pa.array([features(t).tobytes() for t in texts], pa.binary()))
-    got = rows.select("doc_id", _first_half().alias("half"), packed("text").alias("x")).limit(2 * most).toPandas().sort_values(["doc_id", "x"])[:most]
+    got = rows.select(F.xxhash64("doc_id", F.lit(seed)).alias("by"), "doc_id", _first_half().alias("half"), packed("text").alias("x")).toPandas().sort_values(["by", "doc_id", "x"])[:most]
     x = np.stack([np.frombuffer(x, "float32") for x in got["x"]]).astype("float64") if len(got) else np.zeros((0, STATS + SHAPES))
     return x, got["half"].to_numpy(bool)
 
@@ -240,10 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     """The model of these documents and labels; without positives or documents to learn from, one that scores 0.5."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    share = most_unlabelled / max(1, docs.count())
-    known = trusted.where(_chosen(1, most_positive / max(1, trusted.count()))).limit(2 * most_positive)
-    positive, first_p = _matrix(docs.join(F.broadcast(known), "doc_id", "left_semi"), most_positive)
-    unlabelled, first_u = _matrix(docs.where(_chosen(2, share)), most_unlabelled)
+    known, _ = _sample(trusted, 1, most_positive / max(1, trusted.count()), most_positive)
+    chosen, _ = _sample(docs.join(F.broadcast(known), "doc_id", "left_semi"), 1, 1.0, most_positive)
+    positive, first_p = _matrix(chosen, 1, most_positive)
+    chosen, share = _sample(docs, 2, most_unlabelled / max(1, docs.count()), most_unlabelled)
+    unlabelled, first_u = _matrix(chosen, 2, most_unlabelled)
     if len(positive) < 2 or len(unlabelled) < 2:
         return Model(np.zeros(STATS + SHAPES), 0.5)
     if not (first_p.any() and first_u.any()):
