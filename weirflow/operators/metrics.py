@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import running
+
 # Upper bounds of the duration buckets; the last bucket has none and counts as LAST_BOUND.
 BOUNDS = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
 LAST_BOUND = 10000.0
@@ -54,8 +56,7 @@ def drain(samples: DataFrame, width: str = "5 seconds", series: tuple[str, ...]
     got = samples.groupBy(w, *series).agg(F.count("*").alias("sample_count"), F.count("value").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), F.min_by("value", by).alias("first"), F.max_by("value", by).alias("last"))
     if not counter:
         return got.withColumn("delta", F.col("last") - F.col("first"))
-    so_far = Window.partitionBy(*series).orderBy("bucket")
-    got = got.withColumn("last", F.sum("sum").over(so_far))
+    got = running.running_sum(got, series, ("bucket",), F.col("sum"), "last")
     return got.withColumn("first", F.col("last") - F.col("sum")).withColumn("delta", F.col("sum"))
 
 
@@ -181,9 +182,14 @@ def rollup(base: DataFrame, buckets: DataFrame | None, start: datetime, end: dat
 
 
 def clamped_delta(samples: DataFrame, series: tuple[str, ...] = SERIES, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """samples with `delta`: what a counter gained since the sample before; 0 at first and when it was reset."""
-    w = Window.partitionBy(*series).orderBy(*order)
-    return samples.withColumn("delta", F.coalesce(F.greatest(F.lit(0), F.col("value") - F.lag("value").over(w)), F.lit(0)))
+    """samples, of a batch or a stream, with `delta`: what a counter gained since the sample before; 0 at first and when it was reset."""
+    (was,) = running.unused(samples, "_was")
+    if samples.isStreaming:
+        from ..streaming.series import previous
+    else:
+        previous = running.previous
+    found = previous(samples, series, order, ("value",), was)
+    return found.withColumn("delta", F.coalesce(F.greatest(F.lit(0), F.col("value") - F.col(f"{was}.value")), F.lit(0))).drop(was)
 
 
 def summary(points: DataFrame, series: tuple[str, ...] = SERIES) -> DataFrame:

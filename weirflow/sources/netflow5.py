@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flow import first_error, unused
+from ..operators import running
 
 HEADER, RECORD, MOST_RECORDS = 24, 48, 30
 
@@ -71,20 +72,30 @@ def route(packets: DataFrame, column: str = "packet") -> DataFrame:
     return packets.withColumn("kind", F.when(sized & (v == 5), "netflow_v5").when(sized & (v == 9), "netflow_v9").otherwise("unknown"))
 
 
+def _before(packets: DataFrame, exporter: str, order: tuple[str, ...], columns: tuple[str, ...], to: str) -> DataFrame:
+    """packets with those columns of the exporter's packet before: by spans of time in a batch, by state in a stream."""
+    if packets.isStreaming:
+        from ..streaming import series
+
+        return series.previous(packets, (exporter,), order, columns, to)
+    return running.previous(packets, (exporter,), order, columns, to)
+
+
 def gaps(packets: DataFrame, exporter: str = "source_ip", sequence: str = "sequence", records: str = "records", order: tuple[str, ...] = ("received_at",)) -> DataFrame:
-    """packets with `expected` (previous sequence and records, modulo 2^32) and `lost`, 0 for an exporter's first packet."""
-    from pyspark.sql import Window
+    """packets, of a batch or a stream, with `expected` (previous sequence and records, modulo 2^32) and `lost`, 0 for an exporter's first packet.
 
-    w = Window.partitionBy(exporter).orderBy(*order)
-    expected = F.pmod(F.lag(sequence).over(w) + F.lag(records).over(w), F.lit(2**32))
-    return packets.withColumn("expected", expected).withColumn("lost", F.coalesce(F.pmod(F.col(sequence) - F.col("expected"), F.lit(2**32)), F.lit(0)))
+    order begins with a time or a number of seconds. No window spans an exporter's history.
+    """
+    was = unused(packets, "_was")
+    found = _before(packets, exporter, order, (sequence, records), was)
+    expected = F.pmod(F.col(f"{was}.{sequence}") + F.col(f"{was}.{records}"), F.lit(2**32))
+    return found.withColumn("expected", expected).withColumn("lost", F.coalesce(F.pmod(F.col(sequence) - F.col("expected"), F.lit(2**32)), F.lit(0))).drop(was)
 
 
 def restarts(packets: DataFrame, exporter: str = "source_ip", order: tuple[str, ...] = ("received_at",)) -> DataFrame:
-    """packets with `restarted`: uptime and sequence both go back (modulo 2^32) while the export time doesn't."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(exporter).orderBy(*order)
-    back = lambda c: F.pmod(F.col(c) - F.lag(c).over(w), F.lit(2**32)) >= 2**31
-    found = back("uptime_ms") & back("sequence") & (F.col("export_time") >= F.lag("export_time").over(w))
-    return packets.withColumn("restarted", F.coalesce(found, F.lit(False)))
+    """packets, of a batch or a stream, with `restarted`: uptime and sequence both go back (modulo 2^32) while the export time doesn't."""
+    was = unused(packets, "_was")
+    found = _before(packets, exporter, order, ("uptime_ms", "sequence", "export_time"), was)
+    back = lambda c: F.pmod(F.col(c) - F.col(f"{was}.{c}"), F.lit(2**32)) >= 2**31
+    again = back("uptime_ms") & back("sequence") & (F.col("export_time") >= F.col(f"{was}.export_time"))
+    return found.withColumn("restarted", F.coalesce(again, F.lit(False))).drop(was)
