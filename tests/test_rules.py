@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_sources import DATA, TEMPLATE, v9
 from weirflow.operators import metrics, store
 from weirflow.operators.flows import Filters, Tables, TopK, top
+from weirflow.functions import net
 from weirflow.sources import datagrams, netflow5, netflow9, rest, zeek
 
 T = datetime(2026, 6, 18, 5)
@@ -128,3 +129,43 @@ def test_sinks(spark, tmp_path):
 def test_refresh_is_due():
     assert store.due("5m", None, T) == [date(2026, 6, 17), date(2026, 6, 18)]
     assert store.due("5m", T - timedelta(seconds=59), T) == [] and len(store.due("1h", T - timedelta(minutes=5), T)) == 8
+
+
+def test_ipv6_texts(spark):
+    import ipaddress
+
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "2001:DB8::10", ":::1::", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", "12345::", "g::", "::1.2.3.256", "1.2.3.4", "::1.2.3", ":1", "1:", "", "::1%eth0", "1:2:3:4:5:6:7:1.2.3.4", "::01.2.3.4"]
+
+    def sound(text):
+        try:
+            return ":" in text and "%" not in text and bool(ipaddress.IPv6Address(text))
+        except ValueError:
+            return False
+
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", net.is_ipv6(F.col("t")).alias("is")).collect()
+    assert {r.t: r["is"] for r in got} == {t: sound(t) for t in texts} | {None: False}
+
+
+def test_mapped_addresses(spark):
+    rows = spark.createDataFrame([("::ffff:1.2.3.4",), ("1.2.3.4",), ("::1",), ("x",)], "t string").withColumn("a", net.address("t")).select("t", net.unmapped(F.col("a")).alias("a")).collect()
+    assert [(r.a.text, r.a.key and bytes(r.a.key)) for r in rows] == [("1.2.3.4", b"\1\2\3\4"), ("1.2.3.4", b"\1\2\3\4"), ("::1", bytes(15) + b"\1"), (None, None)]
+
+
+def test_rates_and_latency_rules(spark):
+    base = [(T, "c", "x", 5.0, "counter"), (T, "g", "x", 5.0, "gauge"), (T, "h", "x", 5.0, "counter")]
+    df = spark.createDataFrame(base, "bucket timestamp, metric_name string, labels string, delta double, metric_kind string").withColumns({c: F.lit(1.0) for c in ("sample_count", "count", "sum", "min", "max", "first", "last")})
+    histogram = spark.createDataFrame([(T, "h", "x", 3, 10.0, 4)], "bucket timestamp, metric_name string, labels string, bucket_index int, bucket_upper_bound double, count long")
+    got = {r.metric_name: (r.rate_avg, r.rate_peak, r.p90) for r in metrics.rollup(df, histogram, T, T + timedelta(hours=1), 5).collect()}
+    assert got == {"c": (1.0, 1.0, None), "g": (None, None, None), "h": (None, None, 10.0)}  # a point with a histogram has no rates
+    pairs = spark.createDataFrame([(1, "t", "x", 0, 90.0), (1, "n", "x", 0, 30.0), (2, "t", "x", 5, 1.0), (2, "n", "x", -1, 0.0), (3, "t", "x", 8, 0.0), (3, "n", "x", 2, 1.0)], "bucket int, metric_name string, labels string, delta long, value double")
+    assert {r.bucket: r.latency for r in metrics.latency(pairs, "t", "n").collect()} == {1: 3.0, 2: 0.0, 3: 4.0}
+
+
+def test_window_reaches_the_scan(spark, tmp_path):
+    from weirflow import queries
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    for name in ("metric_rollup", "metric_query"):
+        plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.split("PushedFilters")[1:]]
+        assert scans and all("GreaterThanOrEqual(ts" in x[:300] and "LessThan(ts" in x[:300] for x in scans), name

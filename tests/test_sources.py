@@ -165,7 +165,7 @@ def test_metrics(spark):
     assert hist.count() == 4 and tuple(one(metrics.percentiles(hist, ("metric_name",))))[1:] == (10.0, 10.0, 10.0)
     counter = one(metrics.drain(spark.createDataFrame([(at, "c", "x", 3), (at, "c", "x", 2)], "ts timestamp, metric_name string, labels string, value long"), counter=True))
     assert (counter["sum"], counter["delta"], counter["first"], counter["last"]) == (5, 5, 0, 5)
-    base = spark.createDataFrame([(at, "c", "x", 1, 1, 1.0, 1.0, 1.0, 0.0, 0.0, 30000.0), (at + timedelta(seconds=5), "c", "x", 1, 1, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0)], "bucket timestamp, metric_name string, labels string, sample_count int, count int, sum double, min double, max double, first double, last double, delta double")
+    base = spark.createDataFrame([(at, "c", "x", 1, 1, 1.0, 1.0, 1.0, 0.0, 0.0, 30000.0, "counter"), (at + timedelta(seconds=5), "c", "x", 1, 1, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, "counter")], "bucket timestamp, metric_name string, labels string, sample_count int, count int, sum double, min double, max double, first double, last double, delta double, metric_kind string")
     point = one(metrics.rollup(base, None, at, at.replace(hour=1), 20))
     assert (point.delta, point.rate_avg, point.rate_peak) == (30000.0, 1500.0, 6000.0)
     reset = spark.createDataFrame([(1, "c", "x", 100), (2, "c", "x", 112), (3, "c", "x", 2)], "ts int, metric_name string, labels string, value long")

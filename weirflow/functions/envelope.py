@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import RAW_VERSION, SOURCE_TYPES
 from ..sources.netflow9 import IPV4, IPV6
 from .flow import first_error, is_uuid7
+from .net import is_ipv6
 
 # The payload that goes with each source type; Suricata has none in this version.
 PAYLOADS = {"netflow_v5": "netflow_v5", "netflow_v9": "netflow_v9", "zeek_conn_json": "zeek_conn", "rest_json": "rest_flow", "syslog_cef": "syslog", "syslog_leef": "syslog"}
@@ -26,8 +27,7 @@ def bad_field(f: Column) -> Column:
     n, text = f["field_length"], f["string_value"]
     kinds = f["unsigned_value"].isNotNull().cast("int") + text.isNotNull().cast("int") + f["bytes_value"].isNotNull().cast("int")
     quad = text.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!$)|$)){4}$")
-    hextets = text.contains(":") & text.rlike(r"^[0-9A-Fa-f:.]+$")
-    wrong_text = F.when(f["field_id"].isin(*IPV4), ~quad | (n != 4)).when(f["field_id"].isin(*IPV6), ~hextets | (n != 16)).otherwise(F.octet_length(text) > n)
+    wrong_text = F.when(f["field_id"].isin(*IPV4), ~quad | (n != 4)).when(f["field_id"].isin(*IPV6), ~is_ipv6(text) | (n != 16)).otherwise(F.octet_length(text) > n)
     most = F.pow(F.lit(2.0), F.lit(8) * n)
     bad = (
         ~f["field_id"].between(1, 65535) | ~n.between(1, 65535) | (f["name"].isNotNull() & (F.trim(f["name"]) == "")) | (kinds != 1)

@@ -28,6 +28,25 @@ def address(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parsed[c] for c in codes], columns=["text", "key"])
 
 
+def is_ipv6(text: Column) -> Column:
+    """Whether a text is an IPv6 address without a zone: eight groups, or fewer with one `::`; a dotted quad stands for the last two."""
+    quad = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
+    plain = F.regexp_replace(text, "(?<=:)" + quad, "0:0")
+    group = "[0-9A-Fa-f]{1,4}"
+    short = plain.rlike(f"^(?:{group}(?::{group})*)?::(?:{group}(?::{group})*)?$")
+    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+    return F.coalesce(plain.rlike(f"^{group}(?::{group}){{7}}$") | short & (groups <= 7), F.lit(False))
+
+
+def unmapped(parsed: Column) -> Column:
+    """An `address` with IPv4 addresses that are mapped into IPv6 as what they are: four bytes and dotted text."""
+    key = parsed["key"]
+    mapped = (F.octet_length(key) == 16) & (F.substring(F.hex(key), 1, 24) == "00000000000000000000FFFF")
+    last = F.substring(key, F.lit(13), F.lit(4))
+    text = F.concat_ws(".", *[F.conv(F.hex(F.substring(last, F.lit(i), F.lit(1))), 16, 10) for i in range(1, 5)])
+    return F.when(mapped, F.struct(text.alias("text"), last.alias("key"))).otherwise(parsed)
+
+
 def version(key: Column) -> Column:
     """4 for four bytes and for addresses mapped into IPv6, else 6."""
     mapped = (F.octet_length(key) == 16) & (F.substring(F.hex(key), 1, 24) == "00000000000000000000FFFF")

@@ -60,6 +60,14 @@ def drain(samples: DataFrame, width: str = "5 seconds", series: tuple[str, ...]
     return got.withColumn("first", F.col("last") - F.col("sum")).withColumn("delta", F.col("sum"))
 
 
+def within(samples: DataFrame, start: datetime, end: datetime, width: int = 5, time: str = "ts") -> DataFrame:
+    """Samples of the buckets of `width` seconds that begin in [start, end): a range of time that reaches the scan, widened to whole buckets."""
+    at = _at(samples, time)
+    epoch, whole = datetime(1970, 1, 1), timedelta(seconds=width)
+    floor = lambda t: epoch + (t - epoch) // whole * whole
+    return samples.where((F.col(time) >= at(floor(start))) & (F.col(time) < at(floor(end + whole - timedelta(microseconds=1)))))
+
+
 def bucket_index(value: Column) -> Column:
     """The place of the first bound that isn't below a value."""
     return F.size(F.filter(F.array(*[F.lit(b) for b in BOUNDS]), lambda b: b < value))
@@ -156,7 +164,7 @@ def rollup(base: DataFrame, buckets: DataFrame | None, start: datetime, end: dat
     """Base buckets of `width` seconds in steps of `step` seconds from `start`, with rates, and percentiles by histogram.
 
     Both inputs are aggregated and joined in full, so a series that only has a histogram has its points too. Where there is none,
-    the greatest stored percentile of a step stands in, if base has any. Rates are of counters, if base tells kinds (metric_kind).
+    the greatest stored percentile of a step stands in, if base has any. Rates are of counters (metric_kind) that have no histogram.
     Points: bucket, series, sample_count, count, sum, avg, min, max, first, last, delta, rate_avg, rate_peak, p90, p95, p99.
     """
     ntz = dict(base.dtypes)["bucket"] == "timestamp_ntz"
@@ -165,7 +173,7 @@ def rollup(base: DataFrame, buckets: DataFrame | None, start: datetime, end: dat
     at = F.window("bucket", f"{step} seconds", f"{step} seconds", f"{offset} seconds")["start"]
     inside = lambda df: df.where((F.col("bucket") >= lit(start)) & (F.col("bucket") < lit(end)))
     known = lambda c, by: F.expr(f"{by}({c}, bucket) FILTER (WHERE {c} IS NOT NULL)").alias(c)
-    rated = (F.col("metric_kind") == "counter") if "metric_kind" in base.columns else F.lit(True)
+    rated = (F.col("metric_kind") == "counter") if "metric_kind" in base.columns else F.lit(False)
     peak = F.max(F.when(rated, F.col("delta")) / F.lit(float(width))).alias("rate_peak")
     stored = [p for p in PERCENTILES if p in base.columns]
     points = inside(base).groupBy(at.alias("at"), *series).agg(*[F.sum(c).alias(c) for c in ("sample_count", "count", "sum", "delta")], F.min("min").alias("min"), F.max("max").alias("max"), known("first", "min_by"), known("last", "max_by"), peak, F.sum(F.when(rated, F.col("delta"))).alias("_rated"), *[F.max(p).alias(f"_{p}") for p in stored])
@@ -173,7 +181,9 @@ def rollup(base: DataFrame, buckets: DataFrame | None, start: datetime, end: dat
     points = points.withColumn("rate_avg", F.col("_rated") / F.lit(float(step))).drop("_rated")
     if buckets is not None:
         wide = inside(buckets).withColumn("at", at)
-        points = points.join(percentiles(wide, ("at", *series)), ["at", *series], "full_outer")
+        told = percentiles(wide, ("at", *series)).withColumn("_told", F.lit(True))
+        points = points.join(told, ["at", *series], "full_outer")
+        points = points.withColumns({r: F.when(F.col("_told").isNull(), F.col(r)) for r in ("rate_avg", "rate_peak")}).drop("_told")
     elif stored:
         points = points.withColumns({p: F.lit(None).cast("double") for p in PERCENTILES})
     for p in stored:
@@ -214,10 +224,16 @@ def pivot(points: DataFrame, names: list[str], value: str = "value", name: str =
 
 
 def latency(points: DataFrame, total: str, count: str, series: tuple[str, ...] = ("labels",)) -> DataFrame:
-    """bucket, series, latency: gained total over gained count, 0 without a count. One aggregation pairs the two metrics."""
-    pick = lambda m: F.sum(F.when(F.col("metric_name") == m, F.greatest(F.lit(0), "delta")))
-    got = points.where(F.col("metric_name").isin(total, count)).groupBy("bucket", *series).agg(pick(total).alias("t"), pick(count).alias("n"))
-    return got.where("t is not null and n is not null").select("bucket", *series, F.coalesce(F.col("t") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)).alias("latency"))
+    """bucket, series, latency: gained total over gained count. One aggregation pairs the two metrics.
+
+    Where the count gained nothing, what both stand at (value, if points have it) is taken instead; 0 where that has no count either.
+    """
+    pick = lambda m, c="delta": F.sum(F.when(F.col("metric_name") == m, F.greatest(F.lit(0), c)))
+    stands = "value" in points.columns
+    got = points.where(F.col("metric_name").isin(total, count)).groupBy("bucket", *series).agg(
+        pick(total).alias("t"), pick(count).alias("n"), *[pick(m, "value").alias(c) for m, c in ((total, "tv"), (count, "nv")) if stands])
+    ratio = lambda a, b: F.col(a).cast("double") / F.nullif(F.col(b), F.lit(0))
+    return got.where("t is not null and n is not null").select("bucket", *series, F.coalesce(ratio("t", "n"), *[ratio("tv", "nv")] * stands, F.lit(0.0)).alias("latency"))
 
 
 def unpivot(points: DataFrame, columns: list[str], keys: tuple[str, ...]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -27,13 +27,14 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append(flows: DataFrame, path: str) -> DataFrame:
-    """Append the flows that the table lacks; returns attempted, inserted and deduplicated (lazily, over what was given).
+    """Append the flows that the table lacks; returns attempted, inserted and deduplicated. What is given is computed once.
 
     The key has the start time, so a flow's twin can only be in its own day: only touched partitions are read. The days
     of a batch come to the driver, not its rows. Written twice, a batch adds nothing.
     """
     spark = flows.sparkSession
-    fresh = first_wins(flows, KEY).withColumn("event_date", F.to_date("event_start_time")).persist()
+    given = Observation()
+    fresh = first_wins(flows.observe(given, F.count(F.lit(1)).alias("rows")), KEY).withColumn("event_date", F.to_date("event_start_time")).persist()
     try:
         days = [r[0] for r in fresh.select("event_date").distinct().collect()]
         stored = read(spark, path)
@@ -45,7 +46,7 @@ def append(flows: DataFrame, path: str) -> DataFrame:
         n = inserted.count()
         most = n // FILE_ROWS + 1  # writers of a day, by what there is to write
         inserted.repartition("event_date", F.pmod(F.xxhash64("id"), F.lit(most))).sortWithinPartitions(F.desc("event_start_time")).write.mode("append").partitionBy("event_date").parquet(path)
-        attempted = flows.count()
+        attempted = given.get["rows"]
         inserted.unpersist()
         return spark.createDataFrame([(attempted, n, attempted - n)], "attempted long, inserted long, deduplicated long")
     finally:

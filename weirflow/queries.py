@@ -311,23 +311,30 @@ SELECT lag, rate AS persist_rate, CASE WHEN lag > 0 AND rate > 0 THEN lag / rate
 
 def _metric_query(spark: SparkSession, d: str) -> DataFrame:
     """Points of two metrics from the five-minute tier, percentiles from what the tier stores; rates of counters only."""
-    s = samples(spark, d).where("event_id % 2 = 0")
+    s = metrics.within(samples(spark, d), *HALF_DAY, 300)
     tier = metrics.drain(s, "5 minutes", order=("ts", "event_id")).withColumns({"metric_kind": F.when(F.col("metric_name") == "click", "counter").otherwise("gauge"), "bucket_width_seconds": F.lit(300), "p90": F.col("max").cast("double"), "p95": F.lit(None).cast("double"), "p99": F.lit(None).cast("double")})
     other = tier.withColumn("bucket_width_seconds", F.lit(5))
     got = metrics.points({"5m": (tier.unionByName(other), None)}, metrics.MetricQuery(*HALF_DAY, 3600, ("click", " error ")))
-    return got.select("bucket", "metric_name", "labels", "count", "delta", "rate_avg", "rate_peak", "p90", "p95")
+    return _placed(got).select("place", "bucket", "metric_name", "labels", "count", "delta", "rate_avg", "rate_peak", "p90", "p95")
 
 
 _METRIC_QUERY_SQL = _WITH + f""", base AS (
-  SELECT time_bucket(INTERVAL '5 minutes', ts) AS b, metric_name, labels, count(*) AS n, max(value)::DOUBLE AS hi, last(value ORDER BY ts, event_id) - first(value ORDER BY ts, event_id) AS gain FROM samples WHERE event_id % 2 = 0 GROUP BY ALL)
-SELECT * REPLACE (CASE WHEN metric_name = 'click' THEN rate_avg END AS rate_avg, CASE WHEN metric_name = 'click' THEN rate_peak END AS rate_peak) FROM (
+  SELECT time_bucket(INTERVAL '5 minutes', ts) AS b, metric_name, labels, count(*) AS n, max(value)::DOUBLE AS hi, last(value ORDER BY ts, event_id) - first(value ORDER BY ts, event_id) AS gain FROM samples GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY bucket, metric_name, labels) AS place, * REPLACE (CASE WHEN metric_name = 'click' THEN rate_avg END AS rate_avg, CASE WHEN metric_name = 'click' THEN rate_peak END AS rate_peak) FROM (
 SELECT time_bucket(INTERVAL '1 hour', b, TIMESTAMP '{HALF_DAY[0]}') AS bucket, metric_name, labels, sum(n)::BIGINT AS count, sum(gain)::BIGINT AS delta, sum(gain) / 3600.0::DOUBLE AS rate_avg,
   max(gain / 300.0::DOUBLE) AS rate_peak, max(hi) AS p90, NULL::DOUBLE AS p95
 FROM base WHERE {_between(HALF_DAY, 'b')} AND metric_name IN ('click', 'error') GROUP BY ALL)"""
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """The few rows of an answer with `place`, where each stands in the order that they come in."""
+    return rows.withColumn("_n", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_n"))).drop("_n")
+
+
 def _sorted(spark: SparkSession, d: str) -> DataFrame:
-    return fl.sort_rows(fl.search(flows(spark, d), fl.Filters(*WEEK), 100), "bytes", True).withColumn("place", F.monotonically_increasing_id() * 0).drop("place")
+    """The order of pages by bytes; bytes tie, so the rows of a place are told by them alone."""
+    got = _placed(fl.sort_rows(fl.search(flows(spark, d), fl.Filters(*WEEK), 100), "bytes", True))
+    return got.select("place", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
 def _first_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -400,9 +407,10 @@ def _p95(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d)
-    base = metrics.drain(s, order=("ts", "event_id"))
-    got = metrics.rollup(base, metrics.histogram(s, "5 seconds"), *HALF_DAY, step=1200)
+    """Counters and gauges; all but one metric have histograms, and so percentiles in place of rates."""
+    s = metrics.within(samples(spark, d), *HALF_DAY)
+    base = metrics.drain(s, order=("ts", "event_id")).withColumn("metric_kind", F.when(F.col("metric_name").isin("click", "error"), "counter").otherwise("gauge"))
+    got = metrics.rollup(base, metrics.histogram(s.where("metric_name <> 'click'"), "5 seconds"), *HALF_DAY, step=1200)
     return got.select("bucket", "metric_name", "labels", "count", "sum", "avg", "min", "max", "first", "last", "delta", "rate_avg", "rate_peak", "p90", "p99")
 
 
@@ -419,12 +427,12 @@ _ROLLUP_SQL = _WITH + f""", base AS (
   FROM base WHERE {_between(HALF_DAY, 'b')} GROUP BY ALL
 ), ranks AS (
   SELECT time_bucket(INTERVAL '20 minutes', time_bucket(INTERVAL '5 seconds', ts), TIMESTAMP '{HALF_DAY[0]}') AS bucket, metric_name, labels, {_bounds_case('value')} AS bound
-  FROM samples WHERE {_between(HALF_DAY, "time_bucket(INTERVAL '5 seconds', ts)")}
+  FROM samples WHERE metric_name <> 'click' AND {_between(HALF_DAY, "time_bucket(INTERVAL '5 seconds', ts)")}
 ), p AS (
   SELECT bucket, metric_name, labels, quantile_disc(bound, 0.9) AS p90, quantile_disc(bound, 0.99) AS p99 FROM ranks GROUP BY ALL
 )
-SELECT bucket, metric_name, labels, count, sum, sum::DOUBLE / count AS avg, min, max, first, last, delta, delta / 1200.0::DOUBLE AS rate_avg, rate_peak, p90, p99
-FROM points JOIN p USING (bucket, metric_name, labels)"""
+SELECT bucket, metric_name, labels, count, sum, sum::DOUBLE / count AS avg, min, max, first, last, delta, CASE WHEN metric_name = 'click' THEN delta / 1200.0::DOUBLE END AS rate_avg, CASE WHEN metric_name = 'click' THEN rate_peak END AS rate_peak, p90, p99
+FROM points LEFT JOIN p USING (bucket, metric_name, labels)"""
 
 
 def _hourly(spark: SparkSession, d: str) -> DataFrame:
@@ -490,7 +498,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "series_health": (lambda s, d: metrics.health(samples(s, d).select("labels", F.when(F.col("metric_name") == "error", "fail").otherwise("ok").alias("status")), ("labels",)), _WITH + "SELECT labels, CASE WHEN count(*) FILTER (metric_name = 'error') = 0 THEN 'ok' WHEN count(*) FILTER (metric_name <> 'error') = 0 THEN 'fail' ELSE 'degraded' END AS status, count(*) AS components FROM samples GROUP BY labels"),
     "metric_upsert": (lambda s, d: metrics.latest(samples(s, d), ("metric_name", "labels"), ("ts", "event_id")), _WITH + "SELECT * FROM samples QUALIFY row_number() OVER (PARTITION BY metric_name, labels ORDER BY ts DESC, event_id DESC) = 1"),
     "search_projection": (_projection, _WITH + f"SELECT id, 'flow.v1' AS schema_version, 'k' || id AS idempotency_key, 'r' || id AS raw_event_id, source_type, 'main' AS collector_id, 'h' || id % 3 AS source_host, NULL AS source_ip, event_start_time, CASE WHEN id % 4 > 0 THEN event_start_time + INTERVAL 5 SECOND END AS event_end_time, 5 AS duration_ms, {_SQL_IP.format('src_ip_key')} AS src_ip, {_SQL_IP.format('dst_ip_key')} AS dst_ip, src_port, dst_port, transport_protocol, protocol_number, bytes, packets, 'outbound' AS direction, 'dns' AS application_protocol, 'ok' AS normalization_status, '{{}}' AS attributes FROM flows WHERE {_between(WEEK)} ORDER BY event_start_time DESC, id DESC LIMIT 101"),
-    "sort_rows": (_sorted, _search_sql()),
+    "sort_rows": (_sorted, f"SELECT row_number() OVER (ORDER BY coalesce(bytes, 0) DESC) AS place, coalesce(bytes, 0) AS bytes FROM ({_search_sql()})"),
     "tuple_identity": (lambda s, d: _wide(s, d).select("id", fn.tuple_identity().alias("identity")), _WITH + f"SELECT id, 'tuple:' || sha256(concat_ws('|', {_SQL_TIME.format('event_start_time')}, {_SQL_IP.format('src_ip_key')}, {_SQL_IP.format('dst_ip_key')}, protocol_number::VARCHAR)) AS identity FROM flows"),
     "uuid7": (_uuid, _WITH + ", h AS (SELECT id, lpad(printf('%x', epoch_us(event_start_time) // 1000), 12, '0') AS t, sha256('s' || id) AS x FROM flows) SELECT id, t[1:8] || '-' || t[9:12] || '-7' || x[1:3] || '-' || '89ab'[('0x' || x[4])::INT % 4 + 1] || x[5:7] || '-' || x[8:19] AS uuid, true AS valid, false AS other FROM h"),
     "mask_attributes": (_masks, _WITH + """SELECT id, '{"in":[{"session":"***MASKED***"},{"safe_token":"***MASKED***"}],"n":' || id || ',"safe":"b","x-api-key":"***MASKED***"}' AS masked, id % 5 IN (0, 1, 3) AS sensitive FROM flows"""),
@@ -505,9 +513,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "v9_decode": (_netflow9, _NETFLOW9_SQL),
     "v9_sampling": (_v9_sampling, _V9_SAMPLING_SQL),
     "metric_query": (_metric_query, _METRIC_QUERY_SQL),
-    "history_range": (lambda s, d: metrics.history_of(samples(s, d), "24h", _t(6)), _WITH + "SELECT time_bucket(INTERVAL '20 minutes', ts) AS bucket, metric_name, labels, max(value) - min(value) AS delta, sum(value)::DOUBLE / count(value) AS value FROM samples WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY ALL"),
-    "metric_latency": (lambda s, d: metrics.latency(_chart(s, d).groupBy("bucket", "metric_name", F.col("user").alias("labels")).agg(F.sum("delta").alias("delta")).withColumn("bucket", F.date_trunc("day", "bucket").cast("timestamp_ntz")), "flow_records_stored_total", "flow_records_failed_total"),
-        f"WITH p AS ({_POINTS_SQL}), g AS (SELECT bucket, metric_name, user, sum(delta) AS delta FROM p GROUP BY ALL) SELECT bucket, labels, coalesce(t / nullif(n, 0), 0.0) AS latency FROM (SELECT date_trunc('day', bucket)::TIMESTAMP AS bucket, user AS labels, (sum(greatest(0, delta)) FILTER (metric_name = 'flow_records_stored_total'))::DOUBLE AS t, (sum(greatest(0, delta)) FILTER (metric_name = 'flow_records_failed_total'))::DOUBLE AS n FROM g GROUP BY ALL) WHERE t IS NOT NULL AND n IS NOT NULL"),
+    "history_range": (lambda s, d: _placed(metrics.history_of(samples(s, d), "24h", _t(6))), _WITH + "SELECT row_number() OVER (ORDER BY bucket, metric_name, labels) AS place, * FROM (SELECT time_bucket(INTERVAL '20 minutes', ts) AS bucket, metric_name, labels, max(value) - min(value) AS delta, sum(value)::DOUBLE / count(value) AS value FROM samples WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY ALL)"),
+    "metric_latency": (lambda s, d: metrics.latency(_chart(s, d).withColumn("bucket", F.date_trunc("hour", "bucket").cast("timestamp_ntz")).groupBy("bucket", "metric_name", F.col("user").alias("labels")).agg(F.sum("delta").alias("delta"), F.sum("last").alias("value")), "flow_records_stored_total", "flow_records_failed_total"),
+        f"""WITH p AS ({_POINTS_SQL}), g AS (SELECT date_trunc('hour', bucket)::TIMESTAMP AS bucket, metric_name, user, sum(delta) AS delta, sum(last) AS value FROM p GROUP BY ALL)
+SELECT bucket, user AS labels, coalesce(t / nullif(n, 0), tv / nullif(nv, 0), 0.0) AS latency FROM (SELECT bucket, user, {", ".join(f"(sum(greatest(0, {c})) FILTER (metric_name = '{m}'))::DOUBLE AS {name}" for c, m, name in (("delta", "flow_records_stored_total", "t"), ("delta", "flow_records_failed_total", "n"), ("value", "flow_records_stored_total", "tv"), ("value", "flow_records_failed_total", "nv")))} FROM g GROUP BY ALL)
+WHERE t IS NOT NULL AND n IS NOT NULL"""),
     "metric_unpivot": (lambda s, d: metrics.unpivot(_chart(s, d), ["p90", "p95", "p99"], ("id",)), f"WITH p AS ({_POINTS_SQL}) SELECT * FROM (SELECT id, unnest(['p90', 'p95', 'p99']) AS statistic, unnest([p90, p95, p99]) AS value FROM p) WHERE value IS NOT NULL"),
     "metric_window_summary": (lambda s, d: metrics.summary(_chart(s, d).groupBy("metric_name", "user").agg(F.sum("delta").alias("delta"), F.sum("count").alias("count"), F.avg("last").alias("avg"), F.max("last").alias("max")).withColumnRenamed("user", "labels")),
         f"WITH p AS ({_POINTS_SQL}), g AS (SELECT metric_name, user AS labels, sum(delta) AS delta, sum(count) AS count, avg(last) AS avg, max(last) AS max FROM p GROUP BY ALL) SELECT metric_name, labels, greatest(0, delta)::BIGINT AS gained, count::BIGINT AS samples, CASE WHEN count > 0 THEN round(avg * count / count, 3) END AS mean, max AS peak FROM g"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flow import first_error, time_of, unused
-from ..functions.net import address
+from ..functions.net import address, unmapped
 from .netflow5 import route
 
 #: A proxy's time counts if it is this close to the receipt by the backend.
@@ -43,6 +43,7 @@ def accept(records: DataFrame, now: Column) -> DataFrame:
     sound = F.coalesce(text.rlike(_BASE64), F.lit(False))
     held = unused(records, "_from")
     rows = records.withColumn("packet", F.when(sound, F.unbase64(text))).withColumn(held, address("source_ip"))
+    rows = rows.withColumn(held, unmapped(F.col(held)))
     rows = route(rows)
     reason = timestamp_reason(F.col("received_at"), now)
     error = first_error((~sound, "invalid_base64"), (F.col(held)["key"].isNull(), "invalid_source_ip"), (F.col("kind") == "unknown", "unsupported_version"))
