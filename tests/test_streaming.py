@@ -40,6 +40,23 @@ def test_stream_equals_batch_and_repeats_add_nothing(spark, tmp_path):
     assert store.retained(flows, datetime(2026, 7, 17)).count() == 6
 
 
+def test_stream_notes_partial_sums(spark, tmp_path):
+    from weirflow.operators import tiers
+
+    source = tmp_path / "in"
+    source.mkdir()
+    paths = [str(tmp_path / x) for x in ("flows", "letters", "checkpoint", "tiers")]
+    run = lambda: jobs.ingest(records(spark.readStream.text(str(source))), normalize.rest, *paths, partial=True).awaitTermination(120)
+    (source / "a.json").write_text("\n".join(lines(10)) + "\n")
+    run()
+    tiers.fold(spark, paths[3])
+    (source / "b.json").write_text("\n".join(lines(10, 5)) + "\n")  # half of them again
+    run()
+    for kind in tiers.TIERS:
+        for width in tiers.WIDTHS:
+            assert tuple(tiers.current(spark, paths[3], kind, width).agg(F.sum("flow_count"), F.sum("total_bytes")).first()) == (14, 140)
+
+
 def test_netflow9_stream(spark, tmp_path):
     at = datetime(2026, 6, 16, 10, 15, 20)
     schema = "collector_id string, source_host string, source_ip string, source_id long, packet binary, received_at timestamp"

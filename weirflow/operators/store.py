@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,11 +27,11 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append(flows: DataFrame, path: str) -> DataFrame:
+def append(flows: DataFrame, path: str, first: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Append the flows that the table lacks; returns attempted, inserted and deduplicated. What is given is computed once.
 
     The key has the start time, so a flow's twin can only be in its own day: only touched partitions are read. The days
-    of a batch come to the driver, not its rows. Written twice, a batch adds nothing.
+    of a batch come to the driver, not its rows. Written twice, a batch adds nothing. `first` gets what will be written before it is.
     """
     spark = flows.sparkSession
     given = Observation()
@@ -44,6 +45,8 @@ def append(flows: DataFrame, path: str) -> DataFrame:
             fresh_only = fresh
         inserted = fresh_only.select(*fresh.columns).persist()
         n = inserted.count()
+        if first:
+            first(inserted)
         most = n // FILE_ROWS + 1  # writers of a day, by what there is to write
         inserted.repartition("event_date", F.pmod(F.xxhash64("id"), F.lit(most))).sortWithinPartitions(F.desc("event_start_time")).write.mode("append").partitionBy("event_date").parquet(path)
         attempted = given.get["rows"]

@@ -15,8 +15,8 @@ from .functions import envelope
 from .functions import flow as fn
 from .functions.net import direction
 from .operators import flows as fl
-from .operators import dashboard, logs, metrics, normalize
-from .operators.lineage import cut
+from .operators import dashboard, logs, metrics, normalize, tiers
+from .operators.lineage import cut, new_path
 from .sources import netflow5, netflow9, proxy, rest, zeek
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,20 @@ def _tier_sql(width: str, keys: tuple[str, ...]) -> str:
     return _WITH + f"SELECT time_bucket(INTERVAL '{fl.WIDTHS[width]}', event_start_time) AS bucket, {', '.join(keys)}, sum(bytes)::BIGINT AS total_bytes, sum(packets)::BIGINT AS total_packets, count(*) AS flow_count FROM flows GROUP BY ALL"
 
 
+def _partial_tier(kind: str, width: str) -> Query:
+    """A tier of three batches whose partial sums are noted, the first two folded into their days, the last one still late."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path, f = new_path(spark, "tiers"), flows(spark, d)
+        for batch in range(3):
+            tiers.note(f.where(F.col("id") % 3 == batch), path, batch)
+            if batch == 1:
+                tiers.fold(spark, path)
+        return tiers.current(spark, path, kind, width)
+
+    return run
+
+
 _SRC, _DST = ("src_ip_key",), ("dst_ip_key",)
 _PROTO = ("protocol_number", "transport_protocol")
 
@@ -510,6 +524,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "zeek_batch": (_zeek_batch, _WITH + "SELECT id, i AS record_index, CASE WHEN i < 2 THEN src_port END AS src_port, CASE WHEN i < 2 THEN 'C' || id END AS uid, CASE WHEN i >= 2 THEN 'invalid_zeek_conn' END AS error FROM flows, range(4) r(i)"),
     "proxy_batch": (_proxy, _PROXY_SQL),
     "envelope_validate": (_envelopes, _ENVELOPES_SQL),
+    "tier_partial_talkers_1h": (_partial_tier("talkers", "1h"), _tier_sql("1h", fl.TALKERS)),
+    "tier_partial_ports_5m": (_partial_tier("ports", "5m"), _tier_sql("5m", fl.PORTS)),
     "v9_decode": (_netflow9, _NETFLOW9_SQL),
     "v9_sampling": (_v9_sampling, _V9_SAMPLING_SQL),
     "metric_query": (_metric_query, _METRIC_QUERY_SQL),

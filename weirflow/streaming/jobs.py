@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators import normalize, store
+from ..operators import normalize, store, tiers
 from . import netflow9
 
 
-def ingest(stream: DataFrame, normalizer, flows_path: str, letters_path: str, checkpoint: str, tiers_path: str | None = None, **trigger) -> StreamingQuery:
+def ingest(stream: DataFrame, normalizer, flows_path: str, letters_path: str, checkpoint: str, tiers_path: str | None = None, partial: bool = False, **trigger) -> StreamingQuery:
     """Normalize a stream of records, append sound flows, set bad ones aside and refresh the tiers of touched days.
 
+    With `partial`, tiers_path is one of operators.tiers: a batch only notes the partial sums of its own new flows, before they are appended, and
+    tiers.fold takes them up when it is run.
+
     Delivery is at least once and the append drops what it has seen, so a batch that runs again adds nothing. normalizer is one
     of operators.normalize; trigger goes to writeStream.trigger (by default, all that is there).
     """
@@ -22,8 +25,10 @@ def ingest(stream: DataFrame, normalizer, flows_path: str, letters_path: str, ch
         done = normalizer(batch).persist()
         try:
             flows, letters = normalize.split(done)
-            store.append(flows, flows_path)
+            store.append(flows, flows_path, (lambda new: tiers.note(new, tiers_path, number)) if tiers_path and partial else None)
             letters.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(letters_path)
+            if partial:
+                return
             days = [r[0] for r in flows.select(F.to_date("event_start_time")).distinct().collect()]
             if tiers_path and days:
                 store.refresh(spark, flows_path, tiers_path, days)
