@@ -175,15 +175,19 @@ class Names:
 
     def decode(self, lists: pa.ListArray, at_once: int = DECODED_AT_ONCE) -> pa.Array:
         """The bytes of each list of ids, some lists with about so many ids at once."""
-        ends, at, parts = lists.offsets.to_numpy(), 0, [pa.array([], pa.binary())]
+        bounds, at = lists.offsets.to_numpy(), 0
+        data, ends = bytearray(), np.zeros(len(lists) + 1, "int32")
         while at < len(lists):
-            rows = max(1, int(np.searchsorted(ends, ends[at] + at_once)) - at)
-            parts.append(self._decode(lists.slice(at, rows)))
+            rows = max(1, int(np.searchsorted(bounds, bounds[at] + at_once)) - at)
+            part, own = self._decode(lists.slice(at, rows))
+            ends[at + 1 : at + rows + 1] = own[1:] + len(data)
+            data += part
             at += rows
-        return pa.concat_arrays(parts)
+        present = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(lists), [present, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
 
-    def _decode(self, lists: pa.ListArray) -> pa.Array:
-        """Tokens' bytes are taken from the table, and lie one after the other as they should."""
+    def _decode(self, lists: pa.ListArray) -> tuple[memoryview, np.ndarray]:
+        """(bytes, where each list's begin and end): tokens' bytes are taken from the table, and lie one after the other as they should."""
         ids, bounds = lists.values, lists.offsets.to_numpy()
         ids = ids.slice(bounds[0], bounds[-1] - bounds[0])
         number = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -194,10 +198,8 @@ class Names:
             raise ValueError("no token has such an id")
         _, at, data = found.buffers()
         at = np.frombuffer(at, "int64")[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, "int64")
-        ends = pa.py_buffer((at[bounds - bounds[0]] - at[0]).astype("int32").tobytes())
-        present = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
-        data = pa.py_buffer(b"") if data is None else data.slice(int(at[0]))
-        return pa.Array.from_buffers(pa.binary(), len(lists), [present, ends, data])
+        whole = memoryview(b"" if data is None else data)[int(at[0]) : int(at[-1])]
+        return whole, at[bounds - bounds[0]] - at[0]
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -234,9 +236,12 @@ def token_ids(text: Column, ranks_path: str, pattern: str) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _built(Vocabulary, content, pattern)
         for batch in texts:
-            lists = [vocabulary.packed(x.as_py().decode("utf-8", "replace")) if x.is_valid else b"" for x in batch]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])]).astype("int32")
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(lists), "int32")))
+            ids, ends = bytearray(), [0]
+            for text in batch:
+                if text.is_valid:
+                    ids += vocabulary.packed(text.as_py().decode("utf-8", "replace"))
+                ends.append(len(ids) // 4)
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids) // 4, [None, pa.py_buffer(ids)]))
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<int>")(text.cast("string").cast("binary"))
