@@ -16,6 +16,7 @@ os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent}:{os.environ.get('
 HEADLINE = (
     "top_talkers_src_bytes", "top_talkers_dst_flows_5m", "top_ports_dst", "protocols_bytes", "search_range", "search_cidr", "tier_5m_talkers", "tier_1h_ports",
     "metric_history", "metric_rollup", "histogram_percentile", "nearest_rank_p95", "gap_fill", "log_search", "dedup_first_wins", "zeek_parse", "rest_normalize", "netflow5_decode",
+    "v9_decode", "dashboard_series",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
