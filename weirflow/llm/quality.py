@@ -233,9 +233,14 @@ def _sample(rows: DataFrame, seed: int, share: float, most: int) -> tuple[DataFr
 def _matrix(rows: DataFrame, seed: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(feature rows, which are of the first half) of a sample's rows, in order of the hash they were chosen by and features; `most` at most."""
     packed = _by_slices("binary", lambda texts: pa.array([features(t).tobytes() for t in texts], pa.binary()))
-    got = rows.select(F.xxhash64("doc_id", F.lit(seed)).alias("by"), "doc_id", _first_half().alias("half"), packed("text").alias("x")).toPandas().sort_values(["by", "doc_id", "x"])[:most]
-    x = np.stack([np.frombuffer(x, "float32") for x in got["x"]]).astype("float64") if len(got) else np.zeros((0, STATS + SHAPES))
-    return x, got["half"].to_numpy(bool)
+    got = rows.select(F.xxhash64("doc_id", F.lit(seed)).alias("by"), "doc_id", _first_half().alias("half"), packed("text").alias("x")).toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("by", "doc_id", "x")]).slice(0, most).combine_chunks()
+    if not len(got):
+        return np.zeros((0, STATS + SHAPES)), np.zeros(0, bool)
+    x = got["x"].chunk(0)
+    first = np.frombuffer(x.buffers()[1], "int32")[x.offset]  # features lie one row after the other
+    x = np.frombuffer(x.buffers()[2], "float32", len(got) * (STATS + SHAPES), int(first)).reshape(len(got), -1).astype("float64")
+    return x, got["half"].to_numpy().astype(bool)
 
 
 def _margin_counts(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
