@@ -176,3 +176,15 @@ def test_metrics(spark):
     assert [r.line for r in text.collect()] == ["a 2.0", 'b{k="a\\"\\n\\\\"} 1.5']
     back = {r.metric_name: (r.labels, r.value) for r in metrics.read_exposition(text.withColumnRenamed("line", "value")).collect()}
     assert back == {"a": ({}, 2.0), "b": ({"k": 'a"\n\\'}, 1.5)}
+
+
+def test_zeek_without_extra_needs_no_python(spark):
+    """What a query doesn't ask for isn't computed: masking in Python is for `extra` alone."""
+    from weirflow.sources import zeek
+
+    lines = spark.createDataFrame([('{"ts":1.5,"id.orig_h":"10.0.0.1","id.resp_h":"8.8.8.8","proto":"tcp","id.orig_p":5,"site":{"password":"x"}}',)], "value string")
+    got = zeek.parse(lines)
+    plain = got.select("zeek.id_orig_p", "zeek.error")
+    assert "ArrowEvalPython" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert tuple(plain.first()) == (5, None)
+    assert got.select("zeek.extra").first()[0] == '{"site":{"password":"***MASKED***"}}'

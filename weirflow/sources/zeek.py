@@ -51,36 +51,43 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     Types are JSON's: numbers must be numbers and not text, counts and ports whole and not negative, flags true or false; a text field of
     another type is null. "-" is null for texts, counts and ports. An alias counts as its dotted name, and both at once must agree.
     """
-    held, known = (unused(lines, name) for name in ("_raw", "_known"))
+    held, known, own, kinds, typed_, more, masked = (unused(lines, name) for name in ("_raw", "_known", "_value", "_kind", "_typed", "_extra", "_masked"))
     fields = (*TEXTS, *PORTS, *COUNTS, *FLOATS, *FLAGS)
     typed = ", ".join(f"`{f}` variant" for f in (*fields, *ALIASES))
+    steps = {f: n for n, f in enumerate(fields)}  # each step is columns of its own, so that what several rules ask is computed once
     raw = lines.withColumns({held: F.from_json(column, "map<string,variant>"), known: F.from_json(column, typed)})
     get = lambda field: F.col(known).getField(field)
-    value: dict[str, Column] = {f: get(f) for f in fields}
     conflict = F.lit(False)
+    aliased = {}
     for alias, field in ALIASES.items():
-        conflict = conflict | F.coalesce(F.to_json(get(alias)) != F.to_json(get(field)), F.lit(False))
-        value[field] = F.coalesce(get(field), get(alias))
-    kind = lambda f: F.schema_of_variant(value[f])
-    broken, out = F.lit(False), {}
+        both = get(alias).isNotNull() & get(field).isNotNull()
+        conflict = conflict | F.coalesce(both & (F.when(both, F.to_json(get(alias))) != F.when(both, F.to_json(get(field)))), F.lit(False))
+        aliased[field] = F.coalesce(get(field), get(alias))
+    value = lambda f: F.col(f"{own}{steps[f]}")
+    kind = lambda f: F.col(f"{kinds}{steps[f]}")
+    out = {f: F.col(f"{typed_}{steps[f]}") for f in fields}
+    raw = raw.withColumns({f"{own}{n}": aliased.get(f, get(f)) for f, n in steps.items()})
+    raw = raw.withColumns({f"{kinds}{n}": F.schema_of_variant(value(f)) for f, n in steps.items()})
+    broken, found = F.lit(False), {}
     for f in (*PORTS, *COUNTS):
-        number = F.when(kind(f) == "BIGINT", _of(value[f], "bigint"))
-        dash = (kind(f) == "STRING") & (_of(value[f], "string") == "-")
+        number = F.when(kind(f) == "BIGINT", _of(value(f), "bigint"))
         number = F.when(number.between(0, 2**32 - 1 if f in PORTS else 2**63 - 1), number)
-        broken = broken | (value[f].isNotNull() & (kind(f) != "VOID") & ~dash & number.isNull())
-        out[f] = number if f in PORTS else number.cast("decimal(20,0)")
+        found[f] = number if f in PORTS else number.cast("decimal(20,0)")
+        dash = (kind(f) == "STRING") & (_of(value(f), "string") == "-")
+        broken = broken | (value(f).isNotNull() & (kind(f) != "VOID") & ~dash & out[f].isNull())
     for f in FLOATS:
-        out[f] = F.when(kind(f).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), _of(value[f], "double"))
-        broken = broken | (value[f].isNotNull() & out[f].isNull())
+        found[f] = F.when(kind(f).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), _of(value(f), "double"))
+        broken = broken | (value(f).isNotNull() & out[f].isNull())
     for f in TEXTS:
-        out[f] = F.nullif(F.when(kind(f) == "STRING", _of(value[f], "string")), F.lit("-"))
+        found[f] = F.nullif(F.when(kind(f) == "STRING", _of(value(f), "string")), F.lit("-"))
     for f in FLAGS:
-        out[f] = F.when(kind(f) == "BOOLEAN", _of(value[f], "boolean"))
+        found[f] = F.when(kind(f) == "BOOLEAN", _of(value(f), "boolean"))
     names = F.array(*[F.lit(x) for x in (*fields, *ALIASES)])
-    more = F.map_filter(held, lambda k, _: ~F.array_contains(names, k))
-    extra = F.to_json(F.transform_values(more, lambda k, v: F.when(sensitive(k), F.lit(MASK).cast("variant")).otherwise(v)))
-    nested = extra.rlike(SENSITIVE_WORD) & (extra.contains(":{") | extra.contains("[{"))
-    extra = F.when(nested, mask_json(F.when(nested, extra))).otherwise(extra)  # Python only sees what may need it
+    others = F.map_filter(held, lambda k, _: ~F.array_contains(names, k))
+    raw = raw.withColumns({f"{typed_}{n}": found[f] for f, n in steps.items()} | {more: F.to_json(F.transform_values(others, lambda k, v: F.when(sensitive(k), F.lit(MASK).cast("variant")).otherwise(v)))})
+    nested = F.col(more).rlike(SENSITIVE_WORD) & (F.col(more).contains(":{") | F.col(more).contains("[{"))
+    raw = raw.withColumn(masked, mask_json(F.when(nested, F.col(more))))  # Python only sees what may need it, and goes if `extra` isn't asked for
+    extra = F.when(nested, F.col(masked)).otherwise(F.col(more))
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     error = first_error(
         (F.col(held).isNull(), "invalid_json"),
@@ -88,4 +95,5 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
         (broken, "invalid_number"),
         (F.coalesce(out["ts"] <= 0, F.lit(True)) | blank(out["id.orig_h"]) | blank(out["id.resp_h"]) | blank(out["proto"]), "missing_field"),
     )
-    return raw.withColumn("zeek", F.struct(*[out[f].alias(_name(f)) for f in fields], extra.alias("extra"), error.alias("error"))).drop(held, known)
+    record = F.struct(*[out[f].alias(_name(f)) for f in fields], extra.alias("extra"), error.alias("error"))
+    return raw.select(*[F.col(f"`{c}`") for c in lines.columns if c != "zeek"], record.alias("zeek"))
