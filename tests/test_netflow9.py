@@ -213,3 +213,12 @@ def test_sampling_of_a_batch(spark):
     ]
     got = n9.sampling(spark.createDataFrame(rows, KEYS)).collect()
     assert [(r.interval, r.algorithm, r.sampler, r.interfaces) for r in got] == [(30, 2, 6, {4: "eth4", 5: "eth5"})]
+
+
+def test_sampling_of_the_last_epoch_alone(spark):
+    """An epoch that ends at the very time at which its last words came says nothing any more."""
+    said = packet(3, 5000, 1000, 50, 7, options((300, [(2, 4)], [(34, 4)])), (300, u(1, 4) + u(77, 4) + u(2, 4) + u(78, 4)))
+    anew = packet(2, 10, 1001, 1, 7, options((300, [(2, 4)], [(35, 1)])), (300, u(1, 4) + u(2, 1)))
+    rows = [("c", "h", "1", 7, p, START, i) for i, p in enumerate([said, anew])]
+    (got,) = n9.sampling(spark.createDataFrame(rows, KEYS)).collect()
+    assert (got["interval"], got["algorithm"]) == (None, 2)

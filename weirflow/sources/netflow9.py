@@ -517,13 +517,30 @@ def _template(t) -> Template:
     return Template(t["kind"], t["template_id"], tuple(zip(t["ids"], t["lengths"], strict=True)), t["scopes"])
 
 
+#: Epochs and runs up to so many rows go to every task, so that packets stay where they are; more are shuffled with the packets.
+FEW = 100_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, which `cut` made, to be broadcast in joins if they are few."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def _own(packets: DataFrame) -> DataFrame:
+    return packets.select(*KEYS, "packet", "received_at", F.col("arrival").cast("bigint").alias("arrival"))
+
+
 def decoded(packets: DataFrame) -> DataFrame:
     """`parse` with options records too, which have `scopes`."""
-    own = packets.select(*KEYS, "packet", "received_at", F.col("arrival").cast("bigint").alias("arrival"))
-    begun = cut(epochs(own))
+    own = _own(packets)
+    return _decode(own, _few(cut(epochs(own))), False)
+
+
+def _decode(own: DataFrame, begun: DataFrame, options: bool) -> DataFrame:
+    """Rows of these packets, which lie in the epochs that have begun; of those only that bring options records, if `options`."""
     learnt = own.mapInPandas(_learnt, _LEARNT)
     learnt = cut(_with(learnt, begun.select(*KEYS, "epoch", "since", "until"), KEYS, "inner", *_within(F.struct(*_ORDER))).drop("since", "until"))
-    told = cut(runs(learnt))
+    told = _few(cut(runs(learnt)))
     drop(learnt)
 
     kept = own.schema
@@ -540,6 +557,8 @@ def decoded(packets: DataFrame) -> DataFrame:
     each = each.withColumn("what", _decided())
     fields = F.struct(*[F.col(f"set.{c}").alias(c) for c in ("place", "id", "body", "templates")], *[F.col(f"what.{c}").alias(c) for c in ("template", "late", "error")])
     whole = each.groupBy("number").agg(*[F.first(c).alias(c) for c in (*KEYS, "received_at", "head", "refused")], F.collect_list(F.when(F.col("set").isNotNull(), fields)).alias("sets"))
+    if options:
+        whole = whole.where(F.exists("sets", lambda x: F.coalesce(x["template"]["kind"] == OPTIONS, F.lit(False))))
     return whole.select(*KEYS, "received_at", "head", "refused", "sets").mapInPandas(_decoded, ALL)
 
 
@@ -591,10 +610,10 @@ def sampling(packets: DataFrame) -> DataFrame:
     The last word counts, by time and place in the packet; a random interval (50) only where there is no other. An epoch's words end with it, so
     only the last epoch of an exporter speaks.
     """
-    own = packets.select(*KEYS, "packet", "received_at", F.col("arrival").cast("bigint").alias("arrival"))
-    latest = epochs(own).where("until is null").select(*KEYS, F.col("since.received_at").alias("from"))
-    said = decoded(packets).where("scopes is not null")
-    said = _with(said, latest, KEYS, "inner", F.col("received_at") >= F.col("from"))
+    own = _own(packets)
+    latest = _few(cut(epochs(own).where("until is null")))
+    current = _with(own, latest.select(*KEYS, "since"), KEYS, "inner", F.struct(*_ORDER) >= F.col("since")).drop("since")
+    said = _decode(current, latest, True).where("scopes is not null")
     order = F.struct("received_at", "packet_sequence", "record_index")
     get = lambda c, k: F.try_element_at(c, F.lit(k)).cast("bigint")
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), order))
