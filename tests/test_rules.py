@@ -169,3 +169,21 @@ def test_window_reaches_the_scan(spark, tmp_path):
         plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         scans = [x for x in plan.split("PushedFilters")[1:]]
         assert scans and all("GreaterThanOrEqual(ts" in x[:300] and "LessThan(ts" in x[:300] for x in scans), name
+
+
+def test_equal_attributes_are_masked_once(monkeypatch):
+    """A batch parses each distinct text once; nulls, blanks and broken texts keep their places."""
+    import json
+
+    import pandas as pd
+
+    from weirflow.functions import flow
+
+    parsed = []
+    loads = json.loads
+    monkeypatch.setattr(flow.json, "loads", lambda text: parsed.append(text) or loads(text))
+    texts = ['{"token":"x","n":1}', None, "bad", '{"token":"x","n":1}', "", "[1]", "bad", None]
+    masked = '{"n":1,"token":"***MASKED***"}'
+    assert flow.mask_json.func(pd.Series(texts)).tolist() == [masked, "{}", "{}", masked, "{}", "{}", "{}", "{}"]
+    assert sorted(parsed) == sorted(['{"token":"x","n":1}', "bad", "[1]"])
+    assert flow.mask_json.func(pd.Series([None, None], dtype=object)).tolist() == ["{}", "{}"] and flow.mask_json.func(pd.Series([], dtype=object)).tolist() == []

@@ -123,7 +123,10 @@ def _masked(value):
 
 @F.pandas_udf(T.StringType())
 def mask_json(texts: pd.Series) -> pd.Series:
-    """JSON objects with the values of sensitive keys masked at any depth, keys in order; what isn't an object becomes {}."""
+    """JSON objects with the values of sensitive keys masked at any depth, keys in order; what isn't an object becomes {}.
+
+    Each distinct text of a batch is masked once.
+    """
 
     def one(text: str | None) -> str:
         try:
@@ -132,7 +135,9 @@ def mask_json(texts: pd.Series) -> pd.Series:
             value = {}
         return json.dumps(_masked(value if isinstance(value, dict) else {}), sort_keys=True, separators=(",", ":"))
 
-    return texts.map(one, na_action=None)
+    codes, distinct = pd.factorize(texts)
+    masked = [one(x) for x in distinct] + [one(None)]
+    return pd.Series([masked[c] for c in codes], dtype=object)
 
 
 def labels_key(labels: Column) -> Column:
